@@ -9,4 +9,5 @@ from taxolens.plans.catalog import (  # noqa: F401  (registration side effects)
     q_text,
     q_metrics,
     q_reports,
+    q_vectors,
 )

@@ -79,3 +79,47 @@ VECTORS = """vectors AS (
 def with_(*ctes: str, body: str) -> str:
     """Compose ``WITH cte1, cte2 ... body``."""
     return "WITH " + ",\n".join(ctes) + "\n" + body
+
+VEC_DOC = """vec_doc AS (
+  SELECT e.vec_id AS row_id, CAST(e.embedding AS DOUBLE[]) AS features, e.label AS cluster,
+         d.lang AS true_label, d.text
+  FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id)"""
+
+VEC_LAB = """vec_lab AS (
+  SELECT vec_id AS row_id, CAST(embedding AS DOUBLE[]) AS features, label AS cluster FROM embeddings)"""
+
+
+def centroid_ctes(src: str, prefix: str = "") -> str:
+    """``{prefix}elems``, ``{prefix}cent(cluster, size, centroid)`` over a labeled vector CTE."""
+    p = prefix
+    return f"""{p}elems AS (
+  SELECT row_id, cluster, unnest(features) AS v, unnest(range(len(features))) AS pos FROM {src}),
+{p}cent AS (
+  SELECT cluster, max(sz) AS size, list(value ORDER BY pos) AS centroid FROM (
+    SELECT cluster, pos, avg(v) AS value, count(*) AS sz FROM {p}elems GROUP BY 1, 2) GROUP BY 1)"""
+
+
+def lloyd_sql(src: str, k: int, iterations: int) -> str:
+    """CTEs computing ``lloyd_final(row_id, cluster, dist)`` with the Spark rules."""
+    parts = [f"""ll_c0 AS (
+  SELECT CAST(row_number() OVER (ORDER BY row_id) - 1 AS INTEGER) AS cid, features AS ctr
+  FROM (SELECT * FROM {src} ORDER BY row_id LIMIT {k}))""",
+             f"""ll_el AS (SELECT row_id, unnest(features) AS v, unnest(range(len(features))) AS pos FROM {src})"""]
+
+    def assign(i):
+        return f"""ll_a{i} AS (
+  SELECT row_id, cid AS cluster, dist FROM (
+    SELECT v.row_id, c.cid, list_distance(v.features, c.ctr) AS dist,
+           row_number() OVER (PARTITION BY v.row_id ORDER BY list_distance(v.features, c.ctr), c.cid) AS rk
+    FROM {src} v CROSS JOIN ll_c{i} c) WHERE rk = 1)"""
+
+    for i in range(iterations):
+        parts.append(assign(i))
+        parts.append(f"""ll_c{i + 1} AS (
+  SELECT c.cid, coalesce(u.ctr, c.ctr) AS ctr FROM ll_c{i} c LEFT JOIN (
+    SELECT cluster AS cid, list(m ORDER BY pos) AS ctr FROM (
+      SELECT a.cluster, e.pos, avg(e.v) AS m FROM ll_a{i} a JOIN ll_el e USING (row_id) GROUP BY 1, 2)
+    GROUP BY 1) u USING (cid))""")
+    parts.append(assign(iterations))
+    parts.append(f"lloyd_final AS (SELECT * FROM ll_a{iterations})")
+    return ",\n".join(parts)

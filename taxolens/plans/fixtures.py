@@ -78,3 +78,21 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("row_id"),
                     F.col("embedding").cast("array<double>").alias("features"),
                     F.col("label").cast("string").alias("true_label"))
+
+
+def vec_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings paired with documents by id: vector, cluster = label, truth = lang, text."""
+    e = read_table(spark, sf_dir, "embeddings")
+    d = read_table(spark, sf_dir, "documents")
+    return (e.join(d, e["vec_id"] == d["doc_id"])
+            .select(F.col("vec_id").alias("row_id"),
+                    F.col("embedding").cast("array<double>").alias("features"),
+                    F.col("label").alias("cluster"), F.col("lang").alias("true_label"), "text"))
+
+
+def vec_lab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings as a labeling: features, cluster = label."""
+    e = read_table(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("row_id"),
+                    F.col("embedding").cast("array<double>").alias("features"),
+                    F.col("label").alias("cluster"))
