@@ -91,3 +91,56 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
         if changed == 0:
             break
     return labels
+
+
+def grouped_block_cogroup(left: DataFrame, right: DataFrame, group: str, nb_col: str,
+                          kernel, schema: str, key: str = ROW_ID) -> DataFrame:
+    """Like ``block_cogroup`` but within groups: group g is split into ``nb_col``
+    blocks per side (per-group, so only large groups pay replication)."""
+    right = right.select(*[F.col(f"`{c}`").alias(c) for c in right.columns])
+    blk = F.pmod(F.xxhash64(F.col(key)), F.col(nb_col)).cast("int")
+    fan = F.explode(F.sequence(F.lit(0), F.col(nb_col) - 1))
+    lb = left.withColumn("_lb", blk).withColumn("_rb", fan)
+    rb = right.withColumn("_rb", blk).withColumn("_lb", fan)
+    names = [f.split()[0] for f in schema.split(",")]
+
+    def run(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+        if lp.empty or rp.empty:
+            return pd.DataFrame({n: [] for n in names})
+        return kernel(lp, rp)
+
+    return (lb.groupBy(group, "_lb", "_rb").cogroup(rb.groupBy(group, "_lb", "_rb"))
+            .applyInPandas(run, schema))
+
+
+def local_components(ids: np.ndarray, adj: np.ndarray) -> np.ndarray:
+    """Min-id labels of the components of a small dense graph (numpy, pointer jumping)."""
+    n = len(ids)
+    lab = np.arange(n)
+    if n == 0:
+        return ids
+    big = n
+    while True:
+        nb_min = np.where(adj, lab[None, :], big).min(axis=1)
+        new = np.minimum(lab, nb_min)
+        new = new[new]
+        if np.array_equal(new, lab):
+            break
+        lab = new
+    # translate index labels to min original id per component
+    comp_min = {}
+    for i, l in enumerate(lab):
+        comp_min[l] = min(comp_min.get(l, ids[i]), ids[i])
+    return np.array([comp_min[l] for l in lab], dtype=np.int64)
+
+
+def dense_index(df: DataFrame, col: str, out: str = "idx") -> DataFrame:
+    """0-based dense rank of the distinct values of ``col`` (ascending).
+
+    Distributed: sort + ``zipWithIndex`` (Spark counts partitions first), so
+    no single task sees all values.
+    """
+    distinct = df.select(col).distinct().orderBy(col)
+    spark = df.sparkSession
+    rdd = distinct.rdd.zipWithIndex().map(lambda t: (t[0][0], int(t[1])))
+    return spark.createDataFrame(rdd, schema=f"{col} {dict(distinct.dtypes)[col]}, {out} long")

@@ -10,4 +10,5 @@ from taxolens.plans.catalog import (  # noqa: F401  (registration side effects)
     q_metrics,
     q_reports,
     q_vectors,
+    q_cluster,
 )
