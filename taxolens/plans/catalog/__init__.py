@@ -11,4 +11,5 @@ from taxolens.plans.catalog import (  # noqa: F401  (registration side effects)
     q_reports,
     q_vectors,
     q_cluster,
+    q_flows,
 )

@@ -123,3 +123,41 @@ def lloyd_sql(src: str, k: int, iterations: int) -> str:
     parts.append(assign(iterations))
     parts.append(f"lloyd_final AS (SELECT * FROM ll_a{iterations})")
     return ",\n".join(parts)
+
+FLOW_SRC = """flow_src AS (
+  SELECT doc_id AS row_id, source AS true_label,
+         CASE WHEN doc_id % 10 = 9 THEN -1 ELSE CAST(doc_id % 10 AS INTEGER) END AS cluster
+  FROM documents)"""
+
+
+def sankey_ctes(src: str, top_n: int = 15, part: str | None = None) -> str:
+    """``sub``, ``tix``, ``cix``, ``flows(source, target, value, true_label, cluster[, part])``."""
+    pk = f"{part}, " if part else ""
+    pby = f"PARTITION BY {part} " if part else ""
+    on_part = f" AND c.{part} = t.{part}" if part else ""
+    return f"""top AS (SELECT true_label FROM {src} WHERE true_label IS NOT NULL GROUP BY 1
+              ORDER BY count(*) DESC, true_label LIMIT {top_n}),
+sub AS (SELECT * FROM {src} WHERE true_label IN (SELECT true_label FROM top)),
+tix AS (SELECT {pk}true_label, CAST(dense_rank() OVER ({pby}ORDER BY true_label) - 1 AS BIGINT) AS idx
+        FROM (SELECT DISTINCT {pk}true_label FROM sub)),
+ntix AS (SELECT {pk}count(*) AS nt FROM tix {"GROUP BY " + part if part else ""}),
+cix AS (SELECT {pk}cluster, CAST(dense_rank() OVER ({pby}ORDER BY cluster) - 1 AS BIGINT) AS ci
+        FROM (SELECT DISTINCT {pk}cluster FROM sub)),
+flows AS (
+  SELECT {("f." + part + ", ") if part else ""}t.idx AS source, c.ci + n.nt AS target, f.value, f.true_label, f.cluster
+  FROM (SELECT {pk}true_label, cluster, count(*) AS value FROM sub GROUP BY ALL) f
+  JOIN tix t ON t.true_label = f.true_label{(" AND t." + part + " = f." + part) if part else ""}
+  JOIN cix c ON c.cluster = f.cluster{(" AND c." + part + " = f." + part) if part else ""}
+  {"JOIN ntix n ON n." + part + " = f." + part if part else "CROSS JOIN ntix n"})"""
+
+
+def composition_ctes(items: str) -> str:
+    """``comp(cluster_id, rank, name, count, percentage, total_size, purity, dominant_category)``."""
+    return f"""citems AS ({items}),
+cr AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY count DESC, name) AS rank,
+              sum(count) OVER (PARTITION BY cluster_id) AS total_size FROM citems),
+comp AS (
+  SELECT c.cluster_id, CAST(c.rank AS BIGINT) AS rank, c.name, c.count,
+         CAST(round_even(CAST(c.count * 100.0 / c.total_size AS DECIMAL(18, 9)), 1) AS DOUBLE) AS percentage,
+         CAST(c.total_size AS BIGINT) AS total_size, d.count / c.total_size AS purity, d.name AS dominant_category
+  FROM cr c JOIN cr d ON d.cluster_id = c.cluster_id AND d.rank = 1)"""

@@ -96,3 +96,11 @@ def vec_lab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("row_id"),
                     F.col("embedding").cast("array<double>").alias("features"),
                     F.col("label").alias("cluster"))
+
+
+def flow_src(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents with truth = source (20 categories) and cluster = doc_id % 10 (9 → noise)."""
+    d = read_table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("row_id"), F.col("source").alias("true_label"),
+                    F.when(F.col("doc_id") % 10 == 9, F.lit(-1))
+                    .otherwise((F.col("doc_id") % 10).cast("int")).alias("cluster"))
