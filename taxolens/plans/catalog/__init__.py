@@ -12,4 +12,5 @@ from taxolens.plans.catalog import (  # noqa: F401  (registration side effects)
     q_vectors,
     q_cluster,
     q_flows,
+    q_ensemble,
 )
