@@ -13,4 +13,5 @@ from taxolens.plans.catalog import (  # noqa: F401  (registration side effects)
     q_cluster,
     q_flows,
     q_ensemble,
+    q_models,
 )

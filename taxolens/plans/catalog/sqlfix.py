@@ -161,3 +161,16 @@ comp AS (
          CAST(round_even(CAST(c.count * 100.0 / c.total_size AS DECIMAL(18, 9)), 1) AS DOUBLE) AS percentage,
          CAST(c.total_size AS BIGINT) AS total_size, d.count / c.total_size AS purity, d.name AS dominant_category
   FROM cr c JOIN cr d ON d.cluster_id = c.cluster_id AND d.rank = 1)"""
+
+VD_LAB = VEC_DOC + f""",
+vd_lab AS (
+  SELECT 'label' AS algo, 0 AS algo_ord, v.row_id, v.features, v.true_label, CAST(v.cluster AS INTEGER) AS cluster
+  FROM vec_doc v
+  UNION ALL
+  SELECT 'src', 1, v.row_id, v.features, v.true_label,
+         CASE WHEN d.source = 'src0' THEN -1 ELSE CAST(substr(d.source, 4) AS INTEGER) END
+  FROM vec_doc v JOIN documents d ON d.doc_id = v.row_id
+  UNION ALL
+  SELECT 'mod', 2, v.row_id, v.features, v.true_label,
+         CASE WHEN v.row_id % 10 = 9 THEN -1 ELSE CAST(v.row_id % 10 AS INTEGER) END
+  FROM vec_doc v)"""

@@ -57,3 +57,56 @@ def metrics_select(names: list[str], cont: str = "cont", digits: int = DIGITS) -
     m = metric_sql()
     cols = ", ".join(f"round({m[k]}, {digits}) AS {k}" for k in names)
     return f"SELECT {cols} FROM {sums_sql(cont)}"
+
+
+def internal_sql(src: str, p: str) -> tuple[str, str]:
+    """(CTEs, select-list) computing silhouette, Davies-Bouldin and Calinski-Harabasz
+    over a CTE ``src(row_id, features, cluster)``; CTE names are prefixed by ``p``."""
+    ctes = f"""{p}sizes AS (SELECT cluster, count(*) AS sz FROM {src} GROUP BY 1),
+{p}pdist AS (
+  SELECT a.row_id, a.cluster AS c, b.cluster AS oc, sum(list_distance(a.features, b.features)) AS s
+  FROM {src} a CROSS JOIN {src} b GROUP BY 1, 2, 3),
+{p}per AS (
+  SELECT p.row_id, max(CASE WHEN oc = c THEN sz END) AS own, max(CASE WHEN oc = c THEN s END) AS own_s,
+         min(CASE WHEN oc <> c THEN s / sz END) AS b
+  FROM {p}pdist p JOIN {p}sizes z ON z.cluster = p.oc GROUP BY 1),
+{p}elems AS (SELECT row_id, cluster, unnest(features) AS v, unnest(range(len(features))) AS pos FROM {src}),
+{p}cent AS (
+  SELECT cluster, max(sz) AS size, list(value ORDER BY pos) AS centroid FROM (
+    SELECT cluster, pos, avg(v) AS value, count(*) AS sz FROM {p}elems GROUP BY 1, 2) GROUP BY 1),
+{p}spread AS (
+  SELECT x.cluster, avg(list_distance(x.features, c.centroid)) AS s
+  FROM {src} x JOIN {p}cent c USING (cluster) GROUP BY 1),
+{p}cs AS (SELECT c.cluster, c.centroid, s.s FROM {p}cent c JOIN {p}spread s USING (cluster)),
+{p}pairs AS (
+  SELECT a.cluster, max(a.s) AS s,
+         max(CASE WHEN list_distance(a.centroid, b.centroid) = 0 THEN 0.0
+                  ELSE (a.s + b.s) / list_distance(a.centroid, b.centroid) END) AS r,
+         max(list_distance(a.centroid, b.centroid)) AS dmax
+  FROM {p}cs a CROSS JOIN {p}cs b GROUP BY 1),
+{p}g AS (SELECT list(m ORDER BY pos) AS gmean FROM (SELECT pos, avg(v) AS m FROM {p}elems GROUP BY 1)),
+{p}ch AS (
+  SELECT CASE WHEN w.ssw = 0 THEN 1.0 ELSE b.ssb * (w.n - b.k) / (w.ssw * (b.k - 1.0)) END AS v
+  FROM (SELECT sum(c.size * list_distance(c.centroid, g.gmean) ^ 2) AS ssb, count(*) AS k FROM {p}cent c, {p}g g) b,
+       (SELECT sum(list_distance(x.features, c.centroid) ^ 2) AS ssw, count(*) AS n
+        FROM {src} x JOIN {p}cent c USING (cluster)) w)"""
+    sel = (f"(SELECT avg(CASE WHEN own <= 1 THEN 0.0 ELSE (b - own_s / (own - 1)) / "
+           f"greatest(own_s / (own - 1), b) END) FROM {p}per) AS silhouette, "
+           f"(SELECT CASE WHEN max(abs(s)) <= 1e-8 OR max(dmax) <= 1e-8 THEN 0.0 ELSE avg(r) END "
+           f"FROM {p}pairs) AS davies_bouldin, (SELECT v FROM {p}ch) AS calinski_harabasz")
+    return ctes, sel
+
+
+def full_metrics_sql(src: str, p: str) -> tuple[str, str]:
+    """(CTEs, select-list) of the M14 record (unrounded) for a labeled vector CTE with truth."""
+    ictes, isel = internal_sql(src, p)
+    ctes = ictes + f""",
+{p}cont AS (SELECT true_label, cluster, count(*) AS n FROM {src} WHERE true_label IS NOT NULL GROUP BY 1, 2),
+{p}sums AS {sums_sql(p + 'cont')}"""
+    m = metric_sql()
+    ext = ", ".join(f"(SELECT {m[k]} FROM {p}sums) AS {k}" for k in
+                    ["purity", "ari", "nmi", "homogeneity", "completeness", "v_measure", "fowlkes_mallows"])
+    sel = (f"(SELECT count(DISTINCT CASE WHEN cluster <> -1 THEN cluster END) FROM {src}) AS n_clusters, "
+           f"(SELECT avg(CASE WHEN cluster = -1 THEN 1.0 ELSE 0.0 END) FROM {src}) AS noise_ratio, "
+           f"{isel}, {ext}")
+    return ctes, sel

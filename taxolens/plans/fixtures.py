@@ -104,3 +104,21 @@ def flow_src(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("row_id"), F.col("source").alias("true_label"),
                     F.when(F.col("doc_id") % 10 == 9, F.lit(-1))
                     .otherwise((F.col("doc_id") % 10).cast("int")).alias("cluster"))
+
+
+VD_ALGOS = ["label", "src", "mod"]
+
+
+def vd_lab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_doc rows under three labelings (algo, algo_ord, row_id, features, true_label, cluster)."""
+    v = vec_doc(spark, sf_dir)
+    d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "source")
+    base = v.join(d, "row_id")
+    lab = base.select(F.lit("label").alias("algo"), F.lit(0).alias("algo_ord"), "row_id", "features",
+                      "true_label", F.col("cluster").cast("int").alias("cluster"))
+    src = base.select(F.lit("src").alias("algo"), F.lit(1).alias("algo_ord"), "row_id", "features",
+                      "true_label", _src_number().alias("cluster"))
+    mod = base.select(F.lit("mod").alias("algo"), F.lit(2).alias("algo_ord"), "row_id", "features", "true_label",
+                      F.when(F.col("row_id") % 10 == 9, F.lit(-1))
+                      .otherwise((F.col("row_id") % 10).cast("int")).alias("cluster"))
+    return lab.unionByName(src).unionByName(mod)
