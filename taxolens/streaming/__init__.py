@@ -1,0 +1,5 @@
+"""Streaming: the reference has no streaming operators, so none are built.
+
+All operators are batch DataFrame functions; they can be applied per micro-batch
+with ``foreachBatch`` if a caller needs incremental runs.
+"""
