@@ -294,3 +294,46 @@ def representatives(df: DataFrame, n: int = 3, features: str = "features",
     w = Window.partitionBy(cluster).orderBy(F.when(small, F.lit(0.0)).otherwise(F.col("dist")), ROW_ID)
     return (j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
             .drop("_c", "centroid"))
+
+
+def nearest_join(points: DataFrame, centers: DataFrame, features: str = "features",
+                 center_features: str = "centroid", center_id: str = "cid", block_rows: int = 4096) -> DataFrame:
+    """J7 without the driver: nearest centre by a blocked cogroup of points × centres.
+
+    For centre sets too large to broadcast. Emits one candidate per (point, centre
+    block) and reduces with ``min(struct(dist, id))`` (ties → lowest id).
+    """
+    n_c = centers.count()
+    nb = max(1, -(-n_c // block_rows))
+    left = points.select(ROW_ID, features)
+    right = centers.select(F.col(center_id).cast("long").alias(ROW_ID), F.col(center_features).alias("_cf"))
+
+    def kernel(lp, rp):
+        D = pair_distances(stack(lp[features]), stack(rp["_cf"]))
+        ids = rp[ROW_ID].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        D, ids = D[:, order], ids[order]
+        j = D.argmin(axis=1)
+        return pd.DataFrame({ROW_ID: lp[ROW_ID].to_numpy(), "cid": ids[j], "dist": D[np.arange(len(lp)), j]})
+
+    cand = _points_vs_blocks(left, right, nb, kernel)
+    best = cand.groupBy(ROW_ID).agg(F.min(F.struct("dist", "cid")).alias("b"))
+    return best.select(ROW_ID, F.col("b.cid").cast("int").alias(CLUSTER), F.col("b.dist").alias("dist"))
+
+
+def _points_vs_blocks(left: DataFrame, right: DataFrame, nb: int, kernel) -> DataFrame:
+    """Each point meets every centre block once: key = (point hash bucket, centre block)."""
+    n_pb = max(1, left.sparkSession.sparkContext.defaultParallelism)
+    lb = (left.withColumn("_pb", F.pmod(F.xxhash64(ROW_ID), F.lit(n_pb)))
+          .withColumn("_cb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))))
+    rb = (right.select(*[F.col(c).alias(c) for c in right.columns])
+          .withColumn("_cb", F.pmod(F.xxhash64(ROW_ID), F.lit(nb)))
+          .withColumn("_pb", F.explode(F.sequence(F.lit(0), F.lit(n_pb - 1)))))
+
+    def run(lp, rp):
+        if lp.empty or rp.empty:
+            return pd.DataFrame({ROW_ID: [], "cid": [], "dist": []})
+        return kernel(lp, rp)
+
+    return (lb.groupBy("_pb", "_cb").cogroup(rb.groupBy("_pb", "_cb"))
+            .applyInPandas(run, f"{ROW_ID} long, cid long, dist double"))

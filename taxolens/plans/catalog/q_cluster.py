@@ -40,3 +40,28 @@ FROM vectors v LEFT JOIN corelab cl USING (row_id) LEFT JOIN border b USING (row
 @register("dbscan", _DBSCAN_SQL)
 def q_dbscan(spark, sf):
     return dbscan(FX.vectors(spark, sf).select("row_id", "features"), EPS, MIN_SAMPLES)
+
+
+@register("birch_cf")
+def q_birch_cf(spark, sf):
+    from taxolens.operators.clustering.birch import cf_build, cf_merge, cf_radius
+    v = FX.vectors(spark, sf)
+    return cf_radius(cf_merge(cf_build(v, 0.75), 0.75))
+
+
+@register("birch")
+def q_birch(spark, sf):
+    from taxolens.operators.clustering.birch import birch
+    return birch(FX.vectors(spark, sf), threshold=0.75, n_clusters=None)
+
+
+@register("birch_global")
+def q_birch_global(spark, sf):
+    from taxolens.operators.clustering.birch import birch
+    return birch(FX.vectors(spark, sf), threshold=0.75, n_clusters=10)
+
+
+@register("ward_micro")
+def q_ward_micro(spark, sf):
+    from taxolens.operators.clustering.ward import ward_micro
+    return ward_micro(FX.vectors(spark, sf), n_clusters=10, micro_clusters=50)
