@@ -65,3 +65,63 @@ def q_birch_global(spark, sf):
 def q_ward_micro(spark, sf):
     from taxolens.operators.clustering.ward import ward_micro
     return ward_micro(FX.vectors(spark, sf), n_clusters=10, micro_clusters=50)
+
+
+_CORE_K = 5
+
+
+@register("core_distance", S.with_(S.VECTORS, """pd AS (
+  SELECT a.row_id, list_distance(a.features, b.features) AS d,
+         row_number() OVER (PARTITION BY a.row_id ORDER BY list_distance(a.features, b.features)) AS rk
+  FROM vectors a CROSS JOIN vectors b)""", body=f"""
+SELECT row_id, round(d, 6) AS core_dist FROM pd WHERE rk = {_CORE_K}"""))
+def q_core_distance(spark, sf):
+    from taxolens.operators.clustering.density import core_distances
+    from taxolens.plans.catalog.util import rounded
+    return rounded(core_distances(FX.vectors(spark, sf), _CORE_K))
+
+
+_CORE_SQL = f"""pd AS (
+  SELECT a.row_id AS a, b.row_id AS b, list_distance(a.features, b.features) AS d,
+         row_number() OVER (PARTITION BY a.row_id ORDER BY list_distance(a.features, b.features)) AS rk
+  FROM vectors a CROSS JOIN vectors b),
+core AS (SELECT a AS row_id, d AS cd FROM pd WHERE rk = {_CORE_K})"""
+
+
+@register("mutual_reachability", S.with_(S.VECTORS, _CORE_SQL, body="""
+SELECT p.a AS row_id, round(min(greatest(p.d, ca.cd, cb.cd)), 6) AS w
+FROM pd p JOIN core ca ON ca.row_id = p.a JOIN core cb ON cb.row_id = p.b
+WHERE p.a <> p.b GROUP BY 1"""))
+def q_mutual_reachability(spark, sf):
+    from taxolens.operators.clustering.density import core_distances, mr_nearest
+    from taxolens.plans.catalog.util import rounded
+    v = FX.vectors(spark, sf)
+    return rounded(mr_nearest(v, core_distances(v, _CORE_K)).select("row_id", "w"))
+
+
+_SWEEP = [1.16, 1.2]
+
+
+def _sweep_sql() -> str:
+    parts = ["WITH RECURSIVE " + S.VECTORS, _CORE_SQL]
+    sels = []
+    for i, eps in enumerate(_SWEEP):
+        parts += [f"core{i} AS (SELECT row_id FROM core WHERE cd <= {eps})",
+                  f"ce{i} AS (SELECT p.a, p.b FROM pd p WHERE p.d <= {eps} AND p.a IN (SELECT row_id FROM core{i}) "
+                  f"AND p.b IN (SELECT row_id FROM core{i}))",
+                  f"""reach{i}(node, comp) AS (
+  SELECT row_id, row_id FROM core{i}
+  UNION
+  SELECT ce{i}.b, reach{i}.comp FROM reach{i} JOIN ce{i} ON ce{i}.a = reach{i}.node)""",
+                  f"comps{i} AS (SELECT node, min(comp) AS comp FROM reach{i} GROUP BY 1)",
+                  f"""lab{i} AS (SELECT node AS row_id, CAST(dense_rank() OVER (ORDER BY comp) - 1 AS INTEGER) AS cluster
+  FROM comps{i})"""]
+        sels.append(f"""SELECT CAST({eps} AS DOUBLE) AS eps, v.row_id, CAST(coalesce(l.cluster, -1) AS INTEGER) AS cluster
+FROM vectors v LEFT JOIN lab{i} l USING (row_id)""")
+    return ",\n".join(parts) + "\n" + "\nUNION ALL\n".join(sels)
+
+
+@register("density_sweep", _sweep_sql())
+def q_density_sweep(spark, sf):
+    from taxolens.operators.clustering.density import density_sweep
+    return density_sweep(FX.vectors(spark, sf), _SWEEP, _CORE_K)

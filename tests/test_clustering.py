@@ -95,3 +95,28 @@ def test_components(spark):
     adj = np.zeros((4, 4), dtype=bool)
     adj[0, 3] = adj[3, 0] = True
     assert local_components(np.array([10, 11, 12, 13]), adj).tolist() == [10, 11, 12, 10]
+
+
+def test_boruvka_mst_matches_prim(spark):
+    from taxolens.operators.clustering.density import boruvka_mst, core_distances
+    v = FX.vectors(spark, SF_SMALL).orderBy("row_id").limit(120)
+    pdf = v.toPandas()
+    X = np.stack(pdf["features"].to_numpy())
+    D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
+    core = np.sort(D, axis=1)[:, 4]
+    M = np.maximum(D, np.maximum(core[:, None], core[None, :]))
+    n = len(X)
+    seen = np.zeros(n, bool)
+    seen[0] = True
+    best = M[0].copy()
+    total = 0.0
+    for _ in range(n - 1):
+        cand = np.where(seen, np.inf, best)
+        j = int(np.argmin(cand))
+        total += cand[j]
+        seen[j] = True
+        best = np.minimum(best, M[j])
+    cd = core_distances(v, 5, block_rows=40)
+    mst = boruvka_mst(v, cd, block_rows=40).toPandas()
+    assert len(mst) == n - 1
+    assert mst["w"].sum() == pytest.approx(total, rel=1e-9)
