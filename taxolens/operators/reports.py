@@ -185,3 +185,20 @@ def cluster_report(df: DataFrame, truth: str = TRUTH, cluster: str = CLUSTER,
         (first["n"] / F.col("size")).alias("purity"),
         ((first["n"] - F.coalesce(second["n"], F.lit(0))) / F.col("size")).alias("top2_gap"),
         counts.alias("top_L3_counts"))
+
+
+def cluster_quality_report(df: DataFrame, vectors: DataFrame | None = None, features: str = "features",
+                           truth: str | None = TRUTH, cluster: str = CLUSTER, n_worst: int = 10):
+    """(stats, summary, size histogram, purity histogram, worst-cluster analysis).
+
+    Without truth the purity parts are None (the reference's print fails there).
+    """
+    stats = cluster_stats(df, truth, cluster)
+    summary = quality_summary(stats)
+    sizes = size_histogram(df, 50, cluster)
+    purity = purity_histogram(stats, 20) if truth else None
+    worst = None
+    if vectors is not None and truth:
+        from taxolens.plans.catalog.q_vectors import worst_clusters_analysis
+        worst = worst_clusters_analysis(df.join(vectors.select(ROW_ID, features), ROW_ID), n_worst)
+    return stats, summary, sizes, purity, worst

@@ -14,4 +14,5 @@ from taxolens.plans.catalog import (  # noqa: F401  (registration side effects)
     q_flows,
     q_ensemble,
     q_models,
+    q_run,
 )

@@ -28,3 +28,59 @@ def flagship(spark: SparkSession, sf_dir: str, k: int = 4, dims: int = 16) -> Da
     labels = kmeans(red.select("row_id", "reduced"), n_clusters=k, n_init=3, features="reduced")
     joined = docs.join(labels, "row_id")
     return cluster_stats(joined)
+
+
+DEFAULT_GRIDS = {
+    "MiniBatchKMeans": {"n_clusters": [4, 8], "batch_size": [256]},
+    "BisectingKMeans": {"n_clusters": [4, 8]},
+    "BIRCH": {"threshold": [0.3, 0.5], "n_clusters": [None]},
+}
+
+
+def run_analysis(products: DataFrame, dims: int = 8, grids: dict | None = None, sample_size: int = 10000,
+                 num_features: int = 512) -> dict[str, DataFrame]:
+    """T4: features → embeddings → PCA → tune + fit each algorithm → metrics → voting
+    ensemble → supervised control → comparison report → quality report of the best model.
+
+    Returns the named result DataFrames (the CLI's CSV/HTML outputs as data).
+    """
+    from taxolens.operators.clustering.registry import run_algorithm
+    from taxolens.operators.ensemble import voting_ensemble
+    from taxolens.operators.evaluation import best_model, compute_metrics, metrics_long, results_table
+    from taxolens.operators.features import create_text_features
+    from taxolens.operators.flows import flow_subset, sankey_flows
+    from taxolens.operators.reports import cluster_quality_report
+    from taxolens.operators.supervised import run_baseline
+    from taxolens.operators.tuning import require_params, tune_hyperparameters
+
+    from taxolens.session import cut_lineage
+
+    grids = grids or DEFAULT_GRIDS
+    feats = cut_lineage(create_text_features(products))
+    vecs = pca(embed_text(feats, "cluster_text", num_features=num_features), dims, out="reduced")
+    vecs = cut_lineage(vecs.select("row_id", "true_label", F.col("reduced").alias("features")))
+    records, labelings = {}, []
+    for i, (algo, grid) in enumerate(grids.items()):
+        best_params, _, _ = tune_hyperparameters(vecs, algo, grid, sample_size)
+        labels = cut_lineage(run_algorithm(algo, vecs, **require_params(best_params)))
+        labeled = vecs.join(labels, "row_id")
+        rec = compute_metrics(labeled, sample_size=sample_size).withColumn("best_params", F.lit(str(best_params)))
+        records[algo] = cut_lineage(rec)
+        labelings.append(labels.select(F.lit(algo).alias("algo"), F.lit(i).alias("algo_ord"), "row_id", "cluster"))
+    all_lab = labelings[0]
+    for extra in labelings[1:]:
+        all_lab = all_lab.unionByName(extra)
+    ens = cut_lineage(voting_ensemble(all_lab))
+    records["Ensemble (Voting)"] = cut_lineage(compute_metrics(vecs.join(ens, "row_id"), sample_size=sample_size))
+    base, _ = run_baseline(vecs)
+    records["Supervised Baseline"] = cut_lineage(base)
+    report = cut_lineage(results_table(records))
+    clustering = [a for a in records if a != "Supervised Baseline"]
+    best = best_model(report, clustering).first()["algorithm"]
+    best_lab = ens if best == "Ensemble (Voting)" else all_lab.filter(F.col("algo") == best).select("row_id", "cluster")
+    labeled_best = feats.select("row_id", "true_label", F.col("cluster_text").alias("text")).join(best_lab, "row_id")
+    stats, summary, sizes, purity, worst = cluster_quality_report(labeled_best, vecs)
+    return {"features": feats, "vectors": vecs, "labelings": all_lab, "ensemble": ens, "report": report,
+            "metrics_long": metrics_long(report), "cluster_stats": stats, "summary": summary,
+            "size_histogram": sizes, "purity_histogram": purity, "worst_clusters": worst,
+            "sankey_flows": sankey_flows(flow_subset(labeled_best))}
