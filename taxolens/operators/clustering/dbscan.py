@@ -57,6 +57,22 @@ def _cells(df: DataFrame, eps: float, features: str, max_pivots: int, block_rows
                     F.explode("_a.cells").alias("cell"))
 
 
+def _prepared(df: DataFrame, eps: float, features: str, max_pivots: int, block_rows: int) -> DataFrame:
+    """Cells with per-cell block counts, checkpointed.
+
+    When pivots prune poorly (high dimension, eps near typical distances) the
+    measured replication can exceed the cost of plain blocked all-pairs
+    (≈ N/block_rows copies per row); then every row goes to one cell, which
+    ``_with_blocks`` splits into bounded blocks.
+    """
+    n = df.count()
+    cells = cut_lineage(_cells(df, eps, features, max_pivots, block_rows, n))
+    replication = cells.count() / max(1, n)
+    if replication > max(1, -(-n // block_rows)):
+        cells = df.select(ROW_ID, features, F.lit(0).alias("home"), F.lit(0).alias("cell"))
+    return cut_lineage(_with_blocks(cells, block_rows))
+
+
 def _with_blocks(rows: DataFrame, block_rows: int) -> DataFrame:
     sizes = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("_sz"))
     nb = sizes.select("cell", F.greatest(F.lit(1), F.ceil(F.col("_sz") / block_rows)).cast("int").alias("_nb"))
@@ -66,9 +82,7 @@ def _with_blocks(rows: DataFrame, block_rows: int) -> DataFrame:
 def neighbor_counts(df: DataFrame, eps: float, features: str = "features", max_pivots: int = 256,
                     block_rows: int = 2048) -> DataFrame:
     """``(row_id, n_neighbors)`` with the row itself counted, distance ≤ eps."""
-    n = df.count()
-    rows = _with_blocks(_cells(df, eps, features, max_pivots, block_rows, n), block_rows)
-    rows = cut_lineage(rows)
+    rows = _prepared(df, eps, features, max_pivots, block_rows)
     home = rows.filter(F.col("cell") == F.col("home"))
 
     def kernel(lp, rp):
@@ -84,9 +98,7 @@ def neighbor_counts(df: DataFrame, eps: float, features: str = "features", max_p
 def dbscan(df: DataFrame, eps: float = 0.5, min_samples: int = 5, features: str = "features",
            max_pivots: int = 256, block_rows: int = 2048) -> DataFrame:
     """C4: labeling ``(row_id, cluster)``; -1 = noise."""
-    n = df.count()
-    rows = _with_blocks(_cells(df, eps, features, max_pivots, block_rows, n), block_rows)
-    rows = cut_lineage(rows)
+    rows = _prepared(df, eps, features, max_pivots, block_rows)
     home = rows.filter(F.col("cell") == F.col("home"))
 
     def count_kernel(lp, rp):

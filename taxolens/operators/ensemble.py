@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxolens.operators.assignment import max_weight_matching
+from taxolens.operators.metrics import join_single_rows
 from taxolens.operators.neighbors import connected_components, dense_index
 from taxolens.schema import NOISE, ROW_ID
 
@@ -79,8 +80,7 @@ def alignment_map(labelings: DataFrame, ref_ord: int = 0) -> DataFrame:
                     .agg(F.max("cluster").alias("mx")))
     ref_max = labelings.filter((F.col("algo_ord") == ref_ord) & (F.col("cluster") != NOISE)).agg(
         F.max("cluster").alias("rmx"))
-    bound = (per_algo_max.withColumn("_one", F.lit(1)).join(ref_max.withColumn("_one", F.lit(1)), "_one")
-             .select("algo", (F.greatest("mx", "rmx") + 1).alias("size")))
+    bound = join_single_rows(per_algo_max, ref_max).select("algo", (F.greatest("mx", "rmx") + 1).alias("size"))
     space = bound.select("algo", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("v"))
     present = labelings.filter((F.col("algo_ord") != ref_ord) & (F.col("cluster") != NOISE)).select(
         "algo", F.col("cluster").cast("long").alias("cluster")).distinct()

@@ -84,12 +84,19 @@ def contingency_sums(cont: DataFrame) -> DataFrame:
     )
 
 
-def join_single_rows(*frames: DataFrame) -> DataFrame:
-    """Side-by-side join of one-row aggregates via an equi-join on a constant key."""
-    out = frames[0].withColumn("_one", F.lit(1))
-    for f in frames[1:]:
-        out = out.join(f.withColumn("_one", F.lit(1)), on="_one", how="inner")
-    return out.drop("_one")
+def join_single_rows(base: DataFrame, *frames: DataFrame) -> DataFrame:
+    """Attach the columns of one-row aggregates to ``base`` as scalar subqueries.
+
+    Each one-row frame becomes a single struct-valued scalar subquery (run once,
+    broadcast as a value) — no join, no nested-loop plan.
+    """
+    out = base
+    for i, f in enumerate(frames):
+        tmp = f"_sq{i}"
+        out = out.withColumn(tmp, f.select(F.struct(*[F.col(f"`{c}`") for c in f.columns]).alias("s")).scalar())
+        out = out.select(*[F.col(f"`{c}`") for c in out.columns if c != tmp],
+                         *[F.col(tmp).getField(c).alias(c) for c in f.columns])
+    return out
 
 
 def _metric_columns() -> dict[str, Column]:

@@ -39,7 +39,7 @@ def _vectors(spark):
     return pdf, np.stack(pdf["features"].to_numpy())
 
 
-@pytest.mark.parametrize("eps,ms", [(1.14, 3), (1.16, 5)])
+@pytest.mark.parametrize("eps,ms", [(1.14, 3), (1.16, 5), (1.0, 1)])
 def test_dbscan_matches_bfs(spark, eps, ms):
     pdf, X = _vectors(spark)
     got = dbscan(FX.vectors(spark, SF_SMALL), eps, ms, max_pivots=8, block_rows=64).toPandas()
