@@ -148,3 +148,17 @@ FROM worst w LEFT JOIN reps r ON r.cluster = w.cluster_id AND r.rank <= 2
 GROUP BY 1, 2, 3, 4, 5"""))
 def q_worst_clusters_analysis(spark, sf):
     return rounded(worst_clusters_analysis(FX.vec_doc(spark, sf)))
+
+
+@register("pairwise_distance", S.with_(S.VEC_LAB, """firsts AS (
+  SELECT x.cluster, x.features AS f0 FROM vec_lab x
+  JOIN (SELECT cluster, min(row_id) AS r0 FROM vec_lab GROUP BY 1) m ON m.cluster = x.cluster AND m.r0 = x.row_id)""",
+                                        body="""
+SELECT x.row_id, x.cluster, round(list_distance(x.features, f.f0), 6) AS dist
+FROM vec_lab x JOIN firsts f USING (cluster)"""))
+def q_pairwise_distance(spark, sf):
+    """V4: Euclidean distance of every row to its cluster's first row (by row_id)."""
+    x = FX.vec_lab(spark, sf)
+    first_ids = x.groupBy("cluster").agg(F.min("row_id").alias("row_id"))
+    firsts = x.join(first_ids, ["cluster", "row_id"]).select("cluster", F.col("features").alias("f0"))
+    return rounded(x.join(firsts, "cluster").select("row_id", "cluster", distance("features", "f0").alias("dist")))
