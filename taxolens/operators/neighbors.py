@@ -87,6 +87,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
         jumped = cut_lineage(jumped) if (rnd + 1) % checkpoint_every == 0 else jumped.persist()
         changed = (jumped.join(labels.withColumnRenamed("comp", "old"), "node")
                    .filter(F.col("comp") != F.col("old")).limit(1).count())
+        if labels.is_cached:
+            labels.unpersist()
         labels = jumped
         if changed == 0:
             break
