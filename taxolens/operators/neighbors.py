@@ -136,13 +136,22 @@ def local_components(ids: np.ndarray, adj: np.ndarray) -> np.ndarray:
     return np.array([comp_min[l] for l in lab], dtype=np.int64)
 
 
+WINDOW_RANK_MAX = 200_000
+
+
 def dense_index(df: DataFrame, col: str, out: str = "idx") -> DataFrame:
     """0-based dense rank of the distinct values of ``col`` (ascending).
 
-    Distributed: sort + ``zipWithIndex`` (Spark counts partitions first), so
-    no single task sees all values.
+    Distinct sets up to ``WINDOW_RANK_MAX`` values (counted first) are ranked
+    with one ordered window; larger ones with sort + ``zipWithIndex``, which
+    only counts partitions and never puts all values in one task.
     """
-    distinct = df.select(col).distinct().orderBy(col)
+    distinct = df.select(col).distinct()
+    n = distinct.count()
+    if n <= WINDOW_RANK_MAX:
+        from pyspark.sql import Window
+        return distinct.select(col, (F.row_number().over(Window.orderBy(col)) - 1).cast("long").alias(out))
+    ordered = distinct.orderBy(col)
     spark = df.sparkSession
-    rdd = distinct.rdd.zipWithIndex().map(lambda t: (t[0][0], int(t[1])))
-    return spark.createDataFrame(rdd, schema=f"{col} {dict(distinct.dtypes)[col]}, {out} long")
+    rdd = ordered.rdd.zipWithIndex().map(lambda t: (t[0][0], int(t[1])))
+    return spark.createDataFrame(rdd, schema=f"{col} {dict(ordered.dtypes)[col]}, {out} long")
