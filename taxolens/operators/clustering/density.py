@@ -81,18 +81,24 @@ def boruvka_mst(df: DataFrame, core: DataFrame, features: str = "features", bloc
     nb = n_blocks_for(n, block_rows)
     comp = base.select(ROW_ID, F.col(ROW_ID).alias("comp"))
     mst = None
+    n_comp = n
     for _ in range(max_rounds):
-        if comp.select("comp").distinct().count() <= 1:
+        if n_comp <= 1:
             break
         cur = base.join(comp, ROW_ID)
         cand = block_cogroup(cur, cur, nb, _mr_kernel(features), f"{ROW_ID} long, comp long, nbr long, w double")
         edge = F.struct("w", F.least(ROW_ID, "nbr").alias("lo"), F.greatest(ROW_ID, "nbr").alias("hi"))
-        picked = cand.groupBy("comp").agg(F.min(edge).alias("e")).select(
-            F.col("e.lo").alias("src"), F.col("e.hi").alias("dst"), F.col("e.w").alias("w")).distinct()
-        mst = picked if mst is None else mst.unionByName(picked).distinct()
-        mst = cut_lineage(mst)
-        edges = mst.select("src", "dst").unionByName(base.select(F.col(ROW_ID).alias("src"), F.col(ROW_ID).alias("dst")))
-        comp = cut_lineage(connected_components(edges).select(F.col("node").alias(ROW_ID), "comp"))
+        picked = cut_lineage(cand.groupBy("comp").agg(F.min(edge).alias("e")).select(
+            F.col("e.lo").alias("src"), F.col("e.hi").alias("dst"), F.col("e.w").alias("w")).distinct())
+        mst = picked if mst is None else cut_lineage(mst.unionByName(picked))
+        # contract: components joined by this round's edges (graph on ≤ n_comp component ids)
+        cs = comp.withColumnRenamed(ROW_ID, "src").withColumnRenamed("comp", "ca")
+        cd = comp.withColumnRenamed(ROW_ID, "dst").withColumnRenamed("comp", "cb")
+        cedges = picked.join(cs, "src").join(cd, "dst").select(F.col("ca").alias("src"), F.col("cb").alias("dst"))
+        merged = connected_components(cedges).select(F.col("node").alias("comp"), F.col("comp").alias("new"))
+        comp = cut_lineage(comp.join(merged, "comp", "left")
+                           .select(ROW_ID, F.coalesce("new", "comp").alias("comp")))
+        n_comp = comp.select("comp").distinct().count()
     return mst
 
 
