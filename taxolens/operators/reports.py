@@ -73,8 +73,19 @@ def majority_label(df: DataFrame, truth: str = TRUTH, cluster: str = CLUSTER) ->
             .select(CLUSTER, F.coalesce("majority_label", F.lit("Unknown")).alias("majority_label")))
 
 
-def cluster_stats(df: DataFrame, truth: str | None = TRUTH, cluster: str = CLUSTER) -> DataFrame:
-    """cluster_id, size, pct (of all rows incl. noise) [, dominant_category, purity, num_categories]."""
+def cluster_stats(df: DataFrame, truth: str | None = TRUTH, cluster: str = CLUSTER,
+                  sort: bool = False) -> DataFrame:
+    """cluster_id, size, pct (of all rows incl. noise) [, dominant_category, purity, num_categories].
+
+    ``sort=True`` gives the report order (L4): purity ascending, ties by id; by id without truth.
+    """
+    out = _cluster_stats(df, truth, cluster)
+    if sort:
+        out = out.orderBy(*(["purity", "cluster_id"] if truth else ["cluster_id"]))
+    return out
+
+
+def _cluster_stats(df: DataFrame, truth: str | None, cluster: str) -> DataFrame:
     total = df.agg(F.count(F.lit(1)).alias("_total"))
     if truth is None:
         sizes = (df.filter(F.col(cluster) != NOISE).groupBy(F.col(cluster).alias("cluster_id"))
