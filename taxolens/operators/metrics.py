@@ -35,6 +35,9 @@ def contingency(df: DataFrame, truth: str = TRUTH, cluster: str = CLUSTER,
             .agg(F.count(F.lit(1)).alias("n")))
 
 
+MAX_PIVOT_COLUMNS = 10_000
+
+
 def crosstab_wide(df: DataFrame, truth: str = TRUTH, cluster: str = CLUSTER) -> DataFrame:
     """A3 wide form: one row per cluster, one count column per truth label.
 
@@ -42,7 +45,10 @@ def crosstab_wide(df: DataFrame, truth: str = TRUTH, cluster: str = CLUSTER) ->
     of categories) and is passed to ``pivot`` so Spark skips its own probe.
     """
     cont = contingency(df, truth, cluster)
-    labels = sorted(r[0] for r in cont.select(TRUTH).distinct().collect())
+    distinct = cont.select(TRUTH).distinct()
+    if distinct.count() > MAX_PIVOT_COLUMNS:
+        raise ValueError(f"more than {MAX_PIVOT_COLUMNS} categories; use the long contingency instead")
+    labels = sorted(r[0] for r in distinct.collect())
     wide = cont.groupBy(CLUSTER).pivot(TRUTH, labels).agg(F.sum("n"))
     return wide.select(CLUSTER, *[F.coalesce(F.col(f"`{v}`"), F.lit(0)).cast("long").alias(v)
                                   for v in labels])
