@@ -19,6 +19,21 @@ def flow_subset(df: DataFrame, top_n: int = 15, truth: str = TRUTH) -> DataFrame
     return df.join(F.broadcast(top), truth, "left_semi")
 
 
+def sankey(sub: DataFrame, truth: str = TRUTH, cluster: str = CLUSTER) -> tuple[DataFrame, DataFrame]:
+    """A9 + U2 together: (nodes, flows) sharing one pair of dense indices."""
+    t_idx = dense_index(sub, truth, "source").persist()
+    c_idx = dense_index(sub, cluster, "_ci").persist()
+    n_t = t_idx.count()
+    nodes = t_idx.select(F.col("source").alias("idx"), F.col(truth).alias("name"), F.lit("category").alias("kind")) \
+        .unionByName(c_idx.select((F.col("_ci") + n_t).alias("idx"), cluster_node_name(cluster).alias("name"),
+                                  F.lit("cluster").alias("kind")))
+    flows = (sub.groupBy(truth, cluster).agg(F.count(F.lit(1)).alias("value"))
+             .join(F.broadcast(t_idx), truth).join(c_idx, cluster)
+             .select("source", (F.col("_ci") + n_t).alias("target"), "value",
+                     F.col(truth).alias(TRUTH), F.col(cluster).alias(CLUSTER)))
+    return nodes, flows
+
+
 def sankey_nodes(sub: DataFrame, truth: str = TRUTH, cluster: str = CLUSTER) -> DataFrame:
     """Node list = sorted categories then ``Cluster {c}`` for sorted clusters."""
     t_idx = dense_index(sub, truth, "idx").select(F.col("idx"), F.col(truth).alias("name"),

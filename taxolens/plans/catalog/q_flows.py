@@ -95,8 +95,8 @@ def _payload_pages(spark, sf):
     pages = None
     for algo in ["src", "mod", "dec"]:
         sub = FL.flow_subset(lab.filter(F.col("algo") == algo).join(docs, "row_id"))
-        nodes = FL.sankey_nodes(sub).withColumn("algo", F.lit(algo))
-        fl = FL.sankey_flows(sub).withColumn("algo", F.lit(algo))
+        nodes, fl = FL.sankey(sub)
+        nodes, fl = nodes.withColumn("algo", F.lit(algo)), fl.withColumn("algo", F.lit(algo))
         page = FL.flow_payload(nodes, fl, "algo")
         pages = page if pages is None else pages.unionByName(page)
     return pages.withColumn("html", F.when(F.col("algo") == _BROKEN,
