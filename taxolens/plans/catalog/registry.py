@@ -20,8 +20,18 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def _shipped(fn: QueryFn) -> QueryFn:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from taxolens.session import ship_package
+        ship_package(spark)
+        return fn(spark, sf_dir)
+    run.__name__ = getattr(fn, "__name__", "query")
+    run.__doc__ = fn.__doc__
+    return run
+
+
 def queries() -> dict[str, QueryFn]:
-    return {k: v[0] for k, v in REGISTRY.items()}
+    return {k: _shipped(v[0]) for k, v in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
