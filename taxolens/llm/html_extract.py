@@ -134,6 +134,9 @@ def walk(page: str):
             if depth > 0 and stack[depth][0] in shut:
                 del stack[depth:]
         if tag in VOID:
+            if tag == "br":
+                _, path, beside, main = stack[-1]
+                yield "text", path, " ", beside, main, block
             continue
         name, beside = place_of(tag, m[3])
         _, path, out, main = stack[-1]

@@ -74,7 +74,8 @@ def word_counts(docs: DataFrame, vocabulary: set[bytes], text_col: str = "text")
         for pdf in batches:
             for t in pdf[text_col]:
                 n.update(w for w in ascii_words(t) if w in vocabulary)
-        yield pd.DataFrame({"w": [w.decode() for w in n], "n": list(n.values())})
+        if n:
+            yield pd.DataFrame({"w": [w.decode() for w in n], "n": list(n.values())})
 
     got = (docs.select(whole_text(text_col)).mapInPandas(run, "w string, n long")
            .groupBy("w").agg(F.sum("n").alias("n")).collect())
@@ -172,7 +173,7 @@ def scan_sql(templates=TEMPLATES, phrases=PHRASES, theta: float = THETA) -> str:
 
     places = " || ".join(
         f"list_transform(list_filter(range(0, len(ws) - {len(p.split()) - 1}), "
-        f"i -> ws[i + 1:i + {len(p.split())}] = {words(p)}), i -> {{'at': i, 'label': '{label}'}})"
+        f"lambda i: ws[i + 1:i + {len(p.split())}] = {words(p)}), lambda i: {{'at': i, 'label': '{label}'}})"
         for p, label in phrases)
     values = ", ".join(f"(list_distinct({words(t)}), '{label}', {least(len(set(ascii_words(t))), theta)})"
                        for t, label in templates)
@@ -187,10 +188,10 @@ met AS (SELECT l.doc_id, m.label, len(list_intersect(l.toks, m.toks)) / len(m.to
         FROM lines l, templates m WHERE len(list_intersect(l.toks, m.toks)) >= m.need),
 labels AS (SELECT doc_id, list(label) AS labels, max(share) AS share FROM met GROUP BY doc_id)
 SELECT b.doc_id, n_words::BIGINT AS n_words, len(places)::BIGINT AS n_base,
-       list_min(list_transform(places, p -> p.at))::BIGINT AS first_word,
-       list_max(list_transform(places, p -> p.at))::BIGINT AS last_word,
-       array_to_string(list_sort(list_distinct(list_transform(places, p -> p.label))), ',') AS base_labels,
-       array_to_string(list_sort(list_distinct(list_transform(places, p -> p.label) || coalesce(l.labels, []))), ',')
+       list_min(list_transform(places, lambda p: p.at))::BIGINT AS first_word,
+       list_max(list_transform(places, lambda p: p.at))::BIGINT AS last_word,
+       array_to_string(list_sort(list_distinct(list_transform(places, lambda p: p.label))), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_transform(places, lambda p: p.label) || coalesce(l.labels, []))), ',')
            AS labels,
        CASE WHEN len(places) > 0 THEN 1.0 ELSE coalesce(l.share, 0.0) END::DOUBLE AS score
 FROM b LEFT JOIN labels l ON l.doc_id = b.doc_id"""
