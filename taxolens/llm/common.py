@@ -16,7 +16,7 @@ from taxolens.session import cut_lineage, ensure_checkpoint_dir
 
 MASK = (1 << 64) - 1
 #: Entries a worker keeps in a word cache before it stops adding new ones.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 
 _WORD_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20
@@ -37,6 +37,17 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def rewritten(df: DataFrame, name: str) -> DataFrame:
+    """The rows written as Parquet below the shared folder and read again.
+
+    For rounds: a checkpoint keeps the constraints of the plan that made it, which pile up from round to round and
+    slow down planning; a table that is read starts afresh.
+    """
+    folder = shared_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def whole_text(name: str = "text") -> Column:
     """The text column; null reads as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name)
@@ -137,8 +148,8 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     minimum (partial aggregation) and a join on the node, whose hot keys adaptive execution splits. Raises if it
     has not closed after ``max_rounds``. Self links and nulls are dropped.
     """
-    e = keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-             .filter("u <> v").distinct())
+    e = rewritten(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+                  .filter("u <> v").distinct(), "edges")
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # the minima are kept, so that the joins deal out both sides and a hub can be split
@@ -151,7 +162,7 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         small = (large.join(low2, "u")
                  .select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(low2.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
-        nxt = keep(small)
+        nxt = rewritten(small, "edges")
         n_new, n_old = nxt.count(), e.count()
         same = n_new == n_old and nxt.exceptAll(e).isEmpty()
         e = nxt
@@ -161,6 +172,34 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     raise RuntimeError(f"components did not close in {max_rounds} rounds")
 
 
+def likely_member(ids: DataFrame, most_bits: int = 1 << 26) -> Callable[[Column], Column]:
+    """A predicate over long ids that holds for all ``ids (id)`` and for few others, to thin rows before a join.
+
+    A two-probe bitmap of 16 bits an id, never more than ``most_bits`` (8 MB), is broadcast; with more ids it
+    lets more others pass, and the join behind it stays exact.
+    """
+    n = ids.count()
+    bits = 64
+    while bits < min(most_bits, 16 * max(1, n)):
+        bits *= 2
+    word = [F.pmod(F.xxhash64("id", F.lit(k)), F.lit(bits)) for k in (1, 2)]
+    got = (ids.select(F.explode(F.array(*word)).alias("p"))
+           .groupBy(F.shiftright("p", 5).alias("w"))
+           .agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 32 as int))")).alias("b"))).toPandas()
+    table = np.zeros(bits // 32, np.uint32)
+    table[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64).astype(np.uint32)
+    sent = ids.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def probe(a: pd.Series, b: pd.Series) -> pd.Series:
+        ok = np.ones(len(a), bool)
+        for p in (a.to_numpy(np.int64), b.to_numpy(np.int64)):
+            ok &= (sent.value[p >> 5] >> (p & 31).astype(np.uint32)) & np.uint32(1) == 1
+        return pd.Series(ok)
+
+    return lambda c: probe(*(F.pmod(F.xxhash64(c, F.lit(k)), F.lit(bits)) for k in (1, 2)))
+
+
 def logistic_on_bins(counts: Iterable[tuple[float, int, int]], rounds: int = 50) -> tuple[float, float]:
     """Slope and offset of a logistic curve over binned scores ``(value, n_zero, n_one)`` (Newton steps).
 

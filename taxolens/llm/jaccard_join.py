@@ -5,9 +5,11 @@ empty set). Texts with the same set are collapsed first, so a group of copies of
 Each set is embedded as ``N_HASH`` minhash values. A run starts with all sets in one bucket and splits buckets
 recursively: a set goes down the path of every one of its values that the path's own hash function samples, 1 /
 threshold paths in expectation, so two sets that are similar enough are expected to share at least one path on each
-level. A bucket of at most ``LEAF`` sets is compared by brute force on the embedding; one that is still larger after
-``MAX_DEPTH`` levels holds sets that agree on that many sampled values and becomes a candidate group whole. Runs are
-repeated until the probability to miss a pair at the threshold is below ``1 - recall``.
+level. A bucket of at most ``LEAF`` sets is compared by brute force on the embedding. A larger one is first compared
+with one of its sets, the pivot: sets like it leave the recursion as candidates of the pivot, with all that the
+triangle inequality lets them be linked to, so a group of near copies is not split in vain; the rest goes further
+down. A bucket that is still too large after ``MAX_DEPTH`` levels becomes a candidate group whole. Runs are repeated
+until the probability to miss a pair at the threshold is below ``1 - recall``.
 
 Candidate groups are then compared exactly on whole shingle sets, in tiles of at most ``TILE`` sets a side: a tile
 counts the links of its rows and gives the links that join its components, never a list of pairs.
@@ -27,26 +29,43 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxolens.llm.common import components, hash_int, keep, mix, shingle_set, sorted_groups, whole_text
+from taxolens.llm.common import (
+    components,
+    hash_int,
+    keep,
+    likely_member,
+    mix,
+    shingle_set,
+    sorted_groups,
+    whole_text,
+)
 
 SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.99
 N_HASH = 128
 LEAF = 128
+#: Estimated likeness to a bucket's pivot from which a set needs no further path.
+CORE = 0.75
 MAX_DEPTH = 6
 TILE = 128
 
 _RNG = np.random.default_rng(20240607)
+_SLOT = mix(np.arange(N_HASH, dtype=np.uint64) + np.uint64(1))
 _MULT = _RNG.integers(1, 1 << 63, N_HASH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def minhashes(shingles: np.ndarray) -> np.ndarray:
-    """``N_HASH`` 32-bit minhash values of a set of 64-bit hashes (all ones if empty)."""
+    """``N_HASH`` 64-bit minhash values of a set of 64-bit hashes (all ones if empty)."""
     low = np.full(N_HASH, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(shingles), 512):
         np.minimum(low, (shingles[i:i + 512, None] * _MULT[None, :]).min(axis=0), out=low)
-    return (low >> np.uint64(32)).astype(np.uint32)
+    return low
+
+
+def short_values(low: np.ndarray) -> np.ndarray:
+    """The leading 16 bits of minhash values after mixing: what is compared inside a bucket."""
+    return (mix(low) >> np.uint64(48)).astype(np.uint16)
 
 
 def survival(similarity: float, threshold: float, depth: int) -> float:
@@ -62,40 +81,33 @@ def runs_for(recall: float, threshold: float = THRESHOLD, depth: int = 3) -> int
     return math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold, threshold, depth)))
 
 
-def embed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, digest, n, mh)``: hash of the shingle set, its size, its minhash values as bytes."""
+def embed(docs: DataFrame, runs: int, threshold: float = THRESHOLD, id_col: str = "doc_id",
+          text_col: str = "text") -> DataFrame:
+    """``(doc_id, digest, n, mh, paths)``: hash of the shingle set, its size, its short minhash values as bytes, and
+    the paths it takes from the root of each run."""
+    roots = [np.array([hash_int(17, r)], np.uint64) for r in range(runs)]
+
     def run(batches):
         for pdf in batches:
             rows = []
-            for i, text in zip(pdf[id_col], pdf[text_col]):
+            for i, text in zip(pdf["doc_id"], pdf["text"]):
                 s = shingle_set(text, SHINGLE)
-                rows.append((i, xxhash.xxh3_128_digest(s.tobytes()), len(s), minhashes(s).tobytes()))
-            yield pd.DataFrame(rows, columns=["doc_id", "digest", "n", "mh"])
+                low = minhashes(s)[None, :]
+                paths = np.concatenate([children(low, p, threshold)[0] for p in roots])
+                rows.append((i, xxhash.xxh3_128_digest(s.tobytes()), len(s), short_values(low).tobytes(), paths))
+            yield pd.DataFrame(rows, columns=["doc_id", "digest", "n", "mh", "paths"])
 
-    src = docs.select(F.col(id_col).cast("long").alias(id_col), whole_text(text_col)).filter(F.col(id_col).isNotNull())
-    return src.mapInPandas(run, "doc_id long, digest binary, n long, mh binary")
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
+    return src.filter("doc_id is not null").mapInPandas(
+        run, "doc_id long, digest binary, n long, mh binary, paths array<long>")
 
 
-def _children(runs: int, threshold: float, first: bool):
-    """Rows ``(path, node)`` of the paths that each set takes from its bucket."""
-    limit = np.uint64(int(min(1.0, 1 / (threshold * N_HASH)) * 2**64 - 1))
-    slot = mix(np.arange(N_HASH, dtype=np.uint64) + np.uint64(1))
-
-    def run(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            vals = np.frombuffer(b"".join(pdf["mh"]), np.uint32).reshape(len(pdf), N_HASH).astype(np.uint64)
-            own = mix(vals + slot)
-            nodes = pdf["node"].to_numpy()
-            paths = [np.full(len(pdf), hash_int(17, r), np.uint64) for r in range(runs)] if first else [
-                pdf["path"].to_numpy().astype(np.int64).view(np.uint64)]
-            for p in paths:
-                h = mix(own ^ mix(p)[:, None])
-                at, k = np.nonzero(h < limit)
-                child = mix(h[at, k] + p[at]).view(np.int64)
-                yield pd.DataFrame({"path": child, "node": nodes[at]})
-    return run
+def children(values: np.ndarray, path: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Paths that rows of minhash values take from their bucket ``path``: ``(child paths, row numbers)``."""
+    own = mix(values.astype(np.uint64) + _SLOT)
+    h = mix(own ^ mix(path)[:, None])
+    at, k = np.nonzero(h < np.uint64(int(min(1.0, 1 / (threshold * N_HASH)) * 2**64 - 1)))
+    return mix(h[at, k] + np.broadcast_to(path, len(values))[at]).view(np.int64), at
 
 
 def _leaf_links(threshold: float, floor: float):
@@ -105,7 +117,7 @@ def _leaf_links(threshold: float, floor: float):
             node = g["node"].to_numpy()
             if len(node) < 2:
                 continue
-            m = np.frombuffer(b"".join(g["mh"]), np.uint32).reshape(len(node), N_HASH)
+            m = _values(g["mh"])
             n = g["n"].to_numpy()
             same = np.empty((len(node), len(node)), np.float32)
             for i in range(len(node)):
@@ -131,35 +143,75 @@ def dense_components(adj: np.ndarray) -> np.ndarray:
         lab = new
 
 
-def candidate_links(reps: DataFrame, recall: float = RECALL, threshold: float = THRESHOLD) -> DataFrame:
+def _values(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint16).reshape(len(column), N_HASH)
+
+
+def _carve(threshold: float):
+    """Rows of buckets that are too large, each with its bucket's pivot: links to the pivot, and paths further down.
+
+    A set within distance r of the pivot can only be linked to sets within r + 1 - threshold of it (Jaccard distance
+    is a metric). Those are all joined to the pivot as candidates, so the sets near the pivot need no further path;
+    the margins are four standard deviations of the estimates. Kind 0: link ``(a, b)``; kind 1: path of a set.
+    """
+    core, ring = CORE, CORE - (1 - threshold) - 4 * math.sqrt(0.25 / N_HASH) - 0.02
+
+    def run(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            m, p = _values(pdf["mh"]), _values(pdf["pivot_mh"])
+            node, pivot = pdf["node"].to_numpy(), pdf["pivot"].to_numpy()
+            path = pdf["path"].to_numpy().astype(np.int64).view(np.uint64)
+            alike = (m == p).mean(axis=1)
+            joined = (alike >= ring) & (node != pivot)
+            stay = np.flatnonzero((alike < core) | (node == pivot))
+            child, at = children(m[stay], path[stay], threshold)
+            at = stay[at]
+            k = int(joined.sum())
+            yield pd.DataFrame({
+                "kind": np.repeat([0, 1], [k, len(at)]), "a": np.concatenate([node[joined], child]),
+                "b": np.concatenate([pivot[joined], node[at]]),
+                "n": np.concatenate([np.zeros(k, np.int64), pdf["n"].to_numpy()[at]]),
+                "mh": [b""] * k + pdf["mh"].iloc[at].tolist()})
+    return run
+
+
+def candidate_links(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Links ``(a, b)`` whose components hold every pair that the chosen paths bring together.
 
-    ``reps`` are distinct sets ``(node, n, mh)``, kept. Buckets are counted before anything but the id travels, so
-    the embedding of a set that meets no other is never shuffled.
+    ``reps`` are distinct sets ``(node, n, mh, paths)``, kept. Buckets are counted before anything but the id travels,
+    so the embedding of a set that meets no other is never joined; below the first level the few rows of buckets
+    that are still too large carry it along.
     """
-    runs = runs_for(recall, threshold)
     floor = threshold - 4 * math.sqrt(threshold * (1 - threshold) / N_HASH)
     found = None
-    rows = reps.select("node", "mh").mapInPandas(_children(runs, threshold, True), "path long, node long")
+    rows = reps.select(F.explode("paths").alias("path"), "node")
     for depth in range(1, MAX_DEPTH + 1):
         # kept, so that the join deals out both sides and adaptive execution can split a hot path
         counts = keep(rows.groupBy("path").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"))
         met = keep(rows.join(counts, "path"))
-        last = depth == MAX_DEPTH
-        leaf = met.filter(F.col("k") <= LEAF).join(reps.select("node", "n", "mh"), "node")
-        links = (leaf.repartition("path").sortWithinPartitions("path", "node").select("path", "node", "n", "mh")
+        full = met if depth > 1 else met.join(reps.select("node", "n", "mh"), "node")
+        leaf = full.filter(F.col("k") <= LEAF).select("path", "node", "n", "mh")
+        links = (leaf.repartition("path").sortWithinPartitions("path", "node")
                  .mapInPandas(_leaf_links(threshold, floor), "a long, b long"))
         big = met.filter(F.col("k") > LEAF)
-        if last:
-            head = big.groupBy("path").agg(F.min("node").alias("b"))
-            links = links.unionByName(big.join(head, "path").select(F.col("node").alias("a"), "b").filter("a <> b"))
-        links = keep(links.distinct())
+        heads = big.groupBy("path").agg(F.min(F.struct(F.xxhash64("path", "node"), "node")).alias("h")).select(
+            "path", F.col("h.node").alias("pivot"))
+        if depth == MAX_DEPTH:
+            links = links.unionByName(big.join(keep(heads), "path").select(F.col("node").alias("a"),
+                                                                           F.col("pivot").alias("b")))
+        links = keep(links.filter("a <> b").distinct())
         found = links if found is None else found.unionByName(links)
-        if last or big.isEmpty():
-            return found.distinct()
-        rows = (big.select("path", "node").join(reps.select("node", "mh"), "node")
-                .mapInPandas(_children(1, threshold, False), "path long, node long"))
-    return found
+        if depth == MAX_DEPTH or big.isEmpty():
+            break
+        pivots = keep(heads.join(reps.select(F.col("node").alias("pivot"), F.col("mh").alias("pivot_mh")), "pivot"))
+        deeper = keep(full.filter(F.col("k") > LEAF).join(pivots, "path")
+                      .select("path", "node", "n", "mh", "pivot", "pivot_mh")
+                      .mapInPandas(_carve(threshold), "kind int, a long, b long, n long, mh binary"))
+        found = found.unionByName(deeper.filter("kind = 0").select("a", "b"))
+        rows = deeper.filter("kind = 1").select(F.col("a").alias("path"), F.col("b").alias("node"), "n", "mh")
+    return found.distinct()
 
 
 def _tile_links(threshold: float):
@@ -219,19 +271,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``class_id`` is the least id of the documents that chains of links (Jaccard >= threshold, equal sets included)
     connect; ``n_links`` counts the documents linked to this one, ``n_copies`` those of them with the same set.
     """
-    rows = keep(embed(docs, id_col, text_col))
-    reps = keep(rows.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "mh")).alias("m"),
-                                           F.count(F.lit(1)).alias("copies"))
-                .select("digest", F.col("m.doc_id").alias("node"), F.col("m.n").alias("n"),
-                        F.col("m.mh").alias("mh"), "copies"))
-    cand = components(candidate_links(reps, recall, threshold))
+    rows = keep(embed(docs, runs_for(recall, threshold), threshold, id_col, text_col))
+    # all but the id are the same for one digest
+    reps = keep(rows.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"),
+                                           F.first("mh").alias("mh"), F.first("paths").alias("paths"),
+                                           F.count(F.lit(1)).alias("copies")))
+    cand = keep(components(candidate_links(reps, threshold)))
     sizes = cand.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
     members = (cand.join(sizes, "comp")
                .withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int"))
                .withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")))
     members = keep(members.join(reps.select("node", "copies"), "node"))
     texts = docs.select(F.col(id_col).cast("long").alias("node"), whole_text(text_col).alias("text"))
-    met = texts.join(members, "node").dropDuplicates(["node", "text"])
+    near = likely_member(members.select(F.col("node").alias("id")))
+    met = texts.filter(F.col("node").isNotNull()).filter(near(F.col("node"))).join(members, "node").dropDuplicates(["node", "text"])
     fan = F.sequence(F.lit(0), F.col("tiles") - 1)
     tiled = (met.withColumn("other", F.explode(fan))
              .withColumn("ti", F.least("tile", "other")).withColumn("tj", F.greatest("tile", "other")))
