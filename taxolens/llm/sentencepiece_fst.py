@@ -21,7 +21,6 @@ are unread.
 from __future__ import annotations
 
 import re
-import unicodedata
 from functools import cached_property
 
 import numpy as np
@@ -65,12 +64,14 @@ class Transducer:
                 self.bytes_of.append(piece.encode())
         self.longest = max(map(len, self.ids), default=1)
         self._follows: dict[tuple[str, str], bool] = {}
-        # for each last character, the lengths of pieces that end so, longest first
+        # for each last two characters, the lengths of longer pieces that end so, longest first
         ends: dict[str, set[int]] = {}
         for p in self.ids:
-            ends.setdefault(p[-1], set()).add(len(p))
+            if len(p) > 1:
+                ends.setdefault(p[-2:], set()).add(len(p))
         self.ends = {c: sorted(n, reverse=True) for c, n in ends.items()}
-        self.parts = _Parts(self)
+        self.parts = _Cache(lambda part: np.array(self.part_ids(part), "<i4").tobytes())
+        self.words = _Cache(lambda word: b"".join(map(self.parts.__getitem__, self.cut.findall(MARK + word))))
 
     # normaliser ---------------------------------------------------------------------------------
 
@@ -80,12 +81,14 @@ class Transducer:
 
     @cached_property
     def cut(self) -> re.Pattern:
-        """Parts that no piece crosses: a run of marks with the word characters, or with the others, after it."""
-        other = {c for p in self.ids for c in p if c != MARK and unicodedata.category(c)[0] not in "LM"
-                 and unicodedata.category(c) != "Nd"}
-        other |= {chr(c) for c in range(128) if not chr(c).isalnum()}
+        """Parts that no piece crosses: a run of marks with the ASCII symbols, or with the other characters, after it.
+
+        Symbols that some piece joins to another character are no cut.
+        """
+        other = {chr(c) for c in range(128) if not chr(c).isalnum()}
         near = {(a, b) for p in self.ids for a, b in zip(p, p[1:]) if MARK not in (a, b)}
         while True:
+            # characters beyond letters and digits may stand beside a symbol in a piece only if they are symbols too
             drop = {c for a, b in near if (a in other) != (b in other) for c in (a, b) if c in other}
             if not drop:
                 break
@@ -127,27 +130,27 @@ class Transducer:
 
     def _only_path(self, part: str) -> list[str]:
         n = len(part)
-        last: list[str] = [""] * (n + 1)
+        last: list[str] = ["", part[:1]]
         ids, ends, known = self.ids, self.ends, self._follows
-        for i in range(1, n + 1):
-            for size in ends.get(part[i - 1], ()):
+        for i in range(2, n + 1):
+            for size in ends.get(part[i - 2:i], ()):
                 j = i - size
                 if j < 0:
                     continue
                 piece = part[j:i]
-                if size > 1 and piece not in ids:
+                if piece not in ids:
                     continue
                 if j:
-                    before = last[j]
-                    ok = known.get((before, piece))
-                    if not (self.follows(before, piece) if ok is None else ok):
+                    pair = (last[j], piece)
+                    ok = known.get(pair)
+                    if not (self.follows(*pair) if ok is None else ok):
                         continue
-                last[i] = piece
+                last.append(piece)
                 break
             else:
-                last[i] = part[i - 1]
+                last.append(part[i - 1])
         out = []
-        while n:
+        while n > 0:
             out.append(last[n])
             n -= len(last[n])
         return out[::-1]
@@ -157,7 +160,7 @@ class Transducer:
         cost, size_at = [0.0] + [float("inf")] * n, [0] * (n + 1)
         worst = -min(self.score.values(), default=0.0) + 10.0
         for i in range(1, n + 1):
-            for size in {1, *self.ends.get(part[i - 1], ())}:
+            for size in (*self.ends.get(part[max(0, i - 2):i], ()), 1):
                 if size > i:
                     continue
                 piece = part[i - size:i]
@@ -188,25 +191,29 @@ class Transducer:
     # texts --------------------------------------------------------------------------------------
 
     def encode(self, text: str) -> np.ndarray:
-        parts = self.cut.findall(self.normalise(text))
-        return np.frombuffer(b"".join(map(self.parts.__getitem__, parts)), "<i4")
+        if not text:
+            return np.zeros(0, "<i4")
+        if MARK in text or "  " in text or text[0] == " " or text[-1] == " ":
+            return np.frombuffer(b"".join(map(self.parts.__getitem__, self.cut.findall(self.normalise(text)))), "<i4")
+        # every word has one mark before it, and no piece crosses from a word to the next mark
+        return np.frombuffer(b"".join(map(self.words.__getitem__, text.split(" "))), "<i4")
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return text.replace(MARK, " ")[1:]
 
 
-class _Parts(dict):
-    """Ids of a part as bytes; bounded."""
+class _Cache(dict):
+    """Results by key, bounded by ``CACHE_WORDS``."""
 
-    def __init__(self, transducer: Transducer):
+    def __init__(self, make):
         super().__init__()
-        self.transducer = transducer
+        self.make = make
 
-    def __missing__(self, part: str) -> bytes:
-        value = np.array(self.transducer.part_ids(part), "<i4").tobytes()
+    def __missing__(self, key: str) -> bytes:
+        value = self.make(key)
         if len(self) < CACHE_WORDS:
-            self[part] = value
+            self[key] = value
         return value
 
 
