@@ -21,6 +21,7 @@ are unread.
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import cached_property
 
 import numpy as np
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 from taxolens.llm.common import CACHE_WORDS, whole_text
 
 MARK = "▁"
+_CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
 def default_model() -> str:
@@ -71,7 +73,7 @@ class Transducer:
                 ends.setdefault(p[-2:], set()).add(len(p))
         self.ends = {c: sorted(n, reverse=True) for c, n in ends.items()}
         self.parts = _Cache(lambda part: np.array(self.part_ids(part), "<i4").tobytes())
-        self.words = _Cache(lambda word: b"".join(map(self.parts.__getitem__, self.cut.findall(MARK + word))))
+        self.words = _Cache(lambda word: self._chunk(MARK + word))
 
     # normaliser ---------------------------------------------------------------------------------
 
@@ -80,21 +82,32 @@ class Transducer:
         return MARK + text.replace(" ", MARK) if text else ""
 
     @cached_property
-    def cut(self) -> re.Pattern:
-        """Parts that no piece crosses: a run of marks with the ASCII symbols, or with the other characters, after it.
+    def symbols(self) -> tuple[re.Pattern, frozenset[str]]:
+        """How words fall into parts that no piece crosses, and the characters that forbid it.
 
-        Symbols that some piece joins to another character are no cut.
+        A run of ASCII symbols is a part of its own, and so is a run of other characters, each with the marks before
+        it. ASCII symbols that some piece joins to a letter or digit are none; a word with one of the other symbols
+        that pieces join to ASCII ones stays whole.
         """
-        other = {chr(c) for c in range(128) if not chr(c).isalnum()}
         near = {(a, b) for p in self.ids for a, b in zip(p, p[1:]) if MARK not in (a, b)}
-        while True:
-            # characters beyond letters and digits may stand beside a symbol in a piece only if they are symbols too
-            drop = {c for a, b in near if (a in other) != (b in other) for c in (a, b) if c in other}
-            if not drop:
-                break
-            other -= drop
-        cls = "".join(re.escape(c) for c in sorted(other))
-        return re.compile(f"{MARK}*[{cls}]+|{MARK}*[^{MARK}{cls}]+|{MARK}+")
+        ascii_symbols = {chr(c) for c in range(128) if not chr(c).isalnum()}
+        whole = {c for pair in near for c in pair if ord(c) > 127 and unicodedata.category(c)[0] not in "LM"
+                 and unicodedata.category(c) != "Nd"}
+        for a, b in near:
+            for x, y in ((a, b), (b, a)):
+                if x in ascii_symbols and y not in whole and (ord(y) > 127 or y.isalnum()):
+                    ascii_symbols.discard(x)
+        left = {c for pair in near for c in pair if ord(c) < 128 and not c.isalnum() and c not in ascii_symbols}
+        whole |= {c for c in left if any(c in pair and pair[0] in ascii_symbols | {c} and pair[1] in ascii_symbols | {c}
+                                         for pair in near)}
+        cls = "".join(re.escape(c) for c in sorted(ascii_symbols))
+        return re.compile(f"{MARK}*[{cls}]+|{MARK}*[^{MARK}{cls}]+|{MARK}+"), frozenset(whole)
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a run of marks and the word after it."""
+        cut, whole = self.symbols
+        parts = cut.findall(chunk) if whole.isdisjoint(chunk) else [chunk]
+        return b"".join(map(self.parts.__getitem__, parts))
 
     # pieces -------------------------------------------------------------------------------------
 
@@ -194,7 +207,7 @@ class Transducer:
         if not text:
             return np.zeros(0, "<i4")
         if MARK in text or "  " in text or text[0] == " " or text[-1] == " ":
-            return np.frombuffer(b"".join(map(self.parts.__getitem__, self.cut.findall(self.normalise(text)))), "<i4")
+            return np.frombuffer(b"".join(map(self._chunk, _CHUNK.findall(self.normalise(text)))), "<i4")
         # every word has one mark before it, and no piece crosses from a word to the next mark
         return np.frombuffer(b"".join(map(self.words.__getitem__, text.split(" "))), "<i4")
 
