@@ -7,6 +7,7 @@ whole-stage codegen; none of them calls Python per row.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,27 +16,20 @@ from pyspark.sql import functions as F
 # (?U)\s plus the ASCII separators \x1c-\x1f which Java omits.
 WS_PATTERN = r"(?U)[\s\x1c-\x1f]+"
 
-# Markup that carries no text, replaced by one space, in this order.
+# Markup that carries no text, replaced by one space, in this order. An element or comment that is never closed runs
+# to the end of the text; a ">" inside a quoted attribute does not end its tag; a tag with a stray quote ends at ">".
 _MARKUP_PATTERNS = [
-    r"(?is)<!--.*?-->",
-    r"(?is)<script\b[^>]*>.*?</script\s*>",
-    r"(?is)<style\b[^>]*>.*?</style\s*>",
-    r"(?is)<template\b[^>]*>.*?</template\s*>",
+    r"(?is)<!--.*?(?:-->|\z)",
+    r"(?is)<script\b[^>]*>.*?(?:</script\s*>|\z)",
+    r"(?is)<style\b[^>]*>.*?(?:</style\s*>|\z)",
+    r"(?is)<template\b[^>]*>.*?(?:</template\s*>|\z)",
+    r"""(?is)<[a-zA-Z/!?][^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*>""",
     r"(?is)<[a-zA-Z/!?][^>]*>",
 ]
 
-# HTML entity → character, decoded in this order; "&amp;" is
-# decoded last so that "&amp;lt;" stays "&lt;".
-ENTITIES = [
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&nbsp;", " "),
-    ("&copy;", "©"),
-    ("&middot;", "·"),
-    ("&amp;", "&"),
-]
+# Named character references: the code points of the HTML 4 names, from the standard library's table.
+ENTITIES = dict(sorted(name2codepoint.items())) | {"apos": 39}
+_REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);"
 
 
 def _col(c) -> Column:
@@ -47,12 +41,30 @@ def normalize_ws(c) -> Column:
     return F.trim(F.regexp_replace(_col(c), WS_PATTERN, " "))
 
 
+def strip_ws(c) -> Column:
+    """Unicode whitespace off both ends."""
+    ws = WS_PATTERN.removeprefix("(?U)")
+    return F.regexp_replace(_col(c), f"(?U)^{ws}|{ws}$", "")
+
+
 def decode_entities(c) -> Column:
-    """Decode the entity table, ``&amp;`` last."""
-    out = _col(c)
-    for ent, ch in ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+    """Decode numeric (decimal, hexadecimal) and named references that end in a semicolon, each once."""
+    text = _col(c)
+    names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+
+    def decoded(part: Column) -> Column:
+        name = F.regexp_extract(part, _REFERENCE, 1)
+        code = (F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 8), 16, 10).cast("int"))
+                .when(name.startswith("#"), F.substring(name, 2, 8).cast("int"))
+                .when(name != "", F.try_element_at(names, name)))
+        valid = ((code >= 1) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF))
+        char = F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")
+        rest = F.substring(part, F.length(name) + 2, F.length(part))
+        return F.when(valid, F.concat(char, rest)).otherwise(F.concat(F.lit("&"), part))
+
+    parts = F.split(text, "&")
+    tail = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), decoded)
+    return F.when(F.contains(text, F.lit("&")), F.concat(F.element_at(parts, 1), F.array_join(tail, ""))).otherwise(text)
 
 
 def strip_markup(c) -> Column:
@@ -74,7 +86,7 @@ def impute_text(cols: Sequence[str], present: Sequence[str] | None = None) -> Co
     Columns not in ``present`` read as '' (the reference skips absent ones).
     """
     present = set(cols if present is None else present)
-    picks = [F.when(F.length(F.trim(F.col(c))) > 2, F.trim(F.col(c)))
+    picks = [F.when(F.length(strip_ws(F.col(c))) > 2, strip_ws(F.col(c)))
              for c in cols if c in present]
     return F.coalesce(*picks, F.lit("")) if picks else F.lit("")
 

@@ -6,7 +6,7 @@ A CF is (n, LS, SS); radius = sqrt(SS/n − ‖LS/n‖²).
 Phase 2: CFs are grouped by nearest pivot (seeded sample of CF centroids, broadcast
 after a size check) and merged again with the same rule inside each group, so CFs
 from different partitions that describe the same region combine.
-Optional global step: weighted Ward over the CF centroids to ``n_clusters``.
+Optional global step: Ward over the CF centroids to ``n_clusters`` (each centroid counts once).
 Labels: nearest CF centroid (J7).
 Invariants (tested): every CF radius ≤ threshold, Σ n = N.
 Labels are not identical to a sequential CF-tree (which is order dependent).
@@ -97,21 +97,26 @@ def birch(df: DataFrame, threshold: float = 0.5, n_clusters: int | None = 50, fe
         cfs = cut_lineage(cf_merge(cfs, threshold))
     n_cf = cfs.count()
     d = len(cfs.select("ls").first()["ls"])
-    if n_cf * d * 8 <= BROADCAST_LIMIT_BYTES:
-        rows = cfs.select("n", "ls").collect()  # size-checked CF summaries
-        C = np.array([np.asarray(r["ls"]) / r["n"] for r in rows])
+    cents = cut_lineage(cfs.select(F.monotonically_increasing_id().alias("cid"),
+                                   F.transform("ls", lambda v: v / F.col("n")).alias("centroid")))
+    merge = n_clusters is not None and n_clusters < n_cf
+    small = n_cf * d * 8 <= BROADCAST_LIMIT_BYTES
+    rows = cents.orderBy("cid").collect() if small or merge else []  # summaries; Ward checks their number itself
+    if small:
+        C = np.array([r["centroid"] for r in rows], dtype=np.float64)
         labels = assign_nearest(data, C, features=features, dist_col=None).select(ROW_ID, CLUSTER)
-    else:  # too many CFs to broadcast: blocked nearest join, nothing on the driver
+        number = {r["cid"]: i for i, r in enumerate(rows)}
+    else:  # too many CFs to broadcast: blocked nearest join
         from taxolens.operators.vectors import nearest_join
-        cents = cut_lineage(cfs.select(F.monotonically_increasing_id().alias("cid"),
-                                       F.transform("ls", lambda v: v / F.col("n")).alias("centroid")))
-        return nearest_join(data, cents, features).select(ROW_ID, CLUSTER)
-    if n_clusters is None or n_clusters >= len(C):
+        labels = nearest_join(data, cents, features).select(ROW_ID, CLUSTER)
+        number = {r["cid"]: r["cid"] for r in rows}
+    if not merge:
         return labels
     from taxolens.operators.clustering.ward import ward_merge
-    groups = ward_merge(C, np.ones(len(C)), n_clusters)
-    mapping = df.sparkSession.createDataFrame([(i, int(g)) for i, g in enumerate(groups)], "cf int, grp int")
-    return (labels.join(F.broadcast(mapping), labels[CLUSTER] == mapping["cf"])
+    groups = ward_merge(np.array([r["centroid"] for r in rows], dtype=np.float64), np.ones(n_cf), n_clusters)
+    mapping = df.sparkSession.createDataFrame([(int(number[r["cid"]]), int(g)) for r, g in zip(rows, groups)],
+                                              "cf long, grp int")
+    return (labels.join(mapping, labels[CLUSTER] == mapping["cf"])
             .select(ROW_ID, F.col("grp").alias(CLUSTER)))
 
 

@@ -84,7 +84,7 @@ def boruvka_mst(df: DataFrame, core: DataFrame, features: str = "features", bloc
     n_comp = n
     for _ in range(max_rounds):
         if n_comp <= 1:
-            break
+            return mst
         cur = base.join(comp, ROW_ID)
         cand = block_cogroup(cur, cur, nb, _mr_kernel(features), f"{ROW_ID} long, comp long, nbr long, w double")
         edge = F.struct("w", F.least(ROW_ID, "nbr").alias("lo"), F.greatest(ROW_ID, "nbr").alias("hi"))
@@ -99,6 +99,8 @@ def boruvka_mst(df: DataFrame, core: DataFrame, features: str = "features", bloc
         comp = cut_lineage(comp.join(merged, "comp", "left")
                            .select(ROW_ID, F.coalesce("new", "comp").alias("comp")))
         n_comp = comp.select("comp").distinct().count()
+    if n_comp > 1:
+        raise RuntimeError(f"the spanning tree did not close in {max_rounds} rounds")
     return mst
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from taxolens.operators.assignment import max_weight_matching
 from taxolens.operators.metrics import join_single_rows
 from taxolens.operators.neighbors import connected_components, dense_index
+from taxolens.session import cut_lineage
 from taxolens.schema import NOISE, ROW_ID
 
 
@@ -82,8 +83,10 @@ def alignment_map(labelings: DataFrame, ref_ord: int = 0) -> DataFrame:
         F.max("cluster").alias("rmx"))
     bound = join_single_rows(per_algo_max, ref_max).select("algo", (F.greatest("mx", "rmx") + 1).alias("size"))
     space = bound.select("algo", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("v"))
+    # a labeling that shares no row with the reference has no overlap cell and stays as it is
     present = labelings.filter((F.col("algo_ord") != ref_ord) & (F.col("cluster") != NOISE)).select(
-        "algo", F.col("cluster").cast("long").alias("cluster")).distinct()
+        "algo", F.col("cluster").cast("long").alias("cluster")).distinct().join(
+        ov.select("algo").distinct(), "algo", "left_semi")
     um = present.join(matched.select("algo", "cluster"), ["algo", "cluster"], "left_anti")
     unused = space.join(matched.select("algo", F.col("new").alias("v")), ["algo", "v"], "left_anti")
     w1 = Window.partitionBy("algo").orderBy("cluster")
@@ -142,70 +145,39 @@ def coassociation_summary(labelings: DataFrame) -> DataFrame:
                     (F.col("co") / (n_algos * max(1, n_rows - 1))).alias("mean_coassociation")))
 
 
-def _average_linkage(D: np.ndarray, w: np.ndarray, k: int) -> np.ndarray:
-    """Weighted average linkage (UPGMA) on a dense dissimilarity matrix, cut at k clusters."""
-    n = len(w)
-    D = D.astype(np.float64).copy()
-    np.fill_diagonal(D, np.inf)
-    size = w.astype(np.float64).copy()
-    active = np.ones(n, dtype=bool)
-    parent = np.arange(n)
-    clusters = n
-    while clusters > k:
-        flat = np.argmin(D)
-        i, j = divmod(int(flat), n)
-        if i > j:
-            i, j = j, i
-        # merge j into i; UPGMA update
-        new = (size[i] * D[i] + size[j] * D[j]) / (size[i] + size[j])
-        D[i, :] = new
-        D[:, i] = new
-        D[i, i] = np.inf
-        D[j, :] = np.inf
-        D[:, j] = np.inf
-        size[i] += size[j]
-        active[j] = False
-        parent[parent == j] = i
-        clusters -= 1
-    return parent
-
-
-def consensus(labelings: DataFrame, n_clusters: int = 100, max_tuples: int = 4000) -> DataFrame:
-    """Average-linkage consensus on the co-association dissimilarity, on weighted tuples.
-
-    The distinct-tuple table is checked against ``max_tuples`` before it is
-    handed to one task (its T×T matrix is the only dense object); above the
-    bound the reference's own remedy applies: ``consensus_sampled``. k larger
-    than the number of tuples is clamped. Labels are numbered by the smallest
-    row_id of each consensus cluster.
+def consensus(labelings: DataFrame, min_agree: int | None = None) -> DataFrame:
+    """Rows that at least ``min_agree`` of the m labelings put together (default: more than half) share a cluster.
+
+    The agreement graph's components, in place of a linkage over an N×N matrix: two rows agree in j labelings if and
+    only if they share a j-subset of (labeling, cluster) pairs, noise left out, so every distinct label tuple sends
+    one key per j-subset, each key links its tuples to the least one, and components close the links. A tuple's key
+    count is a binomial in the number of labelings, whatever the number of rows. Rows that are noise in more than
+    m - j labelings agree with none and are clusters of their own. Clusters are numbered by their least row id.
     """
-    tuples = label_tuples(labelings)
-    t = tuples.count()
-    if t > max_tuples:
-        return consensus_sampled(labelings, n_clusters, max_tuples)
-    k = min(n_clusters, t)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        L = np.array([np.asarray(x) for x in pdf["labels"]])
-        a = L.shape[1]
-        same = np.zeros((len(L), len(L)))
-        for col in range(a):
-            c = L[:, col]
-            same += (c[:, None] == c[None, :]) & (c[:, None] != NOISE)
-        D = 1.0 - same / a
-        parent = _average_linkage(D, pdf["weight"].to_numpy(), k)
-        return pd.DataFrame({"labels": pdf["labels"], "group": parent.astype(np.int64)})
-
-    grouped = tuples.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(
-        run, "labels array<int>, group long")
+    m = labelings.select("algo_ord").distinct().count()
+    j = min_agree if min_agree is not None else m // 2 + 1
+    if not 1 <= j <= max(m, 1):
+        raise ValueError(f"min_agree must be from 1 to {m}, got {j}")
     per_row = (labelings.groupBy(ROW_ID)
-               .agg(F.sort_array(F.collect_list(F.struct("algo_ord", "cluster"))).alias("t"))
-               .select(ROW_ID, F.col("t.cluster").alias("labels")))
-    assigned = per_row.join(grouped, "labels")
-    first = assigned.groupBy("group").agg(F.min(ROW_ID).alias("first_row"))
-    num = dense_index(first, "first_row", "cluster")
-    return (assigned.join(first, "group").join(num, "first_row")
-            .select(ROW_ID, F.col("cluster").cast("int").alias("cluster")))
+               .agg(F.sort_array(F.collect_list(F.struct("algo_ord", "cluster"))).alias("t")))
+    tuples = cut_lineage(per_row.groupBy("t").agg(F.min(ROW_ID).alias("node")))
+    known = F.filter("t", lambda x: x["cluster"] != NOISE)
+    subsets = F.array(F.array().cast("array<struct<algo_ord:int,cluster:int>>"))
+    for _ in range(j):
+        # longer subsets, each in the order of the labelings
+        subsets = F.flatten(F.transform(subsets, lambda s: F.transform(
+            F.filter("known", lambda x: (F.size(s) == 0) | (x["algo_ord"] > F.element_at(s, -1)["algo_ord"])),
+            lambda x: F.concat(s, F.array(x)))))
+    keys = (tuples.select("node", F.transform(known, lambda x: F.struct(
+        x["algo_ord"].cast("int").alias("algo_ord"), x["cluster"].cast("int").alias("cluster"))).alias("known"))
+            .filter(F.size("known") >= j).select("node", F.explode(subsets).alias("key")))
+    heads = cut_lineage(keys.groupBy("key").agg(F.min("node").alias("dst")))
+    comps = connected_components(keys.join(heads, "key").select(F.col("node").alias("src"), "dst"))
+    of_tuple = (tuples.join(comps.withColumnRenamed("comp", "c"), "node").select("t", "c"))
+    group = per_row.join(of_tuple, "t", "left").select(ROW_ID, F.coalesce("c", ROW_ID).alias("first_row"))
+    group = cut_lineage(group)
+    num = dense_index(group.select("first_row").distinct(), "first_row", "cluster")
+    return group.join(num, "first_row").select(ROW_ID, F.col("cluster").cast("int").alias("cluster"))
 
 
 def consensus_mod_assign(labelings: DataFrame, n_clusters: int) -> DataFrame:
@@ -215,26 +187,10 @@ def consensus_mod_assign(labelings: DataFrame, n_clusters: int) -> DataFrame:
                     .otherwise(F.pmod("cluster", F.lit(n_clusters))).cast("int").alias("cluster"))
 
 
-def consensus_sampled(labelings: DataFrame, n_clusters: int = 100, sample_size: int = 4000,
-                      seed: int = 42) -> DataFrame:
-    """Consensus on a seeded exact sample of rows; the rest by the modulo rule."""
-    from taxolens.sources.sampling import sample_ids
-
-    ids = sample_ids(labelings.select(ROW_ID).distinct(), sample_size, seed=seed).persist()
-    sampled = labelings.join(F.broadcast(ids), ROW_ID, "left_semi")  # ≤ sample_size ids
-    core = consensus(sampled, n_clusters, max_tuples=sample_size)
-    rest = consensus_mod_assign(labelings.join(F.broadcast(ids), ROW_ID, "left_anti"), n_clusters)
-    return core.unionByName(rest)
-
-
-def run_ensemble(labelings: DataFrame, method: str = "consensus", n_clusters: int = 100,
-                 sample_threshold: int = 20000) -> DataFrame:
+def run_ensemble(labelings: DataFrame, method: str = "consensus", min_agree: int | None = None) -> DataFrame:
     """E6 dispatch; unknown method → ValueError."""
     if method == "consensus":
-        n = labelings.select(ROW_ID).distinct().count()
-        if n > sample_threshold:
-            return consensus_sampled(labelings, n_clusters)
-        return consensus(labelings, n_clusters)
+        return consensus(labelings, min_agree)
     if method == "voting":
         return voting_ensemble(labelings)
     raise ValueError(f"Unknown method: {method}")

@@ -17,9 +17,12 @@ REPORT_ORDER = ["purity", "nmi", "ari", "v_measure", "fowlkes_mallows", "homogen
 
 
 def compute_metrics(df: DataFrame, features: str | None = "features", cluster: str = CLUSTER,
-                    truth: str | None = TRUTH, sample_size: int = 10000, seed: int = 42) -> DataFrame:
-    """One row: n_clusters, noise_ratio, then (if ≥ 2 clusters) internal metrics on a
-    seeded ≤ sample_size sample and external metrics on all rows; noise is a cluster."""
+                    truth: str | None = TRUTH, silhouette_sample: int | None = None, seed: int = 42) -> DataFrame:
+    """One row: n_clusters, noise_ratio, then (if ≥ 2 clusters) internal and external metrics; noise is a cluster.
+
+    All metrics are of all rows. Silhouette compares all pairs of rows: ``silhouette_sample`` asks for a seeded
+    sample of that many rows for it alone.
+    """
     ns = noise_summary(df, cluster).drop("n_rows")
     k = ns.first()["n_clusters"]
     cols = [F.col("n_clusters"), F.col("noise_ratio")]
@@ -29,9 +32,8 @@ def compute_metrics(df: DataFrame, features: str | None = "features", cluster: s
     parts = [ns]
     if features:
         base = df.select(ROW_ID, features, F.col(cluster).alias(CLUSTER))
-        if base.count() > sample_size:
-            base = restrict_to(base, sample_ids(base, sample_size, seed=seed))
-        parts += [silhouette(base, features), davies_bouldin(base, features), calinski_harabasz(base, features)]
+        some = base if silhouette_sample is None else restrict_to(base, sample_ids(base, silhouette_sample, seed=seed))
+        parts += [silhouette(some, features), davies_bouldin(base, features), calinski_harabasz(base, features)]
     if truth:
         parts.append(external_metrics(contingency(df, truth, cluster)))
     return join_single_rows(*parts)

@@ -41,6 +41,24 @@ def tree(clusters: DataFrame, rich: DataFrame | None = None, min_purity: float =
     return out
 
 
+def tree_nested(clusters: DataFrame, rich: DataFrame | None = None, min_purity: float = 0.0) -> DataFrame:
+    """U6 nested: one row per category with its clusters (by id) and their leaves (by rank) as arrays of structs."""
+    vis = clusters.filter(F.col("purity") >= min_purity).withColumn("_k", F.col("cluster_id").cast("string"))
+    leaf = "array<struct<name:string,count:bigint,percentage:double>>"
+    if rich is None:
+        vis = vis.withColumn("leaves", F.array().cast(leaf))
+    else:
+        per = rich.groupBy(F.col("cluster_id").cast("string").alias("_k")).agg(
+            F.sort_array(F.collect_list(F.struct("rank", "name", "count", "percentage"))).alias("l"))
+        vis = vis.join(per, "_k", "left").withColumn("leaves", F.coalesce(F.transform("l", lambda x: F.struct(
+            x["name"].alias("name"), x["count"].alias("count"), x["percentage"].alias("percentage"))).cast(leaf),
+            F.array().cast(leaf)))
+    child = F.struct("cluster_id", cluster_node_name("cluster_id").alias("name"), "size", "purity",
+                     F.col("leaves").alias("children"))
+    return vis.groupBy(F.col("dominant_category").alias("name")).agg(
+        F.sum("size").alias("size"), F.sort_array(F.collect_list(child)).alias("children"))
+
+
 def category_rollup(clusters: DataFrame, min_purity: float = 0.0) -> DataFrame:
     """Per dominant category the cluster count and size sum (after F6)."""
     vis = clusters.filter(F.col("purity") >= min_purity)

@@ -19,6 +19,13 @@ def flow_subset(df: DataFrame, top_n: int = 15, truth: str = TRUTH) -> DataFrame
     return df.join(F.broadcast(top), truth, "left_semi")
 
 
+def flow_items(df: DataFrame, top_n: int | None = None, truth: str = TRUTH, cluster: str = CLUSTER) -> DataFrame:
+    """``(cluster_id, category, count)`` of all flows; ``top_n`` keeps those of the largest categories only."""
+    rows = df.filter(F.col(truth).isNotNull()) if top_n is None else flow_subset(df, top_n, truth)
+    return (rows.groupBy(F.col(cluster).cast("string").alias("cluster_id"), F.col(truth).alias("category"))
+            .agg(F.count(F.lit(1)).alias("count")))
+
+
 def sankey(sub: DataFrame, truth: str = TRUTH, cluster: str = CLUSTER) -> tuple[DataFrame, DataFrame]:
     """A9 + U2 together: (nodes, flows) sharing one pair of dense indices."""
     t_idx = dense_index(sub, truth, "source").persist()
@@ -117,7 +124,9 @@ def flow_payload(nodes: DataFrame, flows: DataFrame, page_key: str) -> DataFrame
 
 
 def _arr(name: str) -> F.Column:
-    return F.regexp_extract(F.col("html"), '"' + name + r'":\s*(\[[^\]]+\])', 1)
+    # the first array of that name; a bracket inside a string does not end it
+    items = r"""[^\]"]*+(?:"(?:[^"\\]++|\\.)*+"[^\]"]*+)*+"""
+    return F.regexp_extract(F.col("html"), f'"{name}"\\s*:\\s*(\\[{items}\\])', 1)
 
 
 def extract_embedded_links(pages: DataFrame, page_key: str) -> DataFrame:
@@ -132,7 +141,7 @@ def extract_embedded_links(pages: DataFrame, page_key: str) -> DataFrame:
                        & F.col("target").isNotNull() & F.col("value").isNotNull())
     links = arrs.select(page_key, "label", F.posexplode(F.arrays_zip("source", "target", "value")).alias("pos", "z"))
     named = links.select(page_key, "pos",
-                         F.element_at("label", (F.col("z.source") + 1).cast("int")).alias("source_name"),
-                         F.element_at("label", (F.col("z.target") + 1).cast("int")).alias("target_name"),
+                         F.try_element_at("label", F.greatest(F.col("z.source") + 1, F.lit(1)).cast("int")).alias("source_name"),
+                         F.try_element_at("label", F.greatest(F.col("z.target") + 1, F.lit(1)).cast("int")).alias("target_name"),
                          F.col("z.value").alias("value"))
     return parse_flow_names(named, keep=[page_key, "pos"])

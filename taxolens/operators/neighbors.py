@@ -91,8 +91,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
             labels.unpersist()
         labels = jumped
         if changed == 0:
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"components did not close in {max_rounds} rounds")
 
 
 def grouped_block_cogroup(left: DataFrame, right: DataFrame, group: str, nb_col: str,

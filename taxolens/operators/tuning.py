@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import time
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +18,10 @@ from taxolens.sources.sampling import restrict_to, sample_ids
 RESULT_SCHEMA = T.StructType([
     T.StructField("combo_idx", T.IntegerType()), T.StructField("params", T.StringType()),
     T.StructField("n_clusters", T.LongType()), T.StructField("silhouette", T.DoubleType()),
-    T.StructField("time", T.DoubleType())])
+    T.StructField("time", T.DoubleType()), T.StructField("error", T.StringType())])
+
+# The score of a labeling that cannot be scored, and the start of the search.
+UNSCORED, START = -1.0, -2.0
 
 
 def param_grid(grid: dict[str, list]) -> list[dict]:
@@ -26,39 +30,46 @@ def param_grid(grid: dict[str, list]) -> list[dict]:
     return [dict(zip(keys, v)) for v in itertools.product(*(grid[k] for k in keys))]
 
 
-def tune_hyperparameters(df: DataFrame, algo: str, grid: dict[str, list], sample_size: int = 10000,
+def _score(data: DataFrame, val: DataFrame, algo: str, params: dict, n: int, features: str) -> tuple[int, float]:
+    """Clusters and silhouette of one parameter set (``UNSCORED`` with fewer than 2 or more than N-1 clusters)."""
+    labels = run_algorithm(algo, data, **params).persist()
+    try:
+        k = labels.filter(F.col(CLUSTER) != NOISE).select(CLUSTER).distinct().count()
+        if not 2 <= k <= n - 1:
+            return k, UNSCORED
+        value = silhouette(val.join(labels, ROW_ID), features).first()["silhouette"]
+        return k, UNSCORED if value is None else float(value)
+    finally:
+        labels.unpersist()
+
+
+def tune_hyperparameters(df: DataFrame, algo: str, grid: dict[str, list], sample_size: int | None = None,
                          features: str = "features", seed: int = 42):
-    """Returns (best_params, best_score, results DataFrame).
+    """Returns (best_params, best_score, results DataFrame): one row per parameter set, the first best one wins.
 
-    Score = silhouette on the sample, -1.0 when clusters < 2 or > N-1; a strict
-    ``>`` keeps the first best; a failing combination is skipped. Every fit is
-    a Spark job over the cached input; only the per-combo score row is local.
+    Scores are of all rows unless ``sample_size`` asks for a seeded sample. A parameter set that the algorithm
+    rejects has its message in ``error`` and no score; anything else, such as a lost executor, is raised.
     """
     spark: SparkSession = df.sparkSession
     data = df.select(ROW_ID, features).persist()
-    n = data.count()
-    ids = sample_ids(data, sample_size, seed=seed).persist() if n > sample_size else None
-    val = restrict_to(data, ids) if ids is not None else data
-    best_score, best_params, rows = -2.0, None, []
-    for i, params in enumerate(param_grid(grid)):
-        try:
-            t0 = time.time()
-            labels = run_algorithm(algo, data, **params).persist()
-            k = labels.filter(F.col(CLUSTER) != NOISE).select(CLUSTER).distinct().count()
-            if k < 2 or k > n - 1:
-                score = -1.0
-            else:
-                v = val.join(labels, ROW_ID)
-                score = silhouette(v, features).first()["silhouette"]
-                score = -1.0 if score is None else float(score)
-            rows.append((i, str(params), int(k), float(score), time.time() - t0))
-            labels.unpersist()
-            if score > best_score:
-                best_score, best_params = score, params
-        except Exception:  # a failing combination is skipped, as in the reference
-            continue
-    results = spark.createDataFrame(rows, RESULT_SCHEMA)
-    return best_params, best_score, results
+    try:
+        n = data.count()
+        val = data if sample_size is None else restrict_to(data, sample_ids(data, sample_size, seed=seed))
+        rows = []
+        for i, params in enumerate(param_grid(grid)):
+            began = time.time()
+            try:
+                k, score = _score(data, val, algo, params, n, features)
+                rows.append((i, str(params), int(k), score, time.time() - began, None))
+            except (ValueError, TypeError, IllegalArgumentException) as e:
+                rows.append((i, str(params), None, None, time.time() - began, str(e)[:500]))
+    finally:
+        data.unpersist()
+    best_params, best_score = None, START
+    for row, params in zip(rows, param_grid(grid)):
+        if row[3] is not None and row[3] > best_score:
+            best_params, best_score = params, row[3]
+    return best_params, best_score, spark.createDataFrame(rows, RESULT_SCHEMA)
 
 
 def best_of(results: DataFrame) -> DataFrame:

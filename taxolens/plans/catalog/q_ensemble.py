@@ -61,9 +61,21 @@ def q_coassociation(spark, sf):
     return rounded(EN.coassociation_summary(FX.labelings(spark, sf)))
 
 
-@register("consensus")
+@register("consensus", S.with_(S.LABELINGS, body="""
+SELECT row_id, CAST(dense_rank() OVER (ORDER BY comp) - 1 AS INTEGER) AS cluster FROM (
+  WITH RECURSIVE wide AS (
+    SELECT row_id, max(cluster) FILTER (WHERE algo_ord = 0) AS a, max(cluster) FILTER (WHERE algo_ord = 1) AS b,
+           max(cluster) FILTER (WHERE algo_ord = 2) AS c FROM labelings GROUP BY 1),
+  keys AS (
+    SELECT row_id, 'ab' || a || ':' || b AS k FROM wide WHERE a <> -1 AND b <> -1
+    UNION ALL SELECT row_id, 'ac' || a || ':' || c FROM wide WHERE a <> -1 AND c <> -1
+    UNION ALL SELECT row_id, 'bc' || b || ':' || c FROM wide WHERE b <> -1 AND c <> -1),
+  edges AS (SELECT DISTINCT x.row_id AS s, y.row_id AS t FROM keys x JOIN keys y USING (k)),
+  reach(s, t) AS (
+    SELECT row_id, row_id FROM wide UNION SELECT r.s, e.t FROM reach r JOIN edges e ON e.s = r.t)
+  SELECT s AS row_id, min(t) AS comp FROM reach GROUP BY 1)"""))
 def q_consensus(spark, sf):
-    return EN.consensus(FX.labelings(spark, sf), n_clusters=5)
+    return EN.consensus(FX.labelings(spark, sf))
 
 
 @register("sample_labelings", S.with_(S.LABELINGS, """ids AS (

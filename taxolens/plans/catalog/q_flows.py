@@ -66,24 +66,20 @@ def q_flow_direction(spark, sf):
     return FL.parse_flow_names(_links(spark, sf))
 
 
-_ITEMS = "SELECT CAST(cluster AS VARCHAR) AS cluster_id, true_label AS name, value AS count FROM flows"
+def _items(src: str) -> str:
+    return (f"SELECT CAST(cluster AS VARCHAR) AS cluster_id, true_label AS name, count(*) AS count FROM {src} "
+            "WHERE true_label IS NOT NULL GROUP BY ALL")
 
 
-@register("composition", S.with_(S.FLOW_SRC, _SK, S.composition_ctes(_ITEMS), body="""
+@register("composition", S.with_(S.FLOW_SRC, _SK, S.composition_ctes(_items("flow_src")), body="""
 SELECT cluster_id, rank, name, count, percentage, total_size, round(purity, 6) AS purity, dominant_category FROM comp"""))
 def q_composition(spark, sf):
-    fl = FL.sankey_flows(FL.flow_subset(FX.flow_src(spark, sf)))
-    items = fl.select(F.col("cluster").cast("string").alias("cluster_id"), F.col("true_label").alias("category"),
-                      F.col("value").alias("count"))
-    return rounded(FL.composition(items))
+    return rounded(FL.composition(FL.flow_items(FX.flow_src(spark, sf))))
 
 
 @register("composition_nested")
 def q_composition_nested(spark, sf):
-    fl = FL.sankey_flows(FL.flow_subset(FX.flow_src(spark, sf)))
-    items = fl.select(F.col("cluster").cast("string").alias("cluster_id"), F.col("true_label").alias("category"),
-                      F.col("value").alias("count"))
-    return FL.composition_nested(items)
+    return FL.composition_nested(FL.flow_items(FX.flow_src(spark, sf)))
 
 
 _BROKEN = "src"  # this algorithm's page loses its "value" array and must be skipped
@@ -121,7 +117,7 @@ def q_extract_embedded_links(spark, sf):
 
 _PSTATS = S.PROD_LAB + ",\n" + stats_cte("prod_lab")
 _PSK = S.sankey_ctes("prod_lab")
-_EXP = S.with_(_PSTATS, _PSK, S.composition_ctes(_ITEMS), body="")
+_EXP = S.with_(_PSTATS, _PSK, S.composition_ctes(_items("prod_lab")), body="")
 
 
 def _exp(body: str) -> str:
@@ -133,10 +129,7 @@ def _clusters(spark, sf):
 
 
 def _rich(spark, sf):
-    fl = FL.sankey_flows(FL.flow_subset(FX.prod_lab(spark, sf)))
-    items = fl.select(F.col("cluster").cast("string").alias("cluster_id"), F.col("true_label").alias("category"),
-                      F.col("value").alias("count"))
-    return FL.composition(items)
+    return FL.composition(FL.flow_items(FX.prod_lab(spark, sf)))
 
 
 @register("explorer_inputs", _exp("""

@@ -18,8 +18,9 @@ def q_contingency(spark, sf):
 
 
 @register("crosstab_wide", S.with_(S.LAB_DOC, body="""
-PIVOT (SELECT true_label, cluster FROM lab_doc WHERE true_label IS NOT NULL)
-ON true_label USING count(*) GROUP BY cluster"""))
+SELECT cluster, count(*) FILTER (WHERE true_label = 'de') AS de, count(*) FILTER (WHERE true_label = 'en') AS en,
+       count(*) FILTER (WHERE true_label = 'es') AS es, count(*) FILTER (WHERE true_label = 'fr') AS fr
+FROM lab_doc WHERE true_label IS NOT NULL GROUP BY cluster"""))
 def q_crosstab_wide(spark, sf):
     return M.crosstab_wide(FX.lab_doc(spark, sf))
 

@@ -268,7 +268,8 @@ def q_error_analysis(spark, sf):
 
 
 @register("attach_labels", S.with_(S.LAB_DOC, body="""
-SELECT d.row_id, d.cluster, d.true_label, l.quality, l.toxic FROM lab_doc d JOIN labels l ON l.doc_id = d.row_id"""))
+SELECT d.row_id, d.cluster, d.true_label, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, -1) AS toxic FROM lab_doc d LEFT JOIN labels l ON l.doc_id = d.row_id"""))
 def q_attach_labels(spark, sf):
     lab = read_table(spark, sf, "labels").withColumnRenamed("doc_id", "row_id")
-    return FX.lab_doc(spark, sf).select("row_id", "cluster", "true_label").join(lab, "row_id")
+    return FX.lab_doc(spark, sf).select("row_id", "cluster", "true_label").join(lab, "row_id", "left") \
+        .fillna(-1, ["quality", "toxic"])

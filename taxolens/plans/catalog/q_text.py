@@ -11,6 +11,7 @@ from taxolens.plans.catalog import sqlfix as S
 from taxolens.plans.catalog.registry import register
 from taxolens.sources.sampling import sample_exact
 from taxolens.sources.tables import read_table
+from taxolens.schema import TEXT_COLS
 
 
 @register("clean_html", f"SELECT page_id, {S.clean_html('html')} AS text FROM pages")
@@ -18,14 +19,9 @@ def q_clean_html(spark, sf):
     return read_table(spark, sf, "pages").select("page_id", T.clean_html("html").alias("text"))
 
 
-_TITLE_SQL = r"regexp_extract(html, '(?is)<title>(.*?)</title>', 1)"
-
-
-@register("decode_entities",
-          f"SELECT page_id, {S.decode_entities(_TITLE_SQL)} AS title FROM pages")
+@register("decode_entities", f"SELECT page_id, {S.decode_entities('html')} AS html FROM pages")
 def q_decode_entities(spark, sf):
-    title = F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1)
-    return read_table(spark, sf, "pages").select("page_id", T.decode_entities(title).alias("title"))
+    return read_table(spark, sf, "pages").select("page_id", T.decode_entities("html").alias("html"))
 
 
 @register("normalize_ws", f"SELECT doc_id, {S.normalize_ws('text')} AS text FROM documents")
@@ -33,20 +29,17 @@ def q_normalize_ws(spark, sf):
     return read_table(spark, sf, "documents").select("doc_id", T.normalize_ws("text").alias("text"))
 
 
-_COLS = ["Title", "ProductName", "Brand", "Description", "LongDesc"]
-
-
-@register("impute_text", S.with_(S.PRODUCTS, body=f"SELECT row_id, {S.impute(_COLS)} AS cluster_text FROM products"))
+@register("impute_text", S.with_(S.PRODUCTS, body=f"SELECT row_id, {S.impute(TEXT_COLS)} AS cluster_text FROM products"))
 def q_impute_text(spark, sf):
-    return FX.products(spark, sf).select("row_id", T.impute_text(_COLS).alias("cluster_text"))
+    return FX.products(spark, sf).select("row_id", T.impute_text(TEXT_COLS).alias("cluster_text"))
 
 
 _CLEANED = "cleaned AS (SELECT row_id, " + ", ".join(
-    f"{S.clean_html(c)} AS {c}" for c in _COLS) + ", true_label FROM products)"
+    f"{S.clean_html(c)} AS {c}" for c in TEXT_COLS) + ", true_label FROM products)"
 
 
 @register("text_features", S.with_(S.PRODUCTS, _CLEANED, body=f"""
-SELECT * FROM (SELECT *, {S.normalize_ws(S.impute(_COLS))} AS cluster_text FROM cleaned)
+SELECT * FROM (SELECT *, {S.normalize_ws(S.impute(TEXT_COLS))} AS cluster_text FROM cleaned)
 WHERE length(cluster_text) > 2"""))
 def q_text_features(spark, sf):
     return create_text_features(FX.products(spark, sf))
@@ -56,7 +49,7 @@ def q_text_features(spark, sf):
 SELECT CAST(count(*) FILTER (WHERE length(t) > 2) AS BIGINT) AS kept,
        CAST(count(*) FILTER (WHERE length(t) <= 2) AS BIGINT) AS dropped,
        count(*) FILTER (WHERE length(t) <= 2) / count(*) AS drop_ratio
-FROM (SELECT {S.normalize_ws(S.impute(_COLS))} AS t FROM cleaned)"""))
+FROM (SELECT {S.normalize_ws(S.impute(TEXT_COLS))} AS t FROM cleaned)"""))
 def q_rejection_rate(spark, sf):
     return rejection_rate(FX.products(spark, sf))
 
@@ -96,7 +89,7 @@ def q_source_shape(spark, sf):
 
 @register("preview", S.with_(S.PRODUCTS, _CLEANED, body=f"""
 SELECT row_id, true_label, substr(cluster_text, 1, 200) AS text FROM
- (SELECT *, {S.normalize_ws(S.impute(_COLS))} AS cluster_text FROM cleaned)
+ (SELECT *, {S.normalize_ws(S.impute(TEXT_COLS))} AS cluster_text FROM cleaned)
 WHERE length(cluster_text) > 2 ORDER BY row_id LIMIT 3"""))
 def q_preview(spark, sf):
     f = create_text_features(FX.products(spark, sf))

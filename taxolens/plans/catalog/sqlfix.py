@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 # Python/Java-compatible Unicode whitespace for RE2 (whose \s is ASCII only).
 WS = r"[\s\x0b\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
@@ -11,18 +13,19 @@ def normalize_ws(expr: str) -> str:
 
 
 def decode_entities(expr: str) -> str:
-    out = expr
-    for ent, ch in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"),
-                    ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]:
-        out = f"replace({out}, '{ent}', '{ch}')"
-    return out
+    names = ", ".join(f"'{k}': {v}" for k, v in (sorted(name2codepoint.items()) + [("apos", 39)]))
+    name = "regexp_extract(p, '^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);', 1)"
+    code = (f"CASE WHEN {name}[1:2] IN ('#x', '#X') THEN CAST('0x' || {name}[3:] AS INTEGER) "
+            f"WHEN {name}[1:1] = '#' THEN CAST({name}[2:] AS INTEGER) ELSE MAP {{{names}}}[{name}] END")
+    return (f"(string_split({expr}, '&')[1] || array_to_string(list_transform(string_split({expr}, '&')[2:], "
+            f"lambda p: CASE WHEN {code} > 0 THEN chr({code}) || p[length({name}) + 2:] ELSE '&' || p END), ''))")
 
 
 def strip_markup(expr: str) -> str:
     out = expr
-    for pat in [r"(?is)<!--.*?-->", r"(?is)<script\b[^>]*>.*?</script\s*>",
-                r"(?is)<style\b[^>]*>.*?</style\s*>", r"(?is)<template\b[^>]*>.*?</template\s*>",
-                r"(?is)<[a-zA-Z/!?][^>]*>"]:
+    for pat in [r"(?is)<!--.*?(?:-->|\z)", r"(?is)<script\b[^>]*>.*?(?:</script\s*>|\z)",
+                r"(?is)<style\b[^>]*>.*?(?:</style\s*>|\z)", r"(?is)<template\b[^>]*>.*?(?:</template\s*>|\z)",
+                r"""(?is)<[a-zA-Z/!?][^>"'']*(?:(?:"[^"]*"|''[^'']*'')[^>"'']*)*>""", r"(?is)<[a-zA-Z/!?][^>]*>"]:
         out = f"regexp_replace({out}, '{pat}', ' ', 'g')"
     return out
 
@@ -32,7 +35,10 @@ def clean_html(expr: str) -> str:
 
 
 def impute(cols: list[str]) -> str:
-    parts = ", ".join(f"CASE WHEN length(trim({c})) > 2 THEN trim({c}) END" for c in cols)
+    def strip(c: str) -> str:
+        return f"regexp_replace({c}, '^{WS}|{WS}$', '', 'g')"
+
+    parts = ", ".join(f"CASE WHEN length({strip(c)}) > 2 THEN {strip(c)} END" for c in cols)
     return f"coalesce({parts}, '')"
 
 

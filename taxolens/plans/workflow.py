@@ -37,7 +37,7 @@ DEFAULT_GRIDS = {
 }
 
 
-def run_analysis(products: DataFrame, dims: int = 8, grids: dict | None = None, sample_size: int = 10000,
+def run_analysis(products: DataFrame, dims: int = 8, grids: dict | None = None, sample_size: int | None = None,
                  num_features: int = 512) -> dict[str, DataFrame]:
     """T4: features → embeddings → PCA → tune + fit each algorithm → metrics → voting
     ensemble → supervised control → comparison report → quality report of the best model.
@@ -64,14 +64,14 @@ def run_analysis(products: DataFrame, dims: int = 8, grids: dict | None = None,
         best_params, _, _ = tune_hyperparameters(vecs, algo, grid, sample_size)
         labels = cut_lineage(run_algorithm(algo, vecs, **require_params(best_params)))
         labeled = vecs.join(labels, "row_id")
-        rec = compute_metrics(labeled, sample_size=sample_size).withColumn("best_params", F.lit(str(best_params)))
+        rec = compute_metrics(labeled, silhouette_sample=sample_size).withColumn("best_params", F.lit(str(best_params)))
         records[algo] = cut_lineage(rec)
         labelings.append(labels.select(F.lit(algo).alias("algo"), F.lit(i).alias("algo_ord"), "row_id", "cluster"))
     all_lab = labelings[0]
     for extra in labelings[1:]:
         all_lab = all_lab.unionByName(extra)
     ens = cut_lineage(voting_ensemble(all_lab))
-    records["Ensemble (Voting)"] = cut_lineage(compute_metrics(vecs.join(ens, "row_id"), sample_size=sample_size))
+    records["Ensemble (Voting)"] = cut_lineage(compute_metrics(vecs.join(ens, "row_id"), silhouette_sample=sample_size))
     base, _ = run_baseline(vecs)
     records["Supervised Baseline"] = cut_lineage(base)
     report = cut_lineage(results_table(records))

@@ -7,6 +7,7 @@ encoder — a left-anti join, so only missing rows are encoded.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,9 @@ def refresh_cache(spark, rows: DataFrame, cache_path: str, encoder_name: str, en
     rows = fingerprint(rows)
     try:
         cached = spark.read.parquet(cache_path).filter(F.col("encoder") == encoder_name)
-    except Exception:  # first run: no cache yet
+    except AnalysisException as e:  # first run: no cache yet
+        if "PATH_NOT_FOUND" not in (e.getCondition() or ""):
+            raise
         cached = None
     missing = rows if cached is None else rows_missing_from_cache(
         rows, cached, on=[ROW_ID, "fingerprint"])

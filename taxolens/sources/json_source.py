@@ -1,24 +1,31 @@
 """Product JSON source with an explicit schema.
 
-``format='auto'`` picks the reader from the first non-blank byte: ``[`` → one
-JSON document of records (multiLine), otherwise JSON lines. A column-oriented
-document ``{col: {idx: val}}`` (pandas' default ``to_json``) is reshaped with
-``explode`` of a map and a pivot on the column name.
+``format='auto'`` picks the reader from the head of the file: ``[`` → one JSON
+document of records (multiLine), an object whose first value is an object → a
+column-oriented document ``{col: {idx: val}}`` (pandas' default ``to_json``),
+reshaped with ``explode`` of a map and a pivot on the column name, otherwise
+JSON lines. Row ids are assigned once and kept.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from taxolens.schema import LABEL_COL, PRODUCT_SCHEMA, ROW_ID, TEXT_COLS, TRUTH
+from taxolens.session import cut_lineage
+
+
+_COLUMNS = re.compile(r'\{\s*"(?:[^"\\]|\\.)*"\s*:\s*\{')
 
 
-def _first_byte(spark: SparkSession, path: str) -> str:
-    head = (spark.read.text(path, wholetext=False).limit(20)
-            .select(F.ltrim(F.col("value")).alias("v")).filter(F.length("v") > 0).first())
-    return head["v"][:1] if head else ""
+def _detect(spark: SparkSession, path: str) -> str:
+    lines = spark.read.text(path).select(F.substring("value", 1, 2000).alias("v")).limit(20).collect()
+    head = " ".join(r["v"] or "" for r in lines).lstrip()
+    return "records" if head.startswith("[") else "columns" if _COLUMNS.match(head) else "lines"
 
 
 def load_products(spark: SparkSession, path: str, fmt: str = "auto",
@@ -28,7 +35,7 @@ def load_products(spark: SparkSession, path: str, fmt: str = "auto",
     Missing paths raise ``AnalysisException`` (PATH_NOT_FOUND) eagerly.
     """
     if fmt == "auto":
-        fmt = "records" if _first_byte(spark, path) == "[" else "lines"
+        fmt = _detect(spark, path)
     if fmt == "records":
         df = spark.read.schema(schema).option("multiLine", True).json(path)
     elif fmt == "lines":
@@ -38,10 +45,8 @@ def load_products(spark: SparkSession, path: str, fmt: str = "auto",
     else:
         raise ValueError(f"unknown format {fmt!r}")
     cols = [F.col(f"`{c}`") for c in TEXT_COLS if c in df.columns]
-    # Ingest-time id: stable for a given file layout; write the result once
-    # (parquet) and use that table downstream rather than re-reading JSON.
-    return df.select(F.monotonically_increasing_id().alias(ROW_ID), *cols,
-                     F.col(f"`{LABEL_COL}`").alias(TRUTH))
+    return cut_lineage(df.select(F.monotonically_increasing_id().alias(ROW_ID), *cols,
+                                 F.col(f"`{LABEL_COL}`").alias(TRUTH)))
 
 
 def _read_column_oriented(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
