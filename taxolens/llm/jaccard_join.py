@@ -44,7 +44,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.99
 N_HASH = 128
-LEAF = 128
+LEAF = 512
 #: Estimated likeness to a bucket's pivot from which a set needs no further path.
 CORE = 0.75
 MAX_DEPTH = 6
@@ -277,7 +277,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                            F.first("mh").alias("mh"), F.first("paths").alias("paths"),
                                            F.count(F.lit(1)).alias("copies")))
     cand = keep(components(candidate_links(reps, threshold)))
-    sizes = cand.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    sizes = keep(cand.groupBy("comp").agg(F.count(F.lit(1)).alias("size")))
     members = (cand.join(sizes, "comp")
                .withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int"))
                .withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")))
