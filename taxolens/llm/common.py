@@ -201,7 +201,7 @@ def likely_member(ids: DataFrame, most_bits: int = 1 << 26) -> Callable[[Column]
 
 
 def logistic_on_bins(counts: Iterable[tuple[float, int, int]], rounds: int = 50) -> tuple[float, float]:
-    """Slope and offset of a logistic curve over binned scores ``(value, n_zero, n_one)`` (Newton steps).
+    """Slope and offset of a logistic curve over binned scores ``(value, n_zero, n_one)`` (damped Newton steps).
 
     One pseudo count in each class at the ends keeps the curve finite; the slope is never below 0. Without both
     classes the curve is flat at the smoothed rate.
@@ -214,19 +214,32 @@ def logistic_on_bins(counts: Iterable[tuple[float, int, int]], rounds: int = 50)
     x = np.array([r[0] for r in rows] + [rows[0][0], rows[-1][0]])
     n0 = np.array([r[1] for r in rows] + [0, 1], float)
     n1 = np.array([r[2] for r in rows] + [1, 0], float)
-    a, b = 0.0, base
+    n = n0 + n1
+    mid = float((n * x).sum() / n.sum())
+    wide = float(np.sqrt((n * (x - mid) ** 2).sum() / n.sum())) or 1.0
+    z = (x - mid) / wide
+
+    def loss(v: np.ndarray) -> float:
+        t = v[0] * z + v[1]
+        return float((n * np.logaddexp(0, t) - n1 * t).sum()) + 0.5e-3 * float(v[0] ** 2)
+
+    v = np.array([0.0, base])
+    now = loss(v)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -35, 35)))
-        n = n0 + n1
-        g = np.array([np.sum(n1 * x - n * p * x) - 1e-3 * a, np.sum(n1 - n * p)])
+        p = 1 / (1 + np.exp(-np.clip(v[0] * z + v[1], -35, 35)))
+        g = np.array([((n * p - n1) * z).sum() + 1e-3 * v[0], (n * p - n1).sum()])
         w = n * p * (1 - p)
-        hess = np.array([[np.sum(w * x * x) + 1e-3, np.sum(w * x)], [np.sum(w * x), np.sum(w) + 1e-9]])
+        hess = np.array([[(w * z * z).sum() + 1e-3, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-9]])
         step = np.linalg.solve(hess, g)
-        step = np.clip(step, -2, 2)
-        a, b = a + step[0], b + step[1]
-        if np.abs(step).max() < 1e-9:
+        # a full step may overshoot: halve it until the loss falls
+        size = 1.0
+        while size > 1e-6 and (after := loss(v - size * step)) > now:
+            size /= 2
+        if size <= 1e-6 or now - after < 1e-9:
             break
-    return max(float(a), 0.0), float(b)
+        v, now = v - size * step, after
+    a = max(float(v[0]) / wide, 0.0)
+    return a, float(v[1]) - a * mid
 
 
 def squash(x: np.ndarray) -> np.ndarray:
