@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxolens.llm import decontaminate, jaccard_join, quality, sentencepiece_fst, toxicity
-from taxolens.llm.common import read_table, shared_folder
+from taxolens.llm.common import labelled, read_table, shared_folder
 from taxolens.session import ship_package
 
 
@@ -25,7 +25,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality reaches the cut; learned from the labelled ones among ``docs``."""
     labels = read_table(spark, sf_dir, "labels")
-    some = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+    some = labelled(docs, labels, "quality", F.lit(True), quality.MAX_LABELLED)
     return quality.drop_poor(docs, quality.learn(quality.describe(some), labels, F.lit(True)))
 
 

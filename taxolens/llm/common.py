@@ -200,6 +200,22 @@ def likely_member(ids: DataFrame, most_bits: int = 1 << 26) -> Callable[[Column]
     return lambda c: probe(*(F.pmod(F.xxhash64(c, F.lit(k)), F.lit(bits)) for k in (1, 2)))
 
 
+def labelled(docs: DataFrame, labels: DataFrame, target: str, train: Column, max_labelled: int) -> DataFrame:
+    """``(doc_id, text, <target>)`` of the rows to learn from: at most about ``max_labelled``, drawn by hash of the id.
+
+    ``train`` selects by ``doc_id``. Labels outside 0 and 1 are left out; several labels of one id count as their
+    largest. The drawn labels are broadcast, so that no text is shuffled: 12 bytes for each of ``max_labelled`` ids.
+    """
+    lab = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias(target))
+           .filter(F.col(target).isin(0, 1) & F.col("doc_id").isNotNull()).filter(train)
+           .groupBy("doc_id").agg(F.max(target).alias(target)))
+    lab = keep(lab)
+    n = lab.count()
+    if n > max_labelled:
+        lab = lab.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_labelled / n))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text()).join(F.broadcast(lab), "doc_id")
+
+
 def logistic_on_bins(counts: Iterable[tuple[float, int, int]], rounds: int = 50) -> tuple[float, float]:
     """Slope and offset of a logistic curve over binned scores ``(value, n_zero, n_one)`` (damped Newton steps).
 

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxolens.llm.common import CACHE_WORDS, keep, logistic_on_bins, lower_words, squash, whole_text
+from taxolens.llm.common import CACHE_WORDS, keep, labelled, logistic_on_bins, lower_words, squash, whole_text
 
 #: Bound on the labelled documents that the weights are learned from, drawn by hash of the id.
 MAX_LABELLED = 200_000
@@ -173,22 +173,6 @@ def _count_features(only: set[str] | None):
     return run
 
 
-def labelled(docs: DataFrame, labels: DataFrame, target: str, train: Column, max_labelled: int) -> DataFrame:
-    """``(doc_id, text, <target>)`` of the rows to learn from: at most about ``max_labelled``, drawn by hash of the id.
-
-    ``train`` selects by ``doc_id``. Labels outside 0 and 1 are left out; several labels of one id count as their
-    largest.
-    """
-    lab = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias(target))
-           .filter(F.col(target).isin(0, 1) & F.col("doc_id").isNotNull()).filter(train)
-           .groupBy("doc_id").agg(F.max(target).alias(target)))
-    lab = keep(lab)
-    n = lab.count()
-    if n > max_labelled:
-        lab = lab.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_labelled / n))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text()).join(lab, "doc_id")
-
-
 def learn(docs: DataFrame, labels: DataFrame, train: Column, max_labelled: int = MAX_LABELLED,
           max_features: int = MAX_FEATURES) -> ToxicModel:
     """Weights and calibration from the labelled documents that ``train`` (over ``doc_id``) selects."""
