@@ -145,30 +145,27 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
 
     Large-star and small-star steps in turn: each node is linked to the least node among its neighbours, so the
     edge list stays linear and a component of diameter d closes in about log d rounds. Each round is a grouped
-    minimum (partial aggregation) and a join on the node, whose hot keys adaptive execution splits. Raises if it
-    has not closed after ``max_rounds``. Self links and nulls are dropped.
+    minimum (partial aggregation) and a join on the node, whose hot keys adaptive execution splits. It has closed
+    once every node with a smaller neighbour has no other one, which the grouped minima show without a further
+    round. Raises if it has not closed after ``max_rounds``. Self links and nulls are dropped.
     """
     e = rewritten(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                   .filter("u <> v").distinct(), "edges")
     for _ in range(max_rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        turned = e.select(F.col("v").alias("u"), F.col("u").alias("v"))
         # the minima are kept, so that the joins deal out both sides and a hub can be split
-        low = keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        low = keep(e.unionByName(turned).groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("x")))
+        if low.filter("m < u and x <> m").isEmpty():
+            return low.select(F.col("u").alias("node"), F.least("u", "m").alias("comp"))
         # large star: every larger neighbour is linked to the least of the neighbourhood
-        large = keep(both.join(low, "u").filter("v > u")
-                     .select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        large = keep(turned.join(low.select("u", F.least("u", "m").alias("m")), "u")
+                     .select(F.col("v").alias("u"), F.col("m").alias("v")))
         low2 = keep(large.groupBy("u").agg(F.min("v").alias("m")))
         # small star: the smaller neighbours and the node itself are linked to the least
         small = (large.join(low2, "u")
                  .select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(low2.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
-        nxt = rewritten(small, "edges")
-        n_new, n_old = nxt.count(), e.count()
-        same = n_new == n_old and nxt.exceptAll(e).isEmpty()
-        e = nxt
-        if same:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(
-                e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+        e = rewritten(small, "edges")
     raise RuntimeError(f"components did not close in {max_rounds} rounds")
 
 

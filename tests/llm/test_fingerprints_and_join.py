@@ -153,6 +153,19 @@ def test_components_of_paths_and_stars(spark):
     assert 5 not in got
 
 
+@pytest.mark.parametrize("n_edges", [60, 130])
+def test_components_of_random_graphs(spark, n_edges):
+    rng = random.Random(n_edges)
+    edges = [(rng.randrange(150), rng.randrange(150)) for _ in range(n_edges)]
+    least = list(range(150))
+    for _ in least:
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    got = components(spark.createDataFrame(edges * 2, "a long, b long")).collect()
+    assert {r["node"]: r["comp"] for r in got} == {x: least[x] for e in edges if e[0] != e[1] for x in e}
+    assert len(got) == len({r["node"] for r in got})
+
+
 def test_sorted_groups_join_batches():
     import pandas as pd
     k = [1, 1, 2, 2, 2, 3, 4, 4]
