@@ -81,6 +81,30 @@ def test_edited_copies_are_found_and_clean_texts_left(spark, make_docs):
     assert D.find_items(docs, bench.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("exact", [False, True])
+@pytest.mark.parametrize("step", [-1, 2, 3, 4, 5, 6, 7])
+def test_copies_with_edits_at_every_step_are_found(spark, make_docs, step, exact):
+    rnd = random.Random(11)
+    words = [f"w{k}" for k in range(300)]
+    items = [(k, rnd.choices(words, k=rnd.randint(12, 40))) for k in range(15)]
+    rows, want = [], set()
+    for k, item in items:
+        if step < 0:  # a word put in after each
+            copy = [x for j, w in enumerate(item) for x in (w, f"x{j}")]
+        else:
+            copy = [f"x{j}" if j % step == step - 1 else w for j, w in enumerate(item)]
+        text = rnd.choices(words, k=20) + copy + rnd.choices(words, k=20)
+        if brute_align(item, text) >= D.CUT * len(item):
+            want.add((k, k))
+        rows.append((k, " ".join(text)))
+        if exact:
+            rows.append((100 + k, " ".join(item)))
+            want.add((100 + k, k))
+    assert step == 2 or len(want) == len(rows)
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in D.find_items(make_docs(rows), bench).collect()} == want
+
+
 def test_blocks_of_a_large_benchmark_give_the_same_rows(spark, monkeypatch):
     docs, bench = (spark.read.parquet(f"{SF_SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
     want = sorted(map(tuple, D.find_items(docs, bench).collect()))
