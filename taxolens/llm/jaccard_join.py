@@ -9,7 +9,8 @@ level. A bucket of at most ``LEAF`` sets is compared by brute force on the embed
 with one of its sets, the pivot: sets like it leave the recursion as candidates of the pivot, with all that the
 triangle inequality lets them be linked to, so a group of near copies is not split in vain; the rest goes further
 down. A bucket that is still too large after ``MAX_DEPTH`` levels becomes a candidate group whole. Runs are repeated
-until the probability to miss a pair at the threshold is below ``1 - recall``.
+until the probability to miss a pair at the threshold is below ``1 - recall``: for all sets as often as buckets need
+that end within ``SHALLOW`` levels, and for the sets of buckets that go deeper as often as ``MAX_DEPTH`` levels need.
 
 Candidate groups are then compared exactly on whole shingle sets, in tiles of at most ``TILE`` sets a side: a tile
 counts the links of its rows and gives the links that join its components, never a list of pairs.
@@ -48,6 +49,8 @@ LEAF = 512
 #: Estimated likeness to a bucket's pivot from which a set needs no further path.
 CORE = 0.75
 MAX_DEPTH = 6
+#: Levels that the runs of all sets are enough for.
+SHALLOW = 3
 TILE = 128
 
 _RNG = np.random.default_rng(20240607)
@@ -76,7 +79,7 @@ def survival(similarity: float, threshold: float, depth: int) -> float:
     return q
 
 
-def runs_for(recall: float, threshold: float = THRESHOLD, depth: int = 3) -> int:
+def runs_for(recall: float, threshold: float = THRESHOLD, depth: int = SHALLOW) -> int:
     """Repetitions that find a pair at the threshold with probability ``recall``."""
     return math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold, threshold, depth)))
 
@@ -177,15 +180,42 @@ def _carve(threshold: float):
     return run
 
 
-def candidate_links(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def _more_paths(runs: range, threshold: float):
+    """The sets with the paths they take from the roots of further runs, by their short minhash values."""
+    roots = [np.array([hash_int(17, r)], np.uint64) for r in runs]
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                m = _values(pdf["mh"])
+                yield pdf.assign(paths=[np.concatenate([children(m[i:i + 1], p, threshold)[0] for p in roots])
+                                        for i in range(len(m))])
+    return run
+
+
+def candidate_links(reps: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """Links ``(a, b)`` whose components hold every pair that the chosen paths bring together.
 
-    ``reps`` are distinct sets ``(node, n, mh, paths)``, kept. Buckets are counted before anything but the id travels,
-    so the embedding of a set that meets no other is never joined; below the first level the few rows of buckets
-    that are still too large carry it along.
+    ``reps`` are distinct sets ``(node, n, mh, paths)``, kept. A pair whose common buckets go below ``SHALLOW`` has
+    both its sets in a bucket that does, so further runs of those sets alone bring it to ``recall``.
+    """
+    found, deep = _descend(reps, threshold)
+    runs = range(runs_for(recall, threshold), runs_for(recall, threshold, MAX_DEPTH))
+    if deep is None or not len(runs):
+        return found.distinct()
+    again = keep(reps.join(deep, "node", "left_semi").select("node", "n", "mh")
+                 .mapInPandas(_more_paths(runs, threshold), "node long, n long, mh binary, paths array<long>"))
+    return found.unionByName(_descend(again, threshold)[0]).distinct()
+
+
+def _descend(reps: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame | None]:
+    """Links from all levels of the paths of ``reps``, and the sets of buckets that go below ``SHALLOW``, if any.
+
+    Buckets are counted before anything but the id travels, so the embedding of a set that meets no other is never
+    joined; below the first level the few rows of buckets that are still too large carry it along.
     """
     floor = threshold - 4 * math.sqrt(threshold * (1 - threshold) / N_HASH)
-    found = None
+    found = deep = None
     rows = reps.select(F.explode("paths").alias("path"), "node")
     for depth in range(1, MAX_DEPTH + 1):
         # kept, so that the join deals out both sides and adaptive execution can split a hot path
@@ -205,13 +235,15 @@ def candidate_links(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         found = links if found is None else found.unionByName(links)
         if depth == MAX_DEPTH or big.isEmpty():
             break
+        if depth == SHALLOW:
+            deep = keep(big.select("node").distinct())
         pivots = keep(heads.join(reps.select(F.col("node").alias("pivot"), F.col("mh").alias("pivot_mh")), "pivot"))
         deeper = keep(full.filter(F.col("k") > LEAF).join(pivots, "path")
                       .select("path", "node", "n", "mh", "pivot", "pivot_mh")
                       .mapInPandas(_carve(threshold), "kind int, a long, b long, n long, mh binary"))
         found = found.unionByName(deeper.filter("kind = 0").select("a", "b"))
         rows = deeper.filter("kind = 1").select(F.col("a").alias("path"), F.col("b").alias("node"), "n", "mh")
-    return found.distinct()
+    return found, deep
 
 
 def _tile_links(threshold: float):
@@ -276,7 +308,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = keep(rows.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"),
                                            F.first("mh").alias("mh"), F.first("paths").alias("paths"),
                                            F.count(F.lit(1)).alias("copies")))
-    cand = keep(components(candidate_links(reps, threshold)))
+    cand = keep(components(candidate_links(reps, threshold, recall)))
     sizes = keep(cand.groupBy("comp").agg(F.count(F.lit(1)).alias("size")))
     members = (cand.join(sizes, "comp")
                .withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int"))

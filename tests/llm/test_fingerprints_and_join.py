@@ -109,6 +109,30 @@ def test_join_equals_all_pairs(spark):
     assert got == want
 
 
+def test_recall_of_pairs_in_buckets_that_go_deep(spark, monkeypatch):
+    """Pairs at the threshold among sets that share a quarter of their values, so buckets of strangers go deep."""
+    monkeypatch.setattr(J, "LEAF", 4)
+    monkeypatch.setattr(J, "CORE", 0.999)  # strangers are no candidates of a pivot
+    rng = np.random.default_rng(6)
+    pairs = 750
+    pool = rng.integers(0, 1 << 63, (4, J.N_HASH), dtype=np.uint64)
+    low = np.repeat(pool[rng.integers(0, 4, (pairs, J.N_HASH)), np.arange(J.N_HASH)], 2, axis=0)
+    for row in low[1::2]:
+        row[rng.permutation(J.N_HASH)[:25]] = rng.integers(0, 1 << 63, 25, dtype=np.uint64)
+    roots = [np.array([J.hash_int(17, r)], np.uint64) for r in range(J.runs_for(J.RECALL))]
+    rows = [(i, 100, J.short_values(v).tobytes(),
+             np.concatenate([J.children(v[None, :], p, J.THRESHOLD)[0] for p in roots]).tolist())
+            for i, v in enumerate(low)]
+    reps = J.keep(spark.createDataFrame(rows, "node long, n long, mh binary, paths array<long>"))
+    near = {i: {i} for i in range(2 * pairs)}
+    for r in J.candidate_links(reps).collect():
+        near[r["a"]].add(r["b"])
+        near[r["b"]].add(r["a"])
+    # linked, or both linked to the same set
+    found = sum(not near[2 * k].isdisjoint(near[2 * k + 1]) for k in range(pairs))
+    assert found >= pairs * J.RECALL
+
+
 @pytest.mark.parametrize("leaf,tile", [(128, 128), (8, 8)])
 def test_large_groups_split_and_lose_no_link(spark, monkeypatch, leaf, tile):
     """Groups far beyond a bucket and a tile: near copies, copies, and a passage that all texts share."""
