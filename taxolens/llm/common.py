@@ -58,6 +58,12 @@ def ascii_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split()
 
 
+def spaced_words(text: str) -> tuple[int, str]:
+    """Number of the words of :func:`ascii_words`, and the text with a blank for every other character, also around it."""
+    line = text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES)
+    return len(line.split()), f" {line.decode('utf-8', 'surrogatepass')} "
+
+
 def lower_words(text: str) -> list[bytes]:
     """Like :func:`ascii_words` after lower-casing every letter."""
     return ascii_words(text.lower())

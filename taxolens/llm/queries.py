@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxolens.llm import (
+    conversation_repair,
     decontaminate,
     fingerprints,
     html_extract,
     jaccard_join,
+    lexical_search,
     license_scan,
     quality,
+    secret_scan,
     sentencepiece_fst,
     token_store,
     toxicity,
@@ -76,13 +79,26 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_fst.encode(read_table(spark, sf_dir, "documents"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(read_table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damage(read_table(spark, sf_dir, "conversations")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
 
 
 _QUERIES = (op1_quality, op2_fingerprints, op3_decontamination, op4_html_extraction, op5_license_scan,
-            op6_jaccard_join, op7_toxicity, op8_token_ids, op9_url_filter, op10_sentencepiece, pipeline)
+            op6_jaccard_join, op7_toxicity, op8_token_ids, op9_url_filter, op10_sentencepiece,
+            op11_secret_scan, op12_lexical_search, op13_conversation_repair, pipeline)
 
 
 def _shipped(fn):
@@ -98,4 +114,6 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_license_scan": license_scan.scan_sql(), "op9_url_filter": url_filter.judge_sql()}
+    return {"op5_license_scan": license_scan.scan_sql(), "op9_url_filter": url_filter.judge_sql(),
+            "op12_lexical_search": lexical_search.search_sql(),
+            "op13_conversation_repair": conversation_repair.repair_sql()}
