@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 import re
+import sys
 import uuid
+import weakref
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxolens.session import cut_lineage, ensure_checkpoint_dir
 
 MASK = (1 << 64) - 1
-#: Entries a worker keeps in a word cache before it stops adding new ones.
-CACHE_WORDS = 600_000
+#: Bytes that all word caches of a worker hold together, keys and table slots counted.
+CACHE_BYTES = 96 << 20
 
 _WORD_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20
@@ -69,17 +72,66 @@ def lower_words(text: str) -> list[bytes]:
     return ascii_words(text.lower())
 
 
-class WordHash(dict):
-    """Cache from word to its 64-bit hash, bounded by ``CACHE_WORDS``."""
+class _Worker:
+    """What a worker keeps from task to task of one stage: its word caches' room and its compiled models.
 
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < CACHE_WORDS:
-            self[word] = h
-        return h
+    A task of another stage finds both empty, so that what operators keep does not add up in a worker that is reused.
+    """
+
+    def __init__(self):
+        self.left, self.stage = CACHE_BYTES, None
+        self.caches: weakref.WeakValueDictionary[int, WordCache] = weakref.WeakValueDictionary()
+        self.models: dict = {}
+
+    def turn(self) -> None:
+        task = TaskContext.get()
+        stage = task.stageId() if task else None
+        if stage != self.stage:
+            self.stage = stage
+            self.models.clear()
+            for cache in list(self.caches.values()):
+                cache.clear()
+
+    def model(self, key: tuple, make: Callable):
+        """A model by its key, made once a stage."""
+        self.turn()
+        if key not in self.models:
+            self.models[key] = make()
+        return self.models[key]
+
+
+_WORKER = _Worker()
+
+
+class WordCache(dict):
+    """Results by word, made when missing, kept while the worker's caches have room for them."""
+
+    def __init__(self, make: Callable):
+        super().__init__()
+        self.make, self.used = make, 0
+        _WORKER.caches[id(self)] = self
+
+    def __missing__(self, key):
+        value = self.make(key)
+        _WORKER.turn()
+        size = 104 + sys.getsizeof(key) + sys.getsizeof(value) + (sum(map(sys.getsizeof, key)) if type(key) is tuple else 0)
+        if size <= _WORKER.left:
+            _WORKER.left -= size
+            self.used += size
+            self[key] = value
+        return value
+
+    def clear(self) -> None:
+        super().clear()
+        _WORKER.left += self.used
+        self.used = 0
+
+    def __del__(self):
+        _WORKER.left += self.used
 
 
-_HASHES = WordHash()
+model_of_stage = _WORKER.model
+_HASHES = WordCache(xxhash.xxh3_64_intdigest)
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:

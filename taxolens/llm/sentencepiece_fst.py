@@ -31,7 +31,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxolens.llm.common import CACHE_WORDS, whole_text
+from taxolens.llm.common import WordCache, model_of_stage, whole_text
 
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -65,15 +65,15 @@ class Transducer:
                 self.score[piece] = sp.get_score(i)
                 self.bytes_of.append(piece.encode())
         self.longest = max(map(len, self.ids), default=1)
-        self._follows: dict[tuple[str, str], bool] = {}
+        self._follows = WordCache(lambda pair: self.merged(pair[0] + pair[1]) == list(pair))
         # for each last two characters, the lengths of longer pieces that end so, longest first
         ends: dict[str, set[int]] = {}
         for p in self.ids:
             if len(p) > 1:
                 ends.setdefault(p[-2:], set()).add(len(p))
         self.ends = {c: sorted(n, reverse=True) for c, n in ends.items()}
-        self.parts = _Cache(lambda part: np.array(self.part_ids(part), "<i4").tobytes())
-        self.words = _Cache(lambda word: self._chunk(MARK + word))
+        self.parts = WordCache(self._part)
+        self.words = WordCache(self._word)
 
     # normaliser ---------------------------------------------------------------------------------
 
@@ -103,6 +103,15 @@ class Transducer:
         cls = "".join(re.escape(c) for c in sorted(ascii_symbols))
         return re.compile(f"{MARK}*[{cls}]+|{MARK}*[^{MARK}{cls}]+|{MARK}+"), frozenset(whole)
 
+    def _part(self, part: str) -> bytes:
+        return np.array(self.part_ids(part), "<i4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        cut, whole = self.symbols
+        chunk = MARK + word
+        # a word of one part is kept as the word only
+        return self._chunk(chunk) if whole.isdisjoint(chunk) and len(cut.findall(chunk)) > 1 else self._part(chunk)
+
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a run of marks and the word after it."""
         cut, whole = self.symbols
@@ -127,12 +136,7 @@ class Transducer:
 
     def follows(self, a: str, b: str) -> bool:
         """Whether an arc of piece b may follow one of piece a."""
-        ok = self._follows.get((a, b))
-        if ok is None:
-            ok = self.merged(a + b) == [a, b]
-            if len(self._follows) < CACHE_WORDS:
-                self._follows[a, b] = ok
-        return ok
+        return self._follows[a, b]
 
     def path(self, part: str) -> list[str]:
         """Shortest path of one part through the composed graph, as its pieces (single characters fall back)."""
@@ -144,7 +148,7 @@ class Transducer:
     def _only_path(self, part: str) -> list[str]:
         n = len(part)
         last: list[str] = ["", part[:1]]
-        ids, ends, known = self.ids, self.ends, self._follows
+        ids, ends, follows = self.ids, self.ends, self._follows
         for i in range(2, n + 1):
             for size in ends.get(part[i - 2:i], ()):
                 j = i - size
@@ -153,11 +157,8 @@ class Transducer:
                 piece = part[j:i]
                 if piece not in ids:
                     continue
-                if j:
-                    pair = (last[j], piece)
-                    ok = known.get(pair)
-                    if not (self.follows(*pair) if ok is None else ok):
-                        continue
+                if j and not follows[last[j], piece]:
+                    continue
                 last.append(piece)
                 break
             else:
@@ -216,28 +217,9 @@ class Transducer:
         return text.replace(MARK, " ")[1:]
 
 
-class _Cache(dict):
-    """Results by key, bounded by ``CACHE_WORDS``."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key: str) -> bytes:
-        value = self.make(key)
-        if len(self) < CACHE_WORDS:
-            self[key] = value
-        return value
-
-
-_COMPILED: dict[tuple[str, str], Transducer] = {}
-
-
 def compiled(path: str, kind: str = "bpe") -> Transducer:
-    """The worker's transducer of a model file; its caches last as long as the worker."""
-    if (path, kind) not in _COMPILED:
-        _COMPILED[path, kind] = Transducer(path, kind)
-    return _COMPILED[path, kind]
+    """The worker's transducer of a model file, for as long as it works on one stage."""
+    return model_of_stage(("transducer", path, kind), lambda: Transducer(path, kind))
 
 
 def encode(docs: DataFrame, model: str | None = None, kind: str = "bpe", id_col: str = "doc_id",

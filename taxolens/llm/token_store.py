@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxolens.llm.common import CACHE_WORDS, shared_folder, whole_text
+from taxolens.llm.common import WordCache, model_of_stage, shared_folder, whole_text
 from taxolens.llm.fingerprints import range_buckets
 
 END_ID = 1
@@ -63,8 +63,8 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 65_536 else np.dtype("<u4")
         self.split = regex.compile(SPLIT)
-        self.parts = _Cache(self._part)
-        self.words = _Cache(self._word)
+        self.parts = WordCache(self._part)
+        self.words = WordCache(self._word)
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -83,26 +83,9 @@ class Encoder:
         return b"".join(map(self.words.__getitem__, text.split()))
 
 
-class _Cache(dict):
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key):
-        value = self.make(key)
-        if len(self) < CACHE_WORDS:
-            self[key] = value
-        return value
-
-
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """The worker's encoder of a vocabulary file; its caches last as long as the worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """The worker's encoder of a vocabulary file, for as long as it works on one stage."""
+    return model_of_stage(("encoder", path), lambda: Encoder(path))
 
 
 def train(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> bytes:
@@ -148,9 +131,12 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: i
                                         write_content_size=True)
         end = np.array([end_id], enc.dtype).tobytes()
         for pdf in batches:
-            ids = [enc.encode(t) + end for t in pdf["text"]]
-            yield pd.DataFrame({"shard": pdf["shard"], "doc_id": pdf["doc_id"],
-                                "n_tokens": [len(b) // width for b in ids], "frame": [pack.compress(b) for b in ids]})
+            counts, packed = [], []
+            for t in pdf["text"]:
+                b = enc.encode(t) + end
+                counts.append(len(b) // width)
+                packed.append(pack.compress(b))
+            yield pd.DataFrame({"shard": pdf["shard"], "doc_id": pdf["doc_id"], "n_tokens": counts, "frame": packed})
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     coded = (src.select(range_buckets(src, "doc_id").alias("shard"), "doc_id", "text")

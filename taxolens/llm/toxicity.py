@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxolens.llm.common import CACHE_WORDS, keep, labelled, logistic_on_bins, lower_words, squash, whole_text
+from taxolens.llm.common import WordCache, keep, labelled, logistic_on_bins, lower_words, squash, whole_text
 
 #: Bound on the labelled documents that the weights are learned from, drawn by hash of the id.
 MAX_LABELLED = 200_000
@@ -60,22 +60,16 @@ def features(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in PREFIXES if len(word) > k)]
 
 
-class WordWeights(dict):
+class WordWeights(WordCache):
     """Cache from a word's bytes to its weight; 0 stands for the rest."""
 
     def __init__(self, weights: dict[str, float]):
-        super().__init__()
-        self.weights = weights
-
-    def __missing__(self, word: bytes) -> float:
-        w, text = 0.0, word.decode("utf-8", "replace")
-        for f in (text, *(text[:k] + "*" for k in reversed(PREFIXES) if len(text) > k)):
-            if f in self.weights:
-                w = self.weights[f]
-                break
-        if len(self) < CACHE_WORDS:
-            self[word] = w
-        return w
+        def weigh_word(word: bytes) -> float:
+            text = word.decode("utf-8", "replace")
+            return next((weights[f] for f in (text, *(text[:k] + "*" for k in reversed(PREFIXES) if len(text) > k))
+                         if f in weights), 0.0)
+
+        super().__init__(weigh_word)
 
 
 def segments(at: np.ndarray, scores: np.ndarray, rest: float) -> list[tuple[int, int, float]]:
