@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import sys
 import uuid
 import weakref
 from collections.abc import Callable, Iterable, Iterator
@@ -106,20 +105,27 @@ _WORKER = _Worker()
 class WordCache(dict):
     """Results by word, made when missing, kept while the worker's caches have room for them."""
 
-    def __init__(self, make: Callable):
+    def __init__(self, make: Callable | None = None):
         super().__init__()
         self.make, self.used = make, 0
         _WORKER.caches[id(self)] = self
 
     def __missing__(self, key):
         value = self.make(key)
+        self.add({key: value})
+        return value
+
+    def add(self, results: dict) -> None:
+        """Keep results while there is room."""
         _WORKER.turn()
-        size = 104 + sys.getsizeof(key) + sys.getsizeof(value) + (sum(map(sys.getsizeof, key)) if type(key) is tuple else 0)
-        if size <= _WORKER.left:
+        for key, value in results.items():
+            # a table slot and the two objects: their heads, their bytes (four for a character at most)
+            size = 200 + 4 * len(key) + (len(value) if isinstance(value, bytes) else 0)
+            if size > _WORKER.left:
+                return
             _WORKER.left -= size
             self.used += size
             self[key] = value
-        return value
 
     def clear(self) -> None:
         super().clear()

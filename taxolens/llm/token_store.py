@@ -20,10 +20,13 @@ unread.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -44,9 +47,11 @@ LEVEL = 3
 BLOCK_DOCS = 512
 BLOCK_BYTES = 4_000_000
 
-#: Fixed value: the vocabulary file's own split of a text into pieces.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_ODD = regex.compile("[\x1c-\x1f]|<\\|")
+#: Normalisers of a vocabulary file under which a text may be read word by word.
+BY_WORD = ["NFC", "Replace", "Lowercase"]
+_STOP = re.compile(r"(?<=[a-z])([.,])(?=\s)")
+#: White space to this program, but not to the vocabulary's library.
+_ODD = "\x1c\x1d\x1e\x1f"
 
 
 def default_vocabulary() -> str:
@@ -54,6 +59,16 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def word_split(spec: dict) -> str | None:
+    """The pattern of a vocabulary file's parts, if the file drops white space; None if it does not go by words."""
+    steps = (spec.get("normalizer") or {}).get("normalizers", [])
+    cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if [s["type"] for s in steps] != BY_WORD or steps[1]["pattern"] != {"Regex": r"\s+"} or [
+            c["type"] for c in cuts] != ["Split", "ByteLevel"] or not cuts[0]["invert"]:
+        return None
+    return cuts[0]["pattern"]["Regex"]
+
+
 class Encoder:
     """Serialised ids of texts under one vocabulary file, with bounded caches of pieces."""
 
@@ -61,26 +76,49 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        pattern = word_split(spec)
+        self.split = regex.compile(pattern) if pattern else None
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 65_536 else np.dtype("<u4")
-        self.split = regex.compile(SPLIT)
-        self.parts = WordCache(self._part)
-        self.words = WordCache(self._word)
+        self.words = _Words()
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _part(self, part: str) -> bytes:
-        return self._ids(part)
-
-    def _word(self, word: str) -> bytes:
-        # the file's normaliser: NFC, then lower case letter by letter
-        low = unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
-        return b"".join(map(self.parts.__getitem__, self.split.findall(low)))
+    def _made(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words that are not kept yet: one call for the parts of all, which the blanks between them keep apart."""
+        if not words:
+            return {}
+        parts = [self.split.findall(w) for w in words]
+        ends = np.cumsum([len(p) for p in parts])
+        got = self.tok.encode(" ".join(chain.from_iterable(parts)), add_special_tokens=False)
+        part_of = np.array(got.word_ids, np.int64)
+        if len(part_of) and part_of[-1] + 1 != ends[-1]:
+            return {w: b"".join(map(self._ids, p)) for w, p in zip(words, parts)}
+        data, width = np.array(got.ids, self.dtype).tobytes(), self.dtype.itemsize
+        cuts = [0, *(np.searchsorted(part_of, ends) * width).tolist()]
+        return {w: data[a:b] for w, a, b in zip(words, cuts, cuts[1:])}
 
     def encode(self, text: str) -> bytes:
-        if _ODD.search(text):
+        if self.split is None or "<|" in text or any(c in text for c in _ODD):
             return self._ids(text)
-        return b"".join(map(self.words.__getitem__, text.split()))
+        # the file's normaliser: NFC, then lower case letter by letter
+        low = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        # a stop or comma after a letter is a part of its own
+        words, known = _STOP.sub(r" \1", low).split(), self.words
+        known.made = self._made([w for w in set(words) if w not in known])
+        known.add(known.made)
+        return b"".join(map(known.__getitem__, words))
+
+
+class _Words(WordCache):
+    """Ids by word; ``made`` has those of the text at hand that there is no room for."""
+
+    made: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        return self.made[word]
 
 
 def encoder(path: str) -> Encoder:
