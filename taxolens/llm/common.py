@@ -18,7 +18,7 @@ from taxolens.session import cut_lineage, ensure_checkpoint_dir
 
 MASK = (1 << 64) - 1
 #: Bytes that all word caches of a worker hold together, keys and table slots counted.
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 176 << 20
 
 _WORD_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20
