@@ -1,10 +1,11 @@
 """Product JSON source with an explicit schema.
 
 ``format='auto'`` picks the reader from the head of the file: ``[`` → one JSON
-document of records (multiLine), an object whose first value is an object → a
+document of records, an object whose first value is an object → a
 column-oriented document ``{col: {idx: val}}`` (pandas' default ``to_json``),
-reshaped with ``explode`` of a map and a pivot on the column name, otherwise
-JSON lines. Row ids are assigned once and kept.
+reshaped with a pivot on the column name, otherwise JSON lines. Documents are
+read in parallel (``json_document``); rows are numbered by their place in them.
+Row ids are assigned once and kept.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from taxolens.schema import LABEL_COL, PRODUCT_SCHEMA, ROW_ID, TEXT_COLS, TRUTH
+from taxolens.sources.json_document import fragments, read_columns, read_records
 from taxolens.session import cut_lineage
 
 
@@ -23,8 +25,9 @@ _COLUMNS = re.compile(r'\{\s*"(?:[^"\\]|\\.)*"\s*:\s*\{')
 
 
 def _detect(spark: SparkSession, path: str) -> str:
-    lines = spark.read.text(path).select(F.substring("value", 1, 2000).alias("v")).limit(20).collect()
-    head = " ".join(r["v"] or "" for r in lines).lstrip()
+    # up to the twentieth comma: a document may be a single line
+    lines = fragments(spark, path).select(F.substring("value", 1, 2000).alias("v")).limit(20).collect()
+    head = ",".join(r["v"] or "" for r in lines).lstrip()
     return "records" if head.startswith("[") else "columns" if _COLUMNS.match(head) else "lines"
 
 
@@ -37,26 +40,16 @@ def load_products(spark: SparkSession, path: str, fmt: str = "auto",
     if fmt == "auto":
         fmt = _detect(spark, path)
     if fmt == "records":
-        df = spark.read.schema(schema).option("multiLine", True).json(path)
+        df = (read_records(spark, path).select("element", F.from_json("text", schema).alias("r"))
+              .select(F.col("element").alias(ROW_ID), "r.*"))
     elif fmt == "lines":
-        df = spark.read.schema(schema).json(path)
+        df = spark.read.schema(schema).json(path).withColumn(ROW_ID, F.monotonically_increasing_id())
     elif fmt == "columns":
-        df = _read_column_oriented(spark, path, schema)
+        df = read_columns(spark, path, [f.name for f in schema.fields]).withColumnRenamed("_idx", ROW_ID)
     else:
         raise ValueError(f"unknown format {fmt!r}")
     cols = [F.col(f"`{c}`") for c in TEXT_COLS if c in df.columns]
-    return cut_lineage(df.select(F.monotonically_increasing_id().alias(ROW_ID), *cols,
-                                 F.col(f"`{LABEL_COL}`").alias(TRUTH)))
-
-
-def _read_column_oriented(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    raw = spark.read.text(path, wholetext=True)
-    m = F.from_json("value", T.MapType(T.StringType(), T.MapType(T.StringType(), T.StringType())))
-    cells = (raw.select(F.explode(m).alias("col", "vals"))
-             .select("col", F.explode("vals").alias("idx", "val")))
-    names = [f.name for f in schema.fields]
-    wide = cells.groupBy(F.col("idx").cast("long").alias("_idx")).pivot("col", names).agg(F.first("val"))
-    return wide.orderBy("_idx").drop("_idx")
+    return cut_lineage(df.select(ROW_ID, *cols, F.col(f"`{LABEL_COL}`").alias(TRUTH)))
 
 
 def source_shape(df: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ FAST = ["clean_html", "decode_entities", "normalize_ws", "impute_text", "text_fe
         "sankey_nodes", "sankey_flows", "flow_direction", "composition", "extract_embedded_links", "tree",
         "explorer_search_clusters", "majority_vote", "overlap_matrix", "coassociation", "consensus_mod_assign",
         "compute_metrics", "train_test_split", "core_distance", "mutual_reachability", "pairwise_distance",
-        "load_products", "best_runs", "explorer_stats", "category_rollup", "node_lookup", "cluster_details",
+        "load_products", "load_products_records", "load_products_columns", "best_runs", "explorer_stats", "category_rollup", "node_lookup", "cluster_details",
         "flow_indexed", "sample_labelings", "attach_labels", "top_categories", "quality_band", "misclassified",
         "accuracy", "label_set", "cluster_sizes", "dominant_category", "top2_gap", "top_label_counts",
         "category_counts", "category_nunique", "display_name", "embed_cache_missing", "source_shape", "preview",
