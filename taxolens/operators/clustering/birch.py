@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taxolens.operators.neighbors import pair_distances, stack
-from taxolens.operators.vectors import BROADCAST_LIMIT_BYTES, assign_nearest
+from taxolens.operators.clustering.ward import ward_groups
+from taxolens.operators.vectors import BROADCAST_LIMIT_BYTES, assign_nearest, nearest_join
 from taxolens.schema import CLUSTER, ROW_ID
 from taxolens.session import cut_lineage
 
@@ -95,29 +96,25 @@ def birch(df: DataFrame, threshold: float = 0.5, n_clusters: int | None = 50, fe
     cfs = cut_lineage(cf_build(data, threshold, features))
     for _ in range(merge_rounds):
         cfs = cut_lineage(cf_merge(cfs, threshold))
-    n_cf = cfs.count()
-    d = len(cfs.select("ls").first()["ls"])
     cents = cut_lineage(cfs.select(F.monotonically_increasing_id().alias("cid"),
                                    F.transform("ls", lambda v: v / F.col("n")).alias("centroid")))
-    merge = n_clusters is not None and n_clusters < n_cf
-    small = n_cf * d * 8 <= BROADCAST_LIMIT_BYTES
-    rows = cents.orderBy("cid").collect() if small or merge else []  # summaries; Ward checks their number itself
-    if small:
-        C = np.array([r["centroid"] for r in rows], dtype=np.float64)
-        labels = assign_nearest(data, C, features=features, dist_col=None).select(ROW_ID, CLUSTER)
-        number = {r["cid"]: i for i, r in enumerate(rows)}
-    else:  # too many CFs to broadcast: blocked nearest join
-        from taxolens.operators.vectors import nearest_join
+    return label_rows(data, cents, n_clusters, features)
+
+
+def label_rows(data: DataFrame, cents: DataFrame, n_clusters: int | None, features: str = "features") -> DataFrame:
+    """Label of the nearest centroid ``(cid, centroid)``, or of its Ward group if there are more than ``n_clusters``."""
+    size = cents.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("centroid")).alias("d")).first()
+    if size["n"] * (size["d"] or 0) * 8 <= BROADCAST_LIMIT_BYTES:
+        rows = cents.orderBy("cid").collect()
+        labels = assign_nearest(data, np.array([r["centroid"] for r in rows], dtype=np.float64),
+                                np.array([r["cid"] for r in rows]), features, dist_col=None).select(ROW_ID, CLUSTER)
+    else:  # too many centroids to broadcast: blocked nearest join
         labels = nearest_join(data, cents, features).select(ROW_ID, CLUSTER)
-        number = {r["cid"]: r["cid"] for r in rows}
-    if not merge:
+    if n_clusters is None or n_clusters >= size["n"]:
         return labels
-    from taxolens.operators.clustering.ward import ward_merge
-    groups = ward_merge(np.array([r["centroid"] for r in rows], dtype=np.float64), np.ones(n_cf), n_clusters)
-    mapping = df.sparkSession.createDataFrame([(int(number[r["cid"]]), int(g)) for r, g in zip(rows, groups)],
-                                              "cf long, grp int")
-    return (labels.join(mapping, labels[CLUSTER] == mapping["cf"])
-            .select(ROW_ID, F.col("grp").alias(CLUSTER)))
+    groups = ward_groups(cents.select(F.col("cid").alias("id"), F.lit(1.0).alias("n"), F.col("centroid").alias("mean")),
+                         n_clusters)
+    return labels.join(groups, labels[CLUSTER] == groups["id"]).select(ROW_ID, F.col("grp").alias(CLUSTER))
 
 
 def cf_radius(cfs: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from taxolens.operators.clustering.dbscan import dbscan, neighbor_counts
 from taxolens.plans import fixtures as FX
 from taxolens.plans.catalog import sqlfix as S
@@ -67,6 +69,40 @@ def q_ward_micro(spark, sf):
     return ward_micro(FX.vectors(spark, sf), n_clusters=10, micro_clusters=50)
 
 
+_WARD_K = 7
+
+
+_QUARTERS = """cells AS (
+  SELECT CAST(true_label AS BIGINT) * 4 + row_id % 4 AS id, pos, count(*)::DOUBLE AS n, avg(features[pos]) AS v
+  FROM vectors, (SELECT unnest(range(1, 1 + (SELECT max(len(features)) FROM vectors))) AS pos) GROUP BY 1, 2),
+summaries AS (SELECT id, any_value(n) AS n, list(v ORDER BY pos) AS mean FROM cells GROUP BY 1)"""
+
+_WARD_SQL = "WITH RECURSIVE " + ",\n".join([S.VECTORS, _QUARTERS, f"""merging AS (
+  SELECT list({{'id': id, 'n': n, 'mean': mean, 'own': [id]}} ORDER BY id) AS cl FROM summaries
+  UNION ALL
+  SELECT list_filter(cl, lambda c: c.id NOT IN (a.id, b.id))
+         || [{{'id': a.id, 'n': a.n + b.n, 'own': a.own || b.own,
+               'mean': list_transform(list_zip(a.mean, b.mean), lambda z: (a.n * z[1] + b.n * z[2]) / (a.n + b.n))}}]
+  FROM (SELECT cl, list_filter(cl, lambda c: c.id = best.a)[1] AS a, list_filter(cl, lambda c: c.id = best.b)[1] AS b
+        FROM (SELECT cl, list_min(flatten(list_transform(cl, lambda x: list_transform(
+                list_filter(cl, lambda y: y.id > x.id), lambda y:
+                {{'cost': x.n * y.n / (x.n + y.n) * list_distance(x.mean, y.mean) ** 2, 'a': x.id, 'b': y.id}})))) AS best
+              FROM merging WHERE len(cl) > {_WARD_K}))),
+cut AS (SELECT unnest(cl) AS c FROM merging WHERE len(cl) = {_WARD_K})"""]) + """
+SELECT unnest(c.own)::BIGINT AS id, (dense_rank() OVER (ORDER BY c.id) - 1)::INTEGER AS grp FROM cut"""
+
+
+@register("ward_summaries", _WARD_SQL)
+def q_ward_summaries(spark, sf):
+    """C6 over the summaries of the vectors by label and quarter of the ids."""
+    from taxolens.operators.clustering.ward import ward_groups
+    from taxolens.operators.vectors import centroids
+    cells = FX.vectors(spark, sf).withColumn("cluster", (F.col("true_label").cast("long") * 4 + F.col("row_id") % 4))
+    summaries = centroids(cells).select(
+        F.col("cluster").alias("id"), F.col("size").alias("n"), F.col("centroid").alias("mean"))
+    return ward_groups(summaries, _WARD_K)
+
+
 _CORE_K = 5
 
 

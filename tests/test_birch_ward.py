@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_MID, SF_SMALL
 from taxolens.operators.clustering.birch import birch, cf_build, cf_merge, cf_radius
-from taxolens.operators.clustering.ward import ward_merge
+from taxolens.operators.clustering.ward import ward_groups
 from taxolens.plans import fixtures as FX
 
 
@@ -46,10 +46,20 @@ def _naive_ward(X, k):
     return lab
 
 
-@pytest.mark.parametrize("seed", [0, 1])
-def test_ward_exact_on_points(seed):
+@pytest.mark.parametrize("seed,block_rows,k", [(0, 2048, 4), (1, 14, 4), (3, 2048, 24)])
+def test_ward_exact_on_points(spark, seed, block_rows, k):
     X = np.random.default_rng(seed).normal(size=(25, 3))
-    got = ward_merge(X, np.ones(len(X)), 4)
-    exp = _naive_ward(X, 4)
-    # same partition (labels may be numbered differently)
-    assert len({(a, b) for a, b in zip(got, exp)}) == 4
+    points = spark.createDataFrame([(i, 1, x.tolist()) for i, x in enumerate(X)], "id long, n long, mean array<double>")
+    got = {r["id"]: r["grp"] for r in ward_groups(points, k, block_rows).collect()}
+    assert [got[i] for i in range(25)] == _naive_ward(X, k).tolist()
+
+
+def test_ward_ties_and_few_summaries(spark):
+    # a square of equal sides: the lower ids merge first
+    rows = [(0, 1.0, [0.0, 0.0]), (1, 1.0, [0.0, 1.0]), (2, 1.0, [1.0, 0.0]), (3, 1.0, [1.0, 1.0])]
+    square = spark.createDataFrame(rows, "id long, n double, mean array<double>")
+    assert sorted(map(tuple, ward_groups(square, 2).collect())) == [(0, 0), (1, 0), (2, 1), (3, 1)]
+    same = spark.createDataFrame([(i, 1.0, [0.0]) for i in range(5)], "id long, n double, mean array<double>")
+    assert ward_groups(same, 2).select("grp").distinct().count() == 2
+    assert ward_groups(square.limit(0), 2).collect() == []
+    assert [tuple(r) for r in ward_groups(square.limit(1), 3).collect()] == [(0, 0)]
