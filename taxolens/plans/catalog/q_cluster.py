@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from taxolens.operators.clustering.dbscan import dbscan, neighbor_counts
+from taxolens.operators.metrics import join_single_rows
 from taxolens.plans import fixtures as FX
 from taxolens.plans.catalog import sqlfix as S
 from taxolens.plans.catalog.registry import register
@@ -46,9 +47,25 @@ def q_dbscan(spark, sf):
 
 @register("birch_cf")
 def q_birch_cf(spark, sf):
-    from taxolens.operators.clustering.birch import cf_build, cf_merge, cf_radius
+    from taxolens.operators.clustering.birch import cf_build, cf_radius
+    return cf_radius(cf_build(FX.vectors(spark, sf), 0.75))
+
+
+@register("birch_cf_totals", S.with_(S.VECTORS, """flat AS (
+  SELECT row_id, pos, features[pos] AS x FROM vectors,
+         (SELECT unnest(range(1, 1 + (SELECT max(len(features)) FROM vectors))) AS pos))""", body="""
+SELECT (pos - 1)::INTEGER AS pos, count(*)::DOUBLE AS n, round(sum(x), 6) AS ls,
+       round((SELECT sum(x * x) FROM flat), 4) AS ss, 0::BIGINT AS n_wide, TRUE AS summarised FROM flat GROUP BY pos"""))
+def q_birch_cf_totals(spark, sf):
+    """What the CFs together hold: as many rows, the same sums, no radius above the threshold, fewer CFs than rows."""
+    from taxolens.operators.clustering.birch import cf_build, cf_radius
     v = FX.vectors(spark, sf)
-    return cf_radius(cf_merge(cf_build(v, 0.75), 0.75))
+    cfs = cf_build(v, 0.75)
+    wide = cf_radius(cfs).agg(F.sum(F.when(F.col("radius") > 0.75 + 1e-9, 1).otherwise(0)).cast("long").alias("n_wide"))
+    total = cfs.agg(F.sum("n").alias("n"), F.round(F.sum("ss"), 4).alias("ss"),
+                    (F.count(F.lit(1)) < F.sum("n")).alias("summarised"))
+    sums = cfs.select(F.posexplode("ls").alias("pos", "x")).groupBy("pos").agg(F.round(F.sum("x"), 6).alias("ls"))
+    return join_single_rows(join_single_rows(sums, total), wide)
 
 
 @register("birch")

@@ -5,19 +5,47 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_MID, SF_SMALL
-from taxolens.operators.clustering.birch import birch, cf_build, cf_merge, cf_radius
+from taxolens.operators.clustering.birch import absorb, birch, cf_build, cf_radius
 from taxolens.operators.clustering.ward import ward_groups
 from taxolens.plans import fixtures as FX
 
 
-@pytest.mark.parametrize("threshold", [0.6, 0.75])
-def test_cf_invariants(spark, threshold):
-    v = FX.vectors(spark, SF_MID).repartition(4)
-    cfs = cf_merge(cf_build(v, threshold), threshold)
-    r = cf_radius(cfs).agg(F.sum("n").alias("n"), F.max("radius").alias("r"), F.count("*").alias("k")).first()
-    assert r["n"] == v.count()
-    assert r["r"] <= threshold + 1e-9
-    assert 1 < r["k"] < r["n"]
+@pytest.mark.parametrize("cell_rows", [4096, 60])
+def test_cf_invariants_for_any_partitions(spark, cell_rows):
+    v = FX.vectors(spark, SF_MID).select("row_id", "features")
+    v = v.unionByName(v.filter("row_id < 40").withColumn("row_id", F.col("row_id") + 5000))  # repeated rows
+    X = np.array([r["features"] for r in v.collect()])
+    found = []
+    for parts in (1, 4, 16):
+        cfs = cf_build(v.repartition(parts, F.rand(parts)), 0.75, cell_rows=cell_rows)
+        rows = sorted(map(tuple, cfs.select("first", "n", "ss", "ls").collect()))
+        found.append(rows)
+        r = cf_radius(cfs).agg(F.max("radius").alias("r")).first()
+        assert r["r"] <= 0.75 + 1e-9 and 1 < len(rows) < len(X)
+        assert sum(r[1] for r in rows) == len(X)
+        assert np.allclose(sum(np.array(r[3]) for r in rows), X.sum(0))
+        assert np.isclose(sum(r[2] for r in rows), (X * X).sum())
+        assert len({r[0] for r in rows}) == len(rows)
+    assert found[0] == found[1] == found[2]
+
+
+def test_absorption_equals_a_slow_one():
+    rng = np.random.default_rng(4)
+    for t in (0.3, 1.0, 3.0):
+        X = rng.normal(size=(60, 3)).round(1)
+        left, slow = list(range(60)), []
+        while left:
+            order = sorted(left, key=lambda i: (i != left[0], ((X[i] - X[left[0]]) ** 2).sum(), i))
+            own = order[:1]
+            for i in order[1:]:
+                Y = X[own + [i]]
+                if ((Y - Y.mean(0)) ** 2).sum(1).mean() > t * t + 1e-12:
+                    break
+                own.append(i)
+            slow.append((min(own), len(own)))
+            left = [i for i in left if i not in own]
+        got = absorb(np.arange(60), np.ones(60), X, (X * X).sum(1), t)
+        assert [(f, n) for f, n, _, _ in got] == slow
 
 
 def test_birch_labels_cover_rows(spark):
