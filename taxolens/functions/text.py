@@ -7,7 +7,7 @@ whole-stage codegen; none of them calls Python per row.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,9 +27,14 @@ _MARKUP_PATTERNS = [
     r"(?is)<[a-zA-Z/!?][^>]*>",
 ]
 
-# Named character references: the code points of the HTML 4 names, from the standard library's table.
-ENTITIES = dict(sorted(name2codepoint.items())) | {"apos": 39}
-_REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);"
+# Named character references, from the standard library's table of HTML 5; those without a semicolon are also read as
+# the beginning of a longer name. Names that are met most often are looked up first: a map is searched in order.
+NAMED = dict(sorted(html5.items()))
+OPEN_NAMES = sorted((n for n in NAMED if not n.endswith(";")), key=lambda n: (-len(n), n))
+COMMON = ["amp;", "lt;", "gt;", "quot;", "nbsp;", "apos;"]
+# References that the HTML standard reads as Windows-1252, as far as that has the character.
+WINDOWS = {n: c for n in range(0x80, 0xA0) if (c := bytes([n]).decode("cp1252", "replace")) != "\ufffd"}
+_REFERENCE = r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 
 
 def _col(c) -> Column:
@@ -47,24 +52,62 @@ def strip_ws(c) -> Column:
     return F.regexp_replace(_col(c), f"(?U)^{ws}|{ws}$", "")
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _numbered(name: Column) -> Column:
+    """Text of a numeric reference ``#...``, by the rules of the HTML standard."""
+    digits = F.rtrim(name, F.lit(";"))
+    # longer numbers are out of range, whatever their digits
+    code = (F.when(digits.rlike("^#[xX]0*[0-9a-fA-F]{1,6}$"), F.conv(F.ltrim(F.substring(digits, 3, 1 << 20), F.lit("0")), 16, 10))
+            .when(digits.rlike("^#0*[0-9]{1,7}$"), F.ltrim(F.substring(digits, 2, 1 << 20), F.lit("0")))
+            .when(digits.rlike("^#[xX]?0+$"), F.lit("0")).otherwise(F.lit("1114112")))
+
+    def char(n: Column) -> Column:
+        windows = F.create_map(*[F.lit(x) for pair in WINDOWS.items() for x in pair])
+        plain = F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0")), "UTF-32")
+        silent = (n.between(1, 8) | n.between(0xE, 0x1F) | n.between(0x7F, 0x9F) | (n == 0xB)
+                  | n.between(0xFDD0, 0xFDEF) | (n % 0x10000 >= 0xFFFE))
+        return (F.when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), F.lit("\ufffd"))
+                .when(n == 0xD, F.lit("\r")).when(n.between(0x80, 0x9F), F.coalesce(F.try_element_at(windows, n), plain))
+                .when(silent, F.lit("")).otherwise(plain))
+
+    return bound(F.coalesce(code.try_cast("int"), F.lit(0)), char)
+
+
 def decode_entities(c) -> Column:
-    """Decode numeric (decimal, hexadecimal) and named references that end in a semicolon, each once."""
-    text = _col(c)
-    names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+    """Decode numeric and named character references as browsers do, each once.
+
+    References may lack their semicolon: numbers always, names if HTML 4 had them, then also before further letters.
+    """
+    names = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+    open_name = "^(" + "|".join(OPEN_NAMES) + ")"
+
+    def named(name: Column) -> Column:
+        found = F.when(name == COMMON[0], NAMED[COMMON[0]])
+        for n in COMMON[1:]:
+            found = found.when(name == n, NAMED[n])
+        start = F.regexp_extract(name, open_name, 1)
+        begun = bound(start, lambda s: F.when(s != "", F.concat(
+            F.try_element_at(names, s), F.substring(name, F.length(s) + 1, F.length(name)))))
+        return F.coalesce(found, F.try_element_at(names, name), begun)
 
     def decoded(part: Column) -> Column:
-        name = F.regexp_extract(part, _REFERENCE, 1)
-        code = (F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 8), 16, 10).cast("int"))
-                .when(name.startswith("#"), F.substring(name, 2, 8).cast("int"))
-                .when(name != "", F.try_element_at(names, name)))
-        valid = ((code >= 1) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF))
-        char = F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")
-        rest = F.substring(part, F.length(name) + 2, F.length(part))
-        return F.when(valid, F.concat(char, rest)).otherwise(F.concat(F.lit("&"), part))
-
-    parts = F.split(text, "&")
-    tail = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), decoded)
-    return F.when(F.contains(text, F.lit("&")), F.concat(F.element_at(parts, 1), F.array_join(tail, ""))).otherwise(text)
+        def of_name(name: Column) -> Column:
+            text = F.when(name.startswith("#"), _numbered(name)).when(name != "", named(name))
+            return F.coalesce(F.concat(text, F.substring(part, F.length(name) + 1, F.length(part))),
+                              F.concat(F.lit("&"), part))
+        return bound(F.regexp_extract(part, _REFERENCE, 1), of_name)
+
+    def in_text(text: Column) -> Column:
+        parts = F.split(text, "&")
+        tail = bound(parts, lambda p: F.concat(F.element_at(p, 1), F.array_join(
+            F.transform(F.slice(p, F.lit(2), F.size(p) - 1), decoded), "")))
+        return F.when(F.contains(text, F.lit("&")), tail).otherwise(text)
+
+    return bound(_col(c), in_text)
 
 
 def strip_markup(c) -> Column:

@@ -70,3 +70,18 @@ def test_alignment_recovers_permutation(spark):
 def test_param_grid_order():
     assert param_grid({"k": [1, 2], "b": [3, 4]}) == [
         {"k": 1, "b": 3}, {"k": 1, "b": 4}, {"k": 2, "b": 3}, {"k": 2, "b": 4}]
+
+
+def test_references_decode_as_in_the_standard_library(spark):
+    import html
+    import random
+
+    from taxolens.functions.text import decode_entities
+    rnd = random.Random(1)
+    parts = ["&", "amp;", "amp", "copy", "copy;", "check;", "CounterClockwiseContourIntegral;", "#128;", "#x80", "#0;",
+             "#65", "#x41;", "notit;", "not", "lt", ";", " ", "x", "é", "#xD800;", "#1114112;", "#99999999999", "#13;",
+             "#129;", "#11;", "#xFFFE;", "#", "#x", "NotEqualTilde;", "\n", "&#", "nbsp;", "#00065;", "#x000041;", "fjlig;"]
+    rows = [("&".join(rnd.choices(parts, k=rnd.randrange(1, 7))) if rnd.random() < 0.5
+             else "".join(rnd.choices(parts, k=rnd.randrange(1, 9))),) for _ in range(2000)] + [("&" + p,) for p in parts]
+    for r in spark.createDataFrame(rows, "t string").select("t", decode_entities("t").alias("d")).collect():
+        assert r["d"] == html.unescape(r["t"]), r["t"]
