@@ -1,10 +1,14 @@
 """C4 DBSCAN (and the J6 ε-neighbourhood counts) as a distributed job.
 
-1. Pivots (seeded hash sample, m ≤ ``max_pivots`` rows, broadcast after a
-   size check) split space into Voronoi cells. A row is copied to every cell j
-   with d(x,p_j) ≤ d(x,p_home) + 2ε; by the triangle inequality every
-   ε-neighbour of a row homed in j is then present in cell j, so each pair is
-   evaluated exactly once, in the home cell of its left row.
+1. Pivots (rows drawn by a seeded hash, four for ``block_rows`` rows, so that their
+   number grows with the data) split space into cells in two levels: √m of them
+   are top pivots (broadcast), each pivot belongs to its nearest top pivot, a row
+   to the nearest pivot of its nearest top pivot. A row is copied to every top
+   cell t with d(x,t) ≤ d(x,t_home) + 2ε, and there to every cell p with
+   d(x,p) ≤ d(x,p_nearest) + 2ε. By the triangle inequality every ε-neighbour of a
+   row homed in a cell is then present in it, so each pair is evaluated exactly
+   once, in the home cell of its left row. A row meets the pivots of the top cells
+   near it only; top cells are split by a salt.
 2. Cells are cut into blocks of ≤ ``block_rows`` rows per side (per cell, so a
    cell holding a third of the data is split, not sent to one task).
 3. Pass 1 counts neighbours (self included) → core flags.
@@ -29,35 +33,57 @@ from taxolens.schema import ROW_ID
 from taxolens.sources.sampling import sample_exact
 from taxolens.session import cut_lineage
 
-PIVOT_LIMIT_BYTES = 64 * 1024 * 1024
+#: Rows that meet the pivots of their top cell in one task.
+SALT_ROWS = 65_536
 
 
-def _cells(df: DataFrame, eps: float, features: str, max_pivots: int, block_rows: int,
-           n_rows: int) -> DataFrame:
-    m = int(max(1, min(max_pivots, np.ceil(n_rows / max(1, block_rows)) * 4)))
-    piv = np.array([r[0] for r in sample_exact(df.select(ROW_ID, features), m).select(features).collect()],
-                   dtype=np.float64)
-    if piv.nbytes > PIVOT_LIMIT_BYTES:
-        raise ValueError("pivot set exceeds broadcast limit; lower max_pivots")
-    bc = df.sparkSession.sparkContext.broadcast(piv)
-
-    @F.pandas_udf("struct<home:int, cells:array<int>>")
+def _top_cells(top, reach: float):
+    """Nearest top pivot of a vector, and all that are at most ``reach`` farther."""
+    @F.pandas_udf("struct<home:int, near:array<int>>")
     def assign(s: pd.Series) -> pd.DataFrame:
-        X = stack(s)
-        if len(X) == 0:
-            return pd.DataFrame({"home": [], "cells": []})
-        D = pair_distances(X, bc.value)
-        home = D.argmin(axis=1)
-        lim = D[np.arange(len(X)), home] + 2.0 * eps
-        cells = [np.nonzero(D[i] <= lim[i])[0].astype(np.int32).tolist() for i in range(len(X))]
-        return pd.DataFrame({"home": home.astype(np.int32), "cells": cells})
-
-    a = df.select(ROW_ID, features).withColumn("_a", assign(F.col(features)))
-    return a.select(ROW_ID, features, F.col("_a.home").alias("home"),
-                    F.explode("_a.cells").alias("cell"))
-
-
-def _prepared(df: DataFrame, eps: float, features: str, max_pivots: int, block_rows: int) -> DataFrame:
+        if len(s) == 0:
+            return pd.DataFrame({"home": pd.Series(dtype="int32"), "near": []})
+        D = pair_distances(stack(s), top.value)
+        ok = D <= D.min(axis=1)[:, None] + reach
+        return pd.DataFrame({"home": D.argmin(axis=1).astype(np.int32),
+                             "near": [np.flatnonzero(r).astype(np.int32).tolist() for r in ok]})
+    return assign
+
+
+def _cells(df: DataFrame, eps: float, features: str, block_rows: int, n_rows: int) -> DataFrame:
+    """``row_id, features, home, cell``: a row for each cell that a row is copied to; cells are pivots' row ids."""
+    m = max(1, -(-n_rows // max(1, block_rows)) * 4)
+    pivots = cut_lineage(sample_exact(df.select(ROW_ID, features), m).select(F.col(ROW_ID).alias("pivot"),
+                                                                             F.col(features).alias("at")))
+    few = pivots.orderBy(F.xxhash64("pivot"), "pivot").limit(int(np.ceil(np.sqrt(m)))).collect()
+    # about 2 √(n / block_rows) vectors
+    top = df.sparkSession.sparkContext.broadcast(np.array([r["at"] for r in few], dtype=np.float64))
+    near = (df.select(ROW_ID, features).withColumn("_t", _top_cells(top, 2.0 * eps)(F.col(features)))
+            .select(ROW_ID, features, F.col("_t.home").alias("own"), F.explode("_t.near").alias("top")))
+    near = cut_lineage(near)
+    salts = near.groupBy("top").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).alias("salts"))
+    left = near.join(salts, "top").withColumn("salt", F.pmod(F.xxhash64(ROW_ID), "salts"))
+    right = (pivots.withColumn("top", _top_cells(top, 0.0)(F.col("at"))["home"]).join(salts, "top")
+             .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+             .select("top", "salt", "pivot", "at"))
+
+    def deal(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+        if lp.empty or rp.empty:
+            return pd.DataFrame({ROW_ID: [], features: [], "home": [], "cell": []})
+        rp = rp.sort_values("pivot")
+        D = pair_distances(stack(lp[features]), stack(rp["at"]))
+        i, j = np.nonzero(D <= D.min(axis=1)[:, None] + 2.0 * eps)
+        ids = rp["pivot"].to_numpy()
+        # cells of other top cells are nobody's home here
+        home = np.where(lp["own"].to_numpy() == lp["top"].to_numpy(), ids[D.argmin(axis=1)], np.iinfo(np.int64).min)
+        return pd.DataFrame({ROW_ID: lp[ROW_ID].to_numpy()[i], features: lp[features].to_numpy()[i],
+                             "home": home[i], "cell": ids[j]})
+
+    return (left.groupBy("top", "salt").cogroup(right.groupBy("top", "salt"))
+            .applyInPandas(deal, f"{ROW_ID} long, {features} array<double>, home long, cell long"))
+
+
+def _prepared(df: DataFrame, eps: float, features: str, block_rows: int) -> DataFrame:
     """Cells with per-cell block counts, checkpointed.
 
     When pivots prune poorly (high dimension, eps near typical distances) the
@@ -66,23 +92,23 @@ def _prepared(df: DataFrame, eps: float, features: str, max_pivots: int, block_r
     ``_with_blocks`` splits into bounded blocks.
     """
     n = df.count()
-    cells = cut_lineage(_cells(df, eps, features, max_pivots, block_rows, n))
+    cells = cut_lineage(_cells(df, eps, features, block_rows, n))
     replication = cells.count() / max(1, n)
     if replication > max(1, -(-n // block_rows)):
-        cells = df.select(ROW_ID, features, F.lit(0).alias("home"), F.lit(0).alias("cell"))
+        cells = df.select(ROW_ID, features, F.lit(0).cast("long").alias("home"), F.lit(0).cast("long").alias("cell"))
     return cut_lineage(_with_blocks(cells, block_rows))
 
 
 def _with_blocks(rows: DataFrame, block_rows: int) -> DataFrame:
     sizes = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("_sz"))
     nb = sizes.select("cell", F.greatest(F.lit(1), F.ceil(F.col("_sz") / block_rows)).cast("int").alias("_nb"))
-    return rows.join(F.broadcast(nb), "cell")  # one row per pivot cell: bounded by max_pivots
+    return rows.join(nb, "cell")
 
 
-def neighbor_counts(df: DataFrame, eps: float, features: str = "features", max_pivots: int = 256,
+def neighbor_counts(df: DataFrame, eps: float, features: str = "features",
                     block_rows: int = 2048) -> DataFrame:
     """``(row_id, n_neighbors)`` with the row itself counted, distance ≤ eps."""
-    rows = _prepared(df, eps, features, max_pivots, block_rows)
+    rows = _prepared(df, eps, features, block_rows)
     home = rows.filter(F.col("cell") == F.col("home"))
 
     def kernel(lp, rp):
@@ -96,9 +122,9 @@ def neighbor_counts(df: DataFrame, eps: float, features: str = "features", max_p
 
 
 def dbscan(df: DataFrame, eps: float = 0.5, min_samples: int = 5, features: str = "features",
-           max_pivots: int = 256, block_rows: int = 2048) -> DataFrame:
+           block_rows: int = 2048) -> DataFrame:
     """C4: labeling ``(row_id, cluster)``; -1 = noise."""
-    rows = _prepared(df, eps, features, max_pivots, block_rows)
+    rows = _prepared(df, eps, features, block_rows)
     home = rows.filter(F.col("cell") == F.col("home"))
 
     def count_kernel(lp, rp):

@@ -9,6 +9,7 @@ from taxolens.operators.metrics import join_single_rows
 from taxolens.plans import fixtures as FX
 from taxolens.plans.catalog import sqlfix as S
 from taxolens.plans.catalog.registry import register
+from taxolens.sources.tables import read_table
 
 EPS, MIN_SAMPLES = 1.14, 3
 
@@ -22,9 +23,17 @@ def q_eps_join(spark, sf):
     return neighbor_counts(FX.vectors(spark, sf).select("row_id", "features"), EPS)
 
 
-_DBSCAN_SQL = "WITH RECURSIVE " + ",\n".join([
-    S.VECTORS, _NB,
-    f"core AS (SELECT a AS row_id FROM nbr GROUP BY a HAVING count(*) >= {MIN_SAMPLES})",
+_CUSTOMERS = """vectors AS (
+  SELECT c_custkey AS row_id, [c_acctbal::DOUBLE / 100.0, c_nationkey * 20.0] AS features FROM customer)"""
+_CUSTOMER_NB = """nbr AS (
+  SELECT a.row_id AS a, b.row_id AS b FROM vectors a JOIN vectors b ON a.features[2] = b.features[2]
+    AND list_distance(a.features, b.features) <= 1.5)"""
+
+
+def _dbscan_sql(vectors: str, nbr: str, min_samples: int) -> str:
+    return "WITH RECURSIVE " + ",\n".join([
+    vectors, nbr,
+    f"core AS (SELECT a AS row_id FROM nbr GROUP BY a HAVING count(*) >= {min_samples})",
     "ce AS (SELECT a, b FROM nbr WHERE a IN (SELECT row_id FROM core) AND b IN (SELECT row_id FROM core))",
     """reach(node, comp) AS (
   SELECT row_id, row_id FROM core
@@ -40,7 +49,16 @@ SELECT v.row_id, CAST(coalesce(cl.cluster, b.bcl, -1) AS INTEGER) AS cluster
 FROM vectors v LEFT JOIN corelab cl USING (row_id) LEFT JOIN border b USING (row_id)"""
 
 
-@register("dbscan", _DBSCAN_SQL)
+@register("dbscan_cells", _dbscan_sql(_CUSTOMERS, _CUSTOMER_NB, 4))
+def q_dbscan_cells(spark, sf):
+    """C4 in the plane, where pivot cells prune: customers by balance and nation."""
+    points = read_table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("row_id"), F.array(F.col("c_acctbal").cast("double") / 100.0,
+                                                    F.col("c_nationkey") * 20.0).alias("features"))
+    return dbscan(points, 1.5, 4, block_rows=256)
+
+
+@register("dbscan", _dbscan_sql(S.VECTORS, _NB, MIN_SAMPLES))
 def q_dbscan(spark, sf):
     return dbscan(FX.vectors(spark, sf).select("row_id", "features"), EPS, MIN_SAMPLES)
 

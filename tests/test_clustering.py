@@ -42,11 +42,46 @@ def _vectors(spark):
 @pytest.mark.parametrize("eps,ms", [(1.14, 3), (1.16, 5), (1.0, 1)])
 def test_dbscan_matches_bfs(spark, eps, ms):
     pdf, X = _vectors(spark)
-    got = dbscan(FX.vectors(spark, SF_SMALL), eps, ms, max_pivots=8, block_rows=64).toPandas()
+    got = dbscan(FX.vectors(spark, SF_SMALL), eps, ms, block_rows=64).toPandas()
     got = got.set_index("row_id").loc[pdf["row_id"], "cluster"].to_numpy()
     assert (got == _np_dbscan(X, eps, ms)).all()
 
 
+def _plane(n, seed):
+    """Clusters in the plane, a dense one that holds a third of the rows, repeated points and noise."""
+    rng = np.random.default_rng(seed)
+    hubs = rng.uniform(0, 100, (n // 60, 2))
+    X = np.concatenate([rng.normal(hubs[rng.integers(0, len(hubs), n // 2)], 0.4), rng.normal([50, 50], 0.3, (n // 3, 2)),
+                        rng.uniform(0, 100, (n - n // 2 - n // 3, 2))])
+    X[:5] = X[5]
+    return X
+
+
+def _points(spark, X):
+    return spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)], "row_id long, features array<double>")
+
+
+def test_dbscan_cells_match_bfs(spark, monkeypatch):
+    from taxolens.operators.clustering import dbscan as module
+    monkeypatch.setattr(module, "SALT_ROWS", 100)
+    X = _plane(600, 3)
+    got = dbscan(_points(spark, X), 0.5, 4, block_rows=60).orderBy("row_id").toPandas()["cluster"].to_numpy()
+    assert (got == _np_dbscan(X, 0.5, 4)).all()
+
+
+def test_cells_copy_rows_alike_at_any_size(spark):
+    from taxolens.operators.clustering import dbscan as module
+    copies = []
+    for n in (1000, 4000):
+        X = np.random.default_rng(n).uniform(0, n ** 0.5, (n, 2))  # equal density
+        cells = module._cells(_points(spark, X), 0.5, "features", 100, n)
+        assert cells.filter("cell = home").select("row_id").distinct().count() == n
+        assert cells.filter("cell = home").count() == n
+        assert cells.select("cell").distinct().count() >= n // 50
+        copies.append(cells.count() / n)
+    assert copies[1] <= 1.25 * copies[0] <= 5
+
+
 def test_internal_metrics_match_numpy(spark):
     pdf, X = _vectors(spark)
     lab = FX.vec_lab(spark, SF_SMALL)

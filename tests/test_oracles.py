@@ -13,7 +13,7 @@ FAST = ["clean_html", "decode_entities", "normalize_ws", "impute_text", "text_fe
         "quality_summary", "size_histogram", "purity_histogram", "cluster_report", "cluster_report_split",
         "majority_label", "predict_majority", "misclassified_head", "confusion_matrix", "error_rate",
         "centroid_distance", "nearest_centroid", "lloyd_fixed", "silhouette", "davies_bouldin",
-        "calinski_harabasz", "covariance", "representatives", "worst_clusters_analysis", "eps_join", "dbscan",
+        "calinski_harabasz", "covariance", "representatives", "worst_clusters_analysis", "eps_join", "dbscan", "dbscan_cells", "dbscan_cells",
         "sankey_nodes", "sankey_flows", "flow_direction", "composition", "extract_embedded_links", "tree",
         "explorer_search_clusters", "majority_vote", "overlap_matrix", "coassociation", "consensus_mod_assign",
         "compute_metrics", "train_test_split", "core_distance", "mutual_reachability", "pairwise_distance",
