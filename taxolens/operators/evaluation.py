@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taxolens.operators.metrics import EXTERNAL, contingency, external_metrics, join_single_rows, noise_summary
-from taxolens.operators.vectors import calinski_harabasz, davies_bouldin, silhouette
+from taxolens.operators.vectors import calinski_harabasz, cluster_moments, davies_bouldin, silhouette
 from taxolens.schema import CLUSTER, ROW_ID, TRUTH
+from taxolens.session import cut_lineage
 from taxolens.sources.sampling import restrict_to, sample_ids
 
 INTERNAL = ["silhouette", "davies_bouldin", "calinski_harabasz"]
@@ -33,7 +34,9 @@ def compute_metrics(df: DataFrame, features: str | None = "features", cluster: s
     if features:
         base = df.select(ROW_ID, features, F.col(cluster).alias(CLUSTER))
         some = base if silhouette_sample is None else restrict_to(base, sample_ids(base, silhouette_sample, seed=seed))
-        parts += [silhouette(some, features), davies_bouldin(base, features), calinski_harabasz(base, features)]
+        moments = cut_lineage(cluster_moments(base, features))
+        parts += [silhouette(some, features), davies_bouldin(base, features, moments=moments),
+                  calinski_harabasz(base, features, moments=moments)]
     if truth:
         parts.append(external_metrics(contingency(df, truth, cluster)))
     return join_single_rows(*parts)

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxolens.functions.vectors import distance, sq_distance
+from taxolens.functions.vectors import distance
 from taxolens.operators.metrics import join_single_rows
 from taxolens.operators.neighbors import block_cogroup, n_blocks_for, pair_distances, stack
 from taxolens.schema import CLUSTER, ROW_ID
@@ -240,14 +240,83 @@ def silhouette(df: DataFrame, features: str = "features", cluster: str = CLUSTER
     return res
 
 
-def davies_bouldin(df: DataFrame, features: str = "features", cluster: str = CLUSTER,
-                   block_rows: int = 2048) -> DataFrame:
-    """M9: mean over clusters of max (s_i + s_j)/d_ij; 0 if all spreads or all gaps ≈ 0."""
-    cents = centroids(df, features, cluster).withColumnRenamed("cluster", "c")
+def cluster_moments(df: DataFrame, features: str = "features", cluster: str = CLUSTER) -> DataFrame:
+    """Sums that M9 and M10 need, in one pass: ``(cluster, pos, s, n, at)``.
+
+    ``s`` is the sum of the cluster's vectors at position ``pos``, that of their squared norms at -1, all around one row's
+    vector (``at`` is its value), which keeps the differences of squares exact for data far from 0. A task sends k×(d+1)
+    rows.
+    """
+    head = df.select(features).first()
+    origin = np.asarray(head[0] if head else [], dtype=np.float64)
+
+    def part(it):
+        acc: dict[int, np.ndarray] = {}
+        count: dict[int, int] = {}
+        for pdf in it:
+            if pdf.empty:
+                continue
+            X = stack(pdf[features]) - origin
+            X = np.column_stack([(X * X).sum(axis=1), X])
+            ids, codes = np.unique(pdf["c"].to_numpy(), return_inverse=True)
+            sums = np.zeros((len(ids), X.shape[1]))
+            np.add.at(sums, codes, X)
+            for u, row, n in zip(ids.tolist(), sums, np.bincount(codes).tolist()):
+                acc[u] = acc.get(u, 0) + row
+                count[u] = count.get(u, 0) + n
+        at = np.append(0.0, origin)
+        for u, row in acc.items():
+            yield pd.DataFrame({"cluster": u, "pos": np.arange(len(row)) - 1, "s": row, "n": count[u], "at": at})
+
+    parts = df.select(F.col(cluster).cast("int").alias("c"), features).mapInPandas(
+        part, "cluster int, pos int, s double, n long, at double")
+    return parts.groupBy("cluster", "pos").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.first("at").alias("at"))
+
+
+def _moment_centroids(moments: DataFrame) -> DataFrame:
+    return (moments.filter("pos >= 0").groupBy("cluster")
+            .agg(F.sort_array(F.collect_list(F.struct("pos", (F.col("at") + F.col("s") / F.col("n")).alias("v")))).alias("c"))
+            .select("cluster", F.col("c.v").alias("centroid")))
+
+
+def cluster_spreads(df: DataFrame, cents: DataFrame, features: str = "features", cluster: str = CLUSTER) -> DataFrame:
+    """``(c, s)``: mean distance of a cluster's rows to its centroid ``(cluster, centroid)``.
+
+    Centroids that fit a broadcast go to the rows, whose distances are summed within the tasks; otherwise both are joined.
+    """
+    size = cents.agg(F.count(F.lit(1)).alias("k"), F.max(F.size("centroid")).alias("d")).first()
     rows = df.select(F.col(cluster).cast("int").alias("c"), features)
-    spread = (rows.join(cents, "c")
-              .groupBy("c").agg(F.avg(distance(features, "centroid")).alias("s")))
-    cs = cents.join(spread, "c").select(F.col("c").cast("long").alias(ROW_ID), "s", "centroid")
+    if size["k"] * (size["d"] or 0) * 8 > BROADCAST_LIMIT_BYTES:
+        return (rows.join(cents, F.col("c") == F.col("cluster"))
+                .groupBy("c").agg(F.avg(distance(features, "centroid")).alias("s")))
+    ids, centers = collect_centroids(cents)
+    sent = df.sparkSession.sparkContext.broadcast((ids, centers))
+
+    def part(it):
+        ids, centers = sent.value
+        total, count = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
+        for pdf in it:
+            if not pdf.empty:
+                at = np.searchsorted(ids, pdf["c"].to_numpy())
+                X = stack(pdf[features]) - centers[at]
+                np.add.at(total, at, np.sqrt((X * X).sum(axis=1)))
+                count += np.bincount(at, minlength=len(ids))
+        own = count > 0
+        yield pd.DataFrame({"c": ids[own].astype(np.int32), "s": total[own], "n": count[own]})
+
+    return (rows.mapInPandas(part, "c int, s double, n long").groupBy("c")
+            .agg((F.sum("s") / F.sum("n")).alias("s")))
+
+
+def davies_bouldin(df: DataFrame, features: str = "features", cluster: str = CLUSTER,
+                   block_rows: int = 2048, moments: DataFrame | None = None) -> DataFrame:
+    """M9: mean over clusters of max (s_i + s_j)/d_ij; 0 if all spreads or all gaps ≈ 0.
+
+    ``moments`` are the :func:`cluster_moments` of the rows, if they are there already."""
+    cents = _moment_centroids(cluster_moments(df, features, cluster) if moments is None else moments)
+    spread = cluster_spreads(df, cents, features, cluster)
+    cs = cents.join(spread, F.col("cluster") == F.col("c")).select(
+        F.col("c").cast("long").alias(ROW_ID), "s", "centroid")
     k = cs.count()
 
     def kernel(lp, rp):
@@ -266,22 +335,20 @@ def davies_bouldin(df: DataFrame, features: str = "features", cluster: str = CLU
                    .otherwise(F.avg("r")).alias("davies_bouldin"))
 
 
-def calinski_harabasz(df: DataFrame, features: str = "features", cluster: str = CLUSTER) -> DataFrame:
-    """(SSB/(k-1)) / (SSW/(n-k)); 1 when SSW = 0."""
-    sums = cluster_sums(df, features, cluster)
-    cents = centroids(df, features, cluster).withColumnRenamed("cluster", "c")
-    glob = (sums.groupBy("pos").agg((F.sum("s") / F.sum("n")).alias("g"))
-            .agg(F.sort_array(F.collect_list(F.struct("pos", "g"))).alias("_g"))
-            .select(F.col("_g.g").alias("gmean")))
-    ssb = join_single_rows(cents, glob).agg(
-        F.sum(F.col("size") * sq_distance("centroid", "gmean")).alias("ssb"),
-        F.count(F.lit(1)).alias("k"))
-    ssw = (df.select(F.col(cluster).cast("int").alias("c"), features).join(cents, "c")
-           .agg(F.sum(sq_distance(features, "centroid")).alias("ssw"), F.count(F.lit(1)).alias("n")))
-    both = join_single_rows(ssb, ssw)
-    return both.select(F.when(F.col("ssw") == 0, F.lit(1.0)).otherwise(
-        F.col("ssb") * (F.col("n") - F.col("k")) / (F.col("ssw") * (F.col("k") - 1.0)))
-        .alias("calinski_harabasz"))
+def calinski_harabasz(df: DataFrame, features: str = "features", cluster: str = CLUSTER,
+                      moments: DataFrame | None = None) -> DataFrame:
+    """(SSB/(k-1)) / (SSW/(n-k)); 1 when SSW = 0. From :func:`cluster_moments` alone: the rows are read once.
+
+    SSW = Σ‖x‖² − Σ_c ‖S_c‖²/n_c and SSB = Σ_c ‖S_c‖²/n_c − ‖S‖²/n, all around one origin."""
+    m = cluster_moments(df, features, cluster) if moments is None else moments
+    size = m.filter("pos = -1").agg(F.sum("s").alias("ss"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
+    within = (m.filter("pos >= 0").groupBy("pos").agg(F.sum(F.col("s") * F.col("s") / F.col("n")).alias("own"),
+                                                      F.sum("s").alias("all"))
+              .agg(F.sum("own").alias("own"), F.sum(F.col("all") * F.col("all")).alias("all")))
+    both = join_single_rows(size, within)
+    ssw, ssb = F.col("ss") - F.col("own"), F.col("own") - F.col("all") / F.col("n")
+    return both.select(F.when(ssw <= F.col("ss") * 1e-13, F.lit(1.0)).otherwise(
+        ssb * (F.col("n") - F.col("k")) / (ssw * (F.col("k") - 1.0))).alias("calinski_harabasz"))
 
 
 # ------------------------------------------------------------ representatives (L3)

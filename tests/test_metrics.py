@@ -83,3 +83,23 @@ def test_null_truth_dropped_noise_kept(spark):
                                "row_id long, true_label string, cluster int")
     cells = {(r["true_label"], r["cluster"]): r["n"] for r in contingency(df).collect()}
     assert cells == {("a", 0): 1, ("b", -1): 2}
+
+
+def test_moments_far_from_the_origin(spark):
+    import numpy as np
+
+    from taxolens.operators.vectors import calinski_harabasz, davies_bouldin
+    rng = np.random.default_rng(2)
+    y = rng.integers(0, 4, 300)
+    X = rng.normal(size=(300, 5)) + y[:, None] + 1e6
+    df = spark.createDataFrame([(i, x.tolist(), int(c)) for i, (x, c) in enumerate(zip(X, y))],
+                               "row_id long, features array<double>, cluster int").repartition(5)
+    mean = np.array([X[y == c].mean(0) for c in range(4)])
+    ssw = sum(((X[y == c] - mean[c]) ** 2).sum() for c in range(4))
+    ssb = sum((y == c).sum() * ((mean[c] - X.mean(0)) ** 2).sum() for c in range(4))
+    s = np.array([np.sqrt(((X[y == c] - mean[c]) ** 2).sum(1)).mean() for c in range(4)])
+    gap = np.sqrt(((mean[:, None] - mean) ** 2).sum(-1)) + np.diag([np.inf] * 4)
+    assert np.isclose(calinski_harabasz(df).first()[0], ssb / 3 / (ssw / 296), rtol=1e-6)
+    assert np.isclose(davies_bouldin(df).first()[0], ((s[:, None] + s) / gap).max(1).mean(), rtol=1e-6)
+    same = df.selectExpr("row_id", "transform(features, x -> double(cluster)) AS features", "cluster")
+    assert calinski_harabasz(same).first()[0] == 1.0
