@@ -1,4 +1,4 @@
-"""C1 k-means (n_init restarts) and C3 bisecting k-means on Spark ML."""
+"""C1 k-means (n_init restarts) on Spark ML."""
 
 from __future__ import annotations
 
@@ -26,16 +26,5 @@ def kmeans(df: DataFrame, n_clusters: int = 50, n_init: int = 10, seed: int = SE
         cost = model.summary.trainingCost
         if best is None or cost < best[0]:
             best = (cost, model)
-    out = best[1].transform(data).select(ROW_ID, F.col(CLUSTER).cast("int").alias(CLUSTER))
-    return out
-
-
-def bisecting_kmeans(df: DataFrame, n_clusters: int = 50, seed: int = SEED,
-                     features: str = "features", max_iter: int = 20) -> DataFrame:
-    """Spark's bisecting k-means (splits level by level; may return fewer than k)."""
-    from pyspark.ml.clustering import BisectingKMeans
-
-    data = _vec(df, features)
-    model = BisectingKMeans(k=n_clusters, seed=seed, featuresCol="_v", predictionCol=CLUSTER,
-                            minDivisibleClusterSize=1.0, maxIter=max_iter).fit(data)
-    return model.transform(data).select(ROW_ID, F.col(CLUSTER).cast("int").alias(CLUSTER))
+    data.unpersist()
+    return best[1].transform(_vec(df, features)).select(ROW_ID, F.col(CLUSTER).cast("int").alias(CLUSTER))

@@ -32,7 +32,7 @@ def _kmeans(df, n_clusters=50, **kw):
 
 @algorithm("BisectingKMeans")
 def _bisecting(df, n_clusters=50, **kw):
-    from taxolens.operators.clustering.kmeans import bisecting_kmeans
+    from taxolens.operators.clustering.bisecting import bisecting_kmeans
     return bisecting_kmeans(df, n_clusters=n_clusters, **kw)
 
 
@@ -58,3 +58,15 @@ def _lloyd(df, n_clusters=8, iterations=5, **kw):
 def _birch(df, threshold=0.5, n_clusters=None, **kw):
     from taxolens.operators.clustering.birch import birch
     return birch(df, threshold=threshold, n_clusters=n_clusters, **kw)
+
+
+@algorithm("Ward")
+def _ward(df, n_clusters=50, micro_clusters=1000, **kw):
+    from taxolens.operators.clustering.ward import ward_micro
+    return ward_micro(df, n_clusters=n_clusters, micro_clusters=micro_clusters, **kw)
+
+
+@algorithm("DensityCut")
+def _density_cut(df, eps=0.5, min_samples=5, **kw):
+    from taxolens.operators.clustering.density import density_sweep
+    return density_sweep(df, [eps], min_samples, **kw)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from taxolens.operators import evaluation as EV
-from taxolens.operators.clustering.kmeans import bisecting_kmeans, kmeans
+from taxolens.operators.clustering.bisecting import bisecting_kmeans, bisecting_tree
+from taxolens.operators.clustering.kmeans import kmeans
 from taxolens.operators.clustering.minibatch import minibatch_kmeans
 from taxolens.operators.metrics import experiment_row
 from taxolens.operators.supervised import run_baseline, train_test_split
@@ -28,6 +29,17 @@ def q_bisecting_kmeans(spark, sf):
     return bisecting_kmeans(FX.vectors(spark, sf), n_clusters=8)
 
 
+@register("bisecting_totals", S.with_(S.VECTORS, body="""
+SELECT 8::BIGINT AS n_clusters, count(*) AS n_rows, TRUE AS no_empty, TRUE AS largest_first FROM vectors"""))
+def q_bisecting_totals(spark, sf):
+    """What a bisecting fit keeps: exactly k clusters over all rows, each split that of the leaf with most inertia."""
+    v = FX.vectors(spark, sf)
+    tree = bisecting_tree(v, 8)
+    sizes = bisecting_kmeans(v, 8).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.count(F.lit(1)).alias("n_clusters"), F.sum("n").alias("n_rows"),
+                     (F.min("n") > 0).alias("no_empty"), F.lit(tree.largest_first(8)).alias("largest_first"))
+
+
 @register("minibatch_kmeans")
 def q_minibatch_kmeans(spark, sf):
     return minibatch_kmeans(FX.vectors(spark, sf), n_clusters=8, batch_size=128, max_iter=20)

@@ -155,3 +155,47 @@ def test_boruvka_mst_matches_prim(spark):
     mst = boruvka_mst(v, cd, block_rows=40).toPandas()
     assert len(mst) == n - 1
     assert mst["w"].sum() == pytest.approx(total, rel=1e-9)
+
+
+def _slow_bisecting(X, k, max_iter):
+    leaves = [np.arange(len(X))]
+    inertia = lambda own: ((X[own] - X[own].mean(0)) ** 2).sum()
+    while len(leaves) < k:
+        own = max(leaves, key=inertia)
+        a = X[own][((X[own] - X[own].mean(0)) ** 2).sum(1).argmax()]
+        C = np.stack([a, X[own][((X[own] - a) ** 2).sum(1).argmax()]])
+        for _ in range(max_iter):
+            side = ((X[own][:, None] - C) ** 2).sum(2).argmin(1)
+            new = np.stack([X[own][side == s].mean(0) for s in (0, 1)])
+            if ((new - C) ** 2).sum(1).max() <= 1e-18:
+                break
+            C = new
+        side = ((X[own][:, None] - C) ** 2).sum(2).argmin(1)
+        leaves = [x for x in leaves if x is not own] + [own[side == 0], own[side == 1]]
+    return {frozenset(x.tolist()) for x in leaves}
+
+
+@pytest.mark.parametrize("k", [2, 6, 9])
+def test_bisecting_splits_the_leaf_of_most_inertia(spark, k):
+    from taxolens.operators.clustering.bisecting import bisecting_kmeans, bisecting_tree
+    X = np.concatenate([np.random.default_rng(1).normal(c, s, (40, 2)) for c, s in ((0, 1), (8, 0.2), (20, 3), (-9, 0.5))])
+    df = _points(spark, X).repartition(5)
+    got = bisecting_kmeans(df, k).groupBy("cluster").agg({"row_id": "collect_list"}).collect()
+    assert {frozenset(r[1]) for r in got} == _slow_bisecting(X, k, 20)
+    assert bisecting_tree(df, k).largest_first(k)
+
+
+def test_bisecting_with_equal_rows(spark):
+    from taxolens.operators.clustering.bisecting import bisecting_kmeans
+    df = _points(spark, np.array([[0.0, 1e6]] * 5 + [[1.0, 1e6]] * 3))
+    assert bisecting_kmeans(df, 4).select("cluster").distinct().count() == 2
+    assert bisecting_kmeans(df.limit(0), 4).collect() == []
+
+
+def test_batches_are_drawn_once(spark):
+    from taxolens.operators.clustering.minibatch import draw_batches, minibatch_kmeans
+    df = _points(spark, np.random.default_rng(0).normal(size=(400, 2)))
+    drawn = draw_batches(df, 8, 20, 42)
+    assert drawn.groupBy("step").count().count() == 20 and 600 < drawn.count() < 1400
+    assert drawn.select("row_id", "step").distinct().count() == drawn.count()
+    assert minibatch_kmeans(df, 5, batch_size=50, max_iter=8).select("cluster").distinct().count() == 5

@@ -21,7 +21,7 @@ FAST = ["clean_html", "decode_entities", "normalize_ws", "impute_text", "text_fe
         "flow_indexed", "sample_labelings", "attach_labels", "top_categories", "quality_band", "misclassified",
         "accuracy", "label_set", "cluster_sizes", "dominant_category", "top2_gap", "top_label_counts",
         "category_counts", "category_nunique", "display_name", "embed_cache_missing", "source_shape", "preview",
-        "noise_summary", "ward_summaries", "birch_cf_totals", "homogeneity", "completeness", "v_measure", "centroids", "purity_bins10",
+        "noise_summary", "ward_summaries", "bisecting_totals", "birch_cf_totals", "homogeneity", "completeness", "v_measure", "centroids", "purity_bins10",
         "explorer_inputs", "tree_filtered", "explorer_search"]
 
 
