@@ -18,7 +18,7 @@ from taxolens.session import cut_lineage, ensure_checkpoint_dir
 
 MASK = (1 << 64) - 1
 #: Bytes that all word caches of a worker hold together, keys and table slots counted.
-CACHE_BYTES = 176 << 20
+CACHE_BYTES = 128 << 20
 
 _WORD_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20
@@ -137,11 +137,11 @@ class WordCache(dict):
 
 
 model_of_stage = _WORKER.model
-_HASHES = WordCache(xxhash.xxh3_64_intdigest)
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    # hashing a word costs hardly more than finding it in a table would
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
