@@ -23,11 +23,12 @@ an empty result; columns other than the id and the text are ignored, whatever th
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxolens.llm.common import (
@@ -45,13 +46,13 @@ SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.99
 N_HASH = 128
-LEAF = 512
+LEAF = 768
 #: Estimated likeness to a bucket's pivot from which a set needs no further path.
 CORE = 0.75
 MAX_DEPTH = 6
 #: Levels that the runs of all sets are enough for.
 SHALLOW = 3
-TILE = 128
+TILE = 512
 
 _RNG = np.random.default_rng(20240607)
 _SLOT = mix(np.arange(N_HASH, dtype=np.uint64) + np.uint64(1))
@@ -339,9 +340,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each class, the least id; rows with a null id all stay."""
+    """The rows of ``docs`` that stay: one document of each class, the least id; rows with a null id all stay.
+
+    Of several rows with one id the one with the least text stays (null first).
+    """
+    place = f"place_{uuid.uuid4().hex}"
     best = (near_duplicates(docs, id_col, text_col).filter("doc_id = class_id")
-            .select(F.col("doc_id").alias("_keep")).distinct())
-    named = (docs.join(best, F.col(id_col).cast("long") == F.col("_keep"), "left_semi")
-             .dropDuplicates([id_col]))
+            .select(F.col("doc_id").alias(place)).distinct())
+    one = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_first())
+    named = (docs.join(best, F.col(id_col).cast("long") == F.col(place), "left_semi")
+             .withColumn(place, F.row_number().over(one)).filter(F.col(place) == 1).drop(place))
     return named.unionByName(docs.filter(F.col(id_col).isNull()))

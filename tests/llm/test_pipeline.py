@@ -33,7 +33,7 @@ def test_stages_at_the_small_scale(spark):
 def test_odd_rows_pass_every_stage(spark, make_docs, tmp_path):
     rows = [(1, None), (2, ""), (4, "one"), (4, "one"), (None, "no id here"), (7, "a b c d e f g"),
             (8, "a b c d e f g")]
-    docs = make_docs(rows, ("node", "x"))
+    docs = make_docs(rows, ("node", "x", "_keep", "place"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, "some other words to find")], "item_id long, text string").write.parquet(
         f"{tmp_path}/benchmark.parquet")
@@ -45,3 +45,10 @@ def test_odd_rows_pass_every_stage(spark, make_docs, tmp_path):
         ids = sorted(r["doc_id"] for r in C.STAGES[-1][1](spark, out, str(tmp_path)).filter(
             F.col("doc_id").isNotNull()).collect())
         assert ids == ([1, 4, 7] if start is docs else [])
+
+
+def test_the_least_text_of_an_id_stays(spark, make_docs):
+    rows = [(1, "b b b b b b b"), (1, "a b c d e f g"), (1, None), (2, "z y x w v u t"), (2, "z y x w v u t")]
+    for parts in (1, 3):
+        kept = jaccard_join.drop_near_duplicates(make_docs(rows, ("_keep",)).repartition(parts)).collect()
+        assert sorted((r["doc_id"], r["text"]) for r in kept) == [(1, None), (2, "z y x w v u t")]
