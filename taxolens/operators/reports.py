@@ -150,11 +150,21 @@ def equal_width_histogram(values: DataFrame, col: str, bins: int) -> DataFrame:
 
 
 def size_histogram(labeling: DataFrame, bins: int = 50, cluster: str = CLUSTER) -> DataFrame:
-    """Histogram of non-noise cluster sizes (+ log10 of the bin edges for the log view)."""
+    """Histogram of non-noise cluster sizes."""
     sizes = cluster_sizes(labeling.filter(F.col(cluster) != NOISE), cluster)
     return equal_width_histogram(sizes, "size", bins)
 
 
+def size_distribution(labeling: DataFrame, bins: int = 50, cluster: str = CLUSTER) -> DataFrame:
+    """Both views of the cluster sizes: the histogram, the log10 of its edges, and the median and mean marked in it."""
+    sizes = cluster_sizes(labeling.filter(F.col(cluster) != NOISE), cluster)
+    marks = sizes.agg(F.median("size").alias("median_size"), F.avg("size").alias("mean_size"))
+    out = equal_width_histogram(sizes, "size", bins)
+    # edges are at least 0.5
+    out = out.select("bin", "bin_lo", "bin_hi", F.log10("bin_lo").alias("log_lo"), F.log10("bin_hi").alias("log_hi"), "count")
+    return join_single_rows(out, marks)
+
+
 def purity_histogram(stats: DataFrame, bins: int = 20) -> DataFrame:
     """Histogram of per-cluster purity."""
     return equal_width_histogram(stats, "purity", bins)

@@ -149,6 +149,16 @@ def q_size_histogram(spark, sf):
     return rounded(R.size_histogram(FX.prod_lab(spark, sf), 50))
 
 
+@register("size_distribution", S.with_(S.PROD_LAB, _SH[0], body=f"""
+SELECT bin, bin_lo, bin_hi, round(log10(bin_lo), 6) AS log_lo, round(log10(bin_hi), 6) AS log_hi, count,
+       (SELECT round(median(n), 6) FROM (SELECT count(*) AS n FROM prod_lab WHERE cluster <> -1 GROUP BY cluster))
+         AS median_size,
+       (SELECT round(avg(n), 6) FROM (SELECT count(*) AS n FROM prod_lab WHERE cluster <> -1 GROUP BY cluster)) AS mean_size
+FROM ({_SH[1]})"""))
+def q_size_distribution(spark, sf):
+    return rounded(R.size_distribution(FX.prod_lab(spark, sf), 50))
+
+
 @register("purity_histogram", S.with_(_PSTATS, _PH[0], body=_PH[1]))
 def q_purity_histogram(spark, sf):
     return rounded(R.purity_histogram(_pstats(spark, sf), 20))

@@ -10,7 +10,7 @@ from conftest import SF_SMALL
 FAST = ["clean_html", "decode_entities", "normalize_ws", "impute_text", "text_features", "rejection_rate",
         "sample_exact", "contingency", "crosstab_wide", "purity", "ari", "nmi", "fowlkes_mallows",
         "experiment_row", "cluster_stats", "cluster_stats_no_truth", "worst_clusters", "best_clusters",
-        "quality_summary", "size_histogram", "purity_histogram", "cluster_report", "cluster_report_split",
+        "quality_summary", "size_histogram", "size_distribution", "purity_histogram", "cluster_report", "cluster_report_split",
         "majority_label", "predict_majority", "misclassified_head", "confusion_matrix", "error_rate",
         "centroid_distance", "nearest_centroid", "lloyd_fixed", "silhouette", "davies_bouldin",
         "calinski_harabasz", "covariance", "representatives", "worst_clusters_analysis", "eps_join", "dbscan", "dbscan_cells", "dbscan_cells",
