@@ -9,11 +9,17 @@ class (the slot that it repeats in). Valid classes nested in each other are the
 text places below it; a slot whose text is the same on every page is template, not data.
 
 From a page the text of the remaining slots is taken, if the template gives the slot to the main part: inside the
-article (``article`` or ``main``, or else the place of a valid class that holds most of the host's varying text), and
-not inside a menu, header, footer, sidebar, notice, advert, form, script, style or reader comments, by element or by
-class and id words. Host templates are broadcast if they are small (``BROADCAST_BYTES``, measured), and joined by
+article (``article`` or ``main``, or else the place that holds most of the varying text of the classes which this page
+holds, so pages of several templates on one host are each read by their own), and not inside a menu, header, footer,
+sidebar, notice, advert, form, script, style or reader comments, by element or by whole class and id names. Names
+never drop ``article``, ``main`` or what is around them: an article inside a part that is named as beside it counts if
+the page has no other. Host templates are broadcast if they are small (``BROADCAST_BYTES``, measured), and joined by
 host otherwise; either way gives the same rows.
 
+A place deeper than ``MAX_DEPTH`` elements, and a name longer than ``MAX_NAME`` characters, goes by its hash, so a
+path stays short and different places stay different. Template places are those on at least ``SUPPORT`` pages and
+``SUPPORT_SHARE`` of the host's pages.
+
 Defined cases: a null or empty html gives the empty text; a null url has the empty host; a host with fewer than
 ``SUPPORT`` pages has no template of its own, and its pages are read by element and class words alone; repeated
 pages count as pages; other columns are unread.
@@ -37,6 +43,7 @@ SUPPORT = 3
 SUPPORT_SHARE = 0.01
 BROADCAST_BYTES = 4_000_000
 MAX_DEPTH = 64
+MAX_NAME = 200
 
 #: Elements of HTML by their part in a page.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "canvas"}
@@ -51,13 +58,20 @@ BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center
 CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
            "th": {"td", "th"}, "option": {"option"}}
-#: Words of class and id names that mark parts beside the article.
+#: Class and id names that mark parts beside the article.
 BESIDE = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "sponsor", "sponsored",
           "promo", "promotion", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "aside",
           "footer", "header", "masthead", "cookie", "cookies", "consent", "notice", "notices", "alert", "popup",
-          "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "form", "search", "share",
+          "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "form", "share",
           "sharing", "social", "related", "recommended", "comment", "comments", "commentlist", "respond", "replies",
-          "reply", "disqus", "widget", "tags", "pagination", "pager", "toolbar", "copyright", "legal", "disclaimer"}
+          "reply", "disqus", "widget", "pagination", "pager", "toolbar", "copyright"}
+#: The words that may stand with them in one name, as in ``site-header``.
+BESIDE_WITH = {"site", "page", "main", "top", "bottom", "left", "right", "global", "primary", "secondary", "list", "slot",
+               "box", "bar", "block", "container", "wrapper", "wrap", "area", "section", "unit", "link", "links", "post",
+               "posts", "user", "reader", "google", "inner", "outer", "inline", "text", "body", "item", "items", "group",
+               "panel", "buttons", "icons", "thread", "module", "column", "col", "row", "fixed", "sticky", "mobile"}
+#: Names by which an article inside another one is a reader's comment or an advert.
+NOT_ARTICLE = {"ad", "ads", "advert", "advertisement", "sponsored", "comment", "comments", "reply", "replies"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
                     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=[a-zA-Z/])[^<]*\Z", re.S)
@@ -66,9 +80,15 @@ _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
-def place_of(tag: str, attrs: str) -> tuple[str, bool]:
-    """Name of an element in a path, and whether it stands beside the article."""
-    words: list[str] = []
+def names_beside(name: str, marks: set[str] = BESIDE) -> bool:
+    """Whether a whole class or id name marks a part beside the article: ``site-header``, but not ``has-header``."""
+    words = _WORD.findall(name)
+    return not marks.isdisjoint(words) and all(w in marks or w in BESIDE or w in BESIDE_WITH for w in words)
+
+
+def place_of(tag: str, attrs: str) -> tuple[str, bool, list[str]]:
+    """Name of an element in a path, whether it stands beside the article by element, its class and id names."""
+    names: list[str] = []
     beside = tag in ASIDE
     if attrs and ("=" in attrs or "hidden" in attrs.lower()):
         for m in _ATTR.finditer(attrs):
@@ -76,20 +96,25 @@ def place_of(tag: str, attrs: str) -> tuple[str, bool]:
             if kind == "hidden" or kind == "aria-hidden" and value == "true":
                 beside = True
             elif kind in ("class", "id"):
-                words += _WORD.findall(value)
+                names += value.split()
             elif value in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert"):
                 beside = True
-    if words and tag not in ("body", "html"):
-        beside = beside or not BESIDE.isdisjoint(words)
-    return ".".join([tag, *words[:6]]), beside
+    name = ".".join([tag, *(w for n in names for w in _WORD.findall(n))])
+    return (name if len(name) <= MAX_NAME else f"{tag}.{_digest(name)}"), beside, names
+
+
+def _digest(name: str) -> str:
+    return xxhash.xxh3_64_hexdigest(name.encode("utf-8", "replace"))
 
 
 def walk(page: str):
     """Events of a page in order: ``("open", path, beside, main)`` and ``("text", path, text, beside, main, block)``.
 
-    ``block`` numbers the blocks: it changes where a block element opens or closes. A page may end anywhere.
+    ``main`` is 0 outside the article, 1 in one whose surroundings are named as beside it, 2 in any other. ``block``
+    numbers the blocks: it changes where a block element opens or closes. A page may end anywhere.
     """
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, beside, main
+    # tag, path, beside by element, beside by name, main
+    stack: list[tuple[str, str, bool, bool, int]] = [("", "", False, False, 0)]
     block = 0
     pos = 0
     raw: str | None = None
@@ -105,8 +130,8 @@ def walk(page: str):
         m = _TOKEN.search(page, pos)
         upto = m.start() if m else len(page)
         if upto > pos:
-            tag, path, beside, main = stack[-1]
-            yield "text", path, page[pos:upto], beside, main, block
+            _, path, beside, named, main = stack[-1]
+            yield "text", path, page[pos:upto], beside or named, main, block
         if m is None:
             return
         pos = m.end()
@@ -135,15 +160,22 @@ def walk(page: str):
                 del stack[depth:]
         if tag in VOID:
             if tag == "br":
-                _, path, beside, main = stack[-1]
-                yield "text", path, " ", beside, main, block
+                _, path, beside, named, main = stack[-1]
+                yield "text", path, " ", beside or named, main, block
             continue
-        name, beside = place_of(tag, m[3])
-        _, path, out, main = stack[-1]
-        # a deep page keeps the path of its outer elements
-        path = f"{path}>{name}" if len(stack) < MAX_DEPTH else path
-        here = (tag, path, beside or out, main or tag in MAIN)
-        yield "open", path, here[2], here[3]
+        name, beside, names = place_of(tag, m[3])
+        _, outer, out, named, main = stack[-1]
+        if len(stack) < MAX_DEPTH:
+            path = f"{outer}>{name}"
+        else:
+            path = f"{stack[MAX_DEPTH - 1][1]}>{tag}.{_digest(outer + '>' + name)}"
+        if tag in MAIN and not main:
+            main, named = 1 if named else 2, False
+        elif tag not in ("body", "html"):
+            marks = NOT_ARTICLE if tag in MAIN else BESIDE
+            named = named or any(names_beside(n, marks) for n in names)
+        here = (tag, path, beside or out, named, main)
+        yield "open", path, here[2] or here[3], main
         if m[3].endswith("/") and tag in {"svg", "path"}:
             continue
         stack.append(here)
@@ -166,7 +198,7 @@ def page_tokens(page: str) -> tuple[Counter, dict[str, list]]:
         elif not e[3]:
             t = _SPACE.sub(" ", e[2]).strip()
             if t:
-                got = text.setdefault(e[1], [0, 0, e[4]])
+                got = text.setdefault(e[1], [0, 0, bool(e[4])])
                 got[0] += len(t)
                 got[1] = (got[1] * 31 + xxhash.xxh3_64_intdigest(t.encode("utf-8", "replace"))) & ((1 << 62) - 1)
     return seen, text
@@ -241,44 +273,48 @@ def templates(pages: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("pages", "members")), asc=False).alias("classes"))
 
 
-def main_slots(classes: list) -> tuple[str | None, set[str]]:
-    """The place of the article in a template (None: ``article`` or ``main`` elements mark it) and its constant slots.
+def slots_of(classes: list) -> dict[str, float]:
+    """The text slots of a host's template outside ``article`` and ``main``: place and varying characters a page.
 
-    Without such an element the article is the deepest member of a class that once on its pages holds at least two
-    thirds of the varying text below it.
+    A slot that holds the same text on all its pages varies by 0 and is template.
     """
-    members = [m for c in classes for m in c["members"]]
-    fixed = {m["place"] for m in members if m["constant"] and m["chars"]}
-    if any(m["main"] for m in members):
-        return None, set()
+    return {m["place"]: 0.0 if m["constant"] else m["chars"] / c["pages"]
+            for c in classes for m in c["members"] if m["chars"] and not m["main"]}
+
+
+def article_of(slots: dict[str, float], held: set[str]) -> str:
+    """The deepest place with at least two thirds of the varying text of the slots that a page holds ("": none)."""
     weight: Counter = Counter()
-    for m in members:
-        if m["chars"] and not m["constant"]:
-            parts = m["place"].split(">")
+    for place in held:
+        if slots.get(place):
+            parts = place.split(">")
             for k in range(2, len(parts) + 1):
-                weight[">".join(parts[:k])] += m["chars"]
+                weight[">".join(parts[:k])] += slots[place]
     total = max(weight.values(), default=0)
     best = [p for p, n in weight.items() if 3 * n >= 2 * total and p.rpartition(">")[2].split(".")[0] in
             ("div", "section", "td", "body", "center")]
-    return (max(best, key=lambda p: (p.count(">"), p)) if best else ""), fixed
+    return max(best, key=lambda p: (p.count(">"), p)) if best else ""
 
 
-def main_text(page: str | None, article: str | None = None, fixed: frozenset[str] | set[str] = frozenset()) -> str:
-    """Main text of one page under a template's article place and constant slots.
+def main_text(page: str | None, slots: dict[str, float] | None = None) -> str:
+    """Main text of one page under its host's template.
 
-    ``article`` None or a page with an ``article`` or ``main`` element: its text is inside that element; "": all text
-    that is not beside the article.
+    A page with ``article`` or ``main`` elements: the text inside them. Any other: the text below its template's
+    article, without constant slots; all text that is not beside the article if there is no such place.
     """
     if not page:
         return ""
     events = [e for e in walk(page) if e[0] == "text" and not e[3]]
-    if any(e[4] for e in events):
-        events = [e for e in events if e[4]]
-    else:
+    # white space alone names no article
+    level = max((e[4] for e in events if e[4] and not e[2].isspace()), default=0)
+    if level:
+        events = [e for e in events if e[4] == level]
+    elif slots:
+        article = article_of(slots, {e[1] for e in events})
         inside = [e for e in events if article and (e[1] == article or e[1].startswith(article + ">"))]
         events = inside or events
         # the slots that are the same everywhere are template; a page with nothing else keeps them
-        events = [e for e in events if e[1] not in fixed] or events
+        events = [e for e in events if slots.get(e[1]) != 0.0] or events
     blocks: list[str] = []
     last = None
     for e in events:
@@ -293,41 +329,34 @@ def main_text(page: str | None, article: str | None = None, fixed: frozenset[str
 
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page."""
-    rules = keep(templates(pages))
-    slots = keep(rules.mapInPandas(_slots, "host string, article string, fixed array<string>"))
-    size = slots.agg(F.sum(F.length("host") + F.length(F.coalesce("article", F.lit("")))
-                           + F.length(F.array_join("fixed", ",")) + 48).alias("b")).first()["b"] or 0
+    rules = templates(pages)
+    slots = keep(rules.mapInPandas(_slots, "host string, slots map<string,double>"))
+    size = slots.agg(F.sum(F.length("host") + F.length(F.array_join(F.map_keys("slots"), ","))
+                           + 32 * F.size("slots") + 48).alias("b")).first()["b"] or 0
     src = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
     if size <= BROADCAST_BYTES:
-        table = pages.sparkSession.sparkContext.broadcast(
-            {r["host"]: (r["article"], frozenset(r["fixed"])) for r in slots.collect()})
+        table = pages.sparkSession.sparkContext.broadcast({r["host"]: r["slots"] for r in slots.collect()})
 
         def run(batches):
             for pdf in batches:
-                t = [main_text(h, *table.value.get(host_of(u), (None, frozenset())))
-                     for u, h in zip(pdf["url"], pdf["html"])]
+                t = [main_text(h, table.value.get(host_of(u))) for u, h in zip(pdf["url"], pdf["html"])]
                 yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": t,
                                     "n_chars": [len(x) for x in t]})
 
         return src.mapInPandas(run, f"page_id {dict(src.dtypes)['page_id']}, url string, text string, n_chars long")
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
+    host = F.udf(host_of)(F.col("url").cast("string"))
     joined = src.withColumn("host", host).join(slots, "host", "left")
 
     def run_joined(batches):
         for pdf in batches:
-            t = [main_text(h, a, frozenset(f if f is not None else ()))
-                 for h, a, f in zip(pdf["html"], pdf["article"], pdf["fixed"])]
+            t = [main_text(h, dict(m) if m is not None else None) for h, m in zip(pdf["html"], pdf["slots"])]
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": t,
                                 "n_chars": [len(x) for x in t]})
 
-    return joined.select("page_id", "url", "html", "article", "fixed").mapInPandas(
+    return joined.select("page_id", "url", "html", "slots").mapInPandas(
         run_joined, f"page_id {dict(src.dtypes)['page_id']}, url string, text string, n_chars long")
 
 
 def _slots(batches):
     for pdf in batches:
-        out = []
-        for host, classes in zip(pdf["host"], pdf["classes"]):
-            article, fixed = main_slots(classes)
-            out.append((host, article, sorted(fixed)))
-        yield pd.DataFrame(out, columns=["host", "article", "fixed"])
+        yield pd.DataFrame([(h, slots_of(c)) for h, c in zip(pdf["host"], pdf["classes"])], columns=["host", "slots"])

@@ -148,6 +148,64 @@ def test_classes_name_the_article_of_a_host_without_article_elements(spark):
     assert H.extract(pages.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("page, text", [
+    ('<main class="content has-sidebar"><p>a b</p></main>', "a b"),
+    ('<article class="post share-enabled"><p>x</p></article>', "x"),
+    ('<div id="page" class="with-header"><article>y</article></div>', "y"),
+    ('<div class="sidebar"><article>in</article></div>', "in"),
+    ('<article>k<div class="search-results">r</div><div class="legal">l</div></article>', "k\nr\nl"),
+    ('<article>k<div class="site-footer">f</div><div class="ad-slot">g</div></article>', "k"),
+    ('<main>m<article class="comment">no</article></main><div class="comments"><article>c</article></div>', "m"),
+    ('<div class="nav-menu">n</div><nav><article>no</article></nav>t', "t"),
+    ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
+    ("<article><p>" + "long text " * 50000 + "</article>", ("long text " * 50000).strip())])
+def test_names_drop_neither_an_article_nor_what_is_around_it(page, text):
+    assert H.main_text(page) == text
+
+
+def test_deep_places_and_long_names_stay_apart_and_short():
+    deep = [e[1] for e in H.walk("<div>" * 500) if e[0] == "open"]
+    assert len(set(deep)) == 500 and max(map(len, deep)) < 64 * 4 + 32
+    long = [[e[1] for e in H.walk(f"<div class='{'x' * 5000}{c}'>") if e[0] == "open"][0] for c in "ab"]
+    assert long[0] != long[1] and max(map(len, long)) < 50
+
+
+def mixed_pages():
+    """Three templates on one host: articles, stories and notes."""
+    rows = []
+    for k in range(30):
+        body = (f"<article><p>item {k}</p></article>",
+                f"<div class='story'><p>story {k} is told</p><b>Always so</b></div><div class='low'>by {k}</div>",
+                f"<section class='note'><i>note {k} of a hand</i></section><div class='low'>by {k}</div>")[k % 3]
+        rows.append((k, "https://Mix.org/x", f"<html><body><div class='top'>Name of site</div>{body}</body></html>"))
+    return rows
+
+
+def test_equivalence_classes_equal_occurrence_vectors(spark):
+    rows = mixed_pages()
+    vectors: dict[str, list] = {}
+    for k, (_, _, page) in enumerate(rows):
+        for e in H.walk(page):
+            if e[0] == "open":
+                vectors.setdefault(e[1], [0] * len(rows))[k] += 1
+    want: dict[tuple, set] = {}
+    for place, v in vectors.items():
+        want.setdefault(tuple(v), set()).add(place)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    got: dict[int, set] = {}
+    for r in H.equivalence_classes(pages).collect():
+        got.setdefault(r["sig"], set()).add(r["place"])
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+@pytest.mark.parametrize("limit", [H.BROADCAST_BYTES, -1])
+def test_pages_of_several_templates_are_read_by_their_own(spark, monkeypatch, limit):
+    monkeypatch.setattr(H, "BROADCAST_BYTES", limit)
+    pages = spark.createDataFrame(mixed_pages(), "page_id long, url string, html string")
+    out = {r["page_id"]: r["text"] for r in H.extract(pages).collect()}
+    assert out == {k: (f"item {k}", f"story {k} is told", f"note {k} of a hand")[k % 3] for k in range(30)}
+
+
 def test_joined_templates_give_the_same_rows(spark, monkeypatch):
     pages = spark.read.parquet(f"{SF_SMALL}/pages.parquet")
     want = sorted(map(tuple, H.extract(pages).collect()))
