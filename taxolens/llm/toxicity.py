@@ -1,15 +1,21 @@
 """Toxic passages by maximum-scoring segments.
 
-Features are words and word prefixes. A feature's weight is the log ratio of the rates at which toxic and clean
-labelled documents hold it, smoothed by a Dirichlet prior of ``PRIOR`` pseudo documents that are split as its next
-shorter prefix is (the shortest as the classes are), so rare forms lean on their stem. A feature enters the model if
-its weight is at least ``MIN_WEIGHT`` and ``MIN_Z`` standard errors above 0, or if it corrects a prefix that did. A
-word has the weight of its longest feature in the model, once for each document since rates are of documents; any
-other word has a small negative weight, so a random clean text drifts down. All maximal scoring segments of a document
-are found in one linear scan over its scored words. A segment of score S in n words is expected ``K n exp(-S)`` times
-by chance (the weights are log ratios of rates, so the decay rate is 1); segments below ``MAX_E`` are the significant
-passages. A document's statistic is minus the log of that expectation, for its strongest passage and a tenth of it for
-the others, and a logistic curve fitted on the labelled documents turns it into a score from 0 to 1.
+Features are words and word prefixes. A feature's weight is the log ratio of its rates among the words of toxic and of
+clean labelled documents, smoothed by a Dirichlet prior of ``PRIOR`` pseudo words that are split as its next shorter
+prefix is (the shortest as the classes are), so rare forms lean on their stem, and by half a word for each class.
+A word that directly follows itself is a stutter, which tells nothing new, and counts as no occurrence. A feature enters the model if its
+weight is at least ``MIN_WEIGHT`` and its rate among documents, where a repeated word counts once, is ``MIN_Z``
+standard errors above that of clean ones, or if it corrects a prefix that did. Every occurrence of a word has the
+weight of its longest feature in the model; the words without one have together the log ratio of their rates
+(``rest``), which is negative since the model's features take more room in toxic texts, so a clean text drifts down.
+All maximal scoring segments of a document are found in one linear scan over its scored words.
+
+The best segment of a clean text of n words is taken to follow the extreme-value law: scores of at least S are
+expected ``K n exp(-lambda S)`` times. ``lambda`` and ``K`` are fitted by maximum likelihood to the best segments of
+the clean labelled documents, those without a segment as censored at 0. Segments below an expectation of ``MAX_E``
+are the significant passages. A document's statistic is minus the log of that expectation, for its strongest passage
+and a tenth of it for the others, and a logistic curve fitted on the labelled documents turns it into a score from 0
+to 1.
 
 Defined cases: null and empty texts have no passage and get the score of the lowest statistic; null ids are scored
 and never learned from; labels other than 0 and 1 are ignored, several labels of an id count as their largest;
@@ -23,6 +29,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -40,9 +47,11 @@ MIN_Z = 3.0
 MIN_WEIGHT = 1.0
 MIN_TOXIC_DOCS = 3
 PREFIXES = (4, 5, 6, 7, 8)
-CHANCE = 0.1
+MAX_REST = -1e-3
+RATES = (0.05, 5.0)
 MAX_E = 0.05
-LOWEST = -6.0
+#: Statistic of a text without a segment: one as good is expected by chance.
+LOWEST = 0.0
 SPAN = 15.0
 CUT = 0.7
 
@@ -50,7 +59,9 @@ CUT = 0.7
 @dataclass
 class ToxicModel:
     weights: dict[str, float] = field(default_factory=dict)
-    rest: float = -0.05
+    rest: float = MAX_REST
+    rate: float = 1.0
+    chance: float = 0.1
     slope: float = 0.0
     offset: float = 0.0
 
@@ -100,94 +111,151 @@ def segments(at: np.ndarray, scores: np.ndarray, rest: float) -> list[tuple[int,
     return [(int(a), int(b), hi - lo) for a, b, lo, hi in out]
 
 
-def chance_log(score: float, n_words: int) -> float:
+def chance_log(score: float, n_words: int, model: ToxicModel) -> float:
     """Log of the number of segments of that score expected by chance in a clean text of n words."""
-    return math.log(CHANCE * max(1, n_words)) - score
+    return math.log(model.chance * max(1, n_words)) - model.rate * score
 
 
 def scored_segments(text: str, cache: WordWeights, rest: float) -> tuple[list[tuple[int, int, float]], int]:
-    """All maximal scoring segments of a text, and its number of words."""
+    """All maximal scoring segments of a text, every occurrence of a word scored, and its number of words."""
     words = lower_words(text)
     w = np.fromiter(map(cache.__getitem__, words), np.float64, len(words))
-    at = np.flatnonzero(w)
-    if not len(at):
-        return [], len(words)
-    seen: set[bytes] = set()
-    first = [p for p in at.tolist() if not (words[p] in seen or seen.add(words[p]))]
-    return segments(np.array(first), w[first], rest), len(words)
+    at = np.array([p for p in np.flatnonzero(w).tolist() if not p or words[p] != words[p - 1]], int)
+    return segments(at, w[at], rest), len(words)
 
 
-def statistic(found: list[tuple[int, int, float]], n_words: int) -> float:
+def statistic(found: list[tuple[int, int, float]], n_words: int, model: ToxicModel) -> float:
     """Minus the log chance expectation of the strongest passage and a tenth of the other significant ones', bent
     to stay within ``SPAN``."""
-    logs = sorted(-chance_log(s, n_words) for _, _, s in found)
+    logs = sorted(-chance_log(s, n_words, model) for _, _, s in found)
     if not logs:
         return LOWEST
     total = logs[-1] + 0.1 * sum(x for x in logs[:-1] if x >= -math.log(MAX_E))
     return max(LOWEST, SPAN * math.tanh(total / SPAN))
 
 
-def weigh(y1: dict[str, int], y0: dict[str, int], n1: int, n0: int, max_features: int) -> dict[str, float]:
-    """Weights of the features of a model from document counts in toxic (``y1``) and clean (``y0``) documents."""
-    share, weight, z = {}, {}, {}
+def extreme_value_fit(bins: list[tuple[float, int, int]]) -> tuple[float, float]:
+    """``(lambda, K)`` of the most likely extreme-value law, from ``(best score, texts, their words)`` of clean texts.
+
+    A best score of 0 stands for a text without a segment, which is censored there. For a given lambda the best K is
+    the number of segments by the sum of ``n exp(-lambda S)``, so only lambda is searched, within ``RATES``.
+    """
+    s, m, n = (np.array(c, float) for c in zip(*bins)) if bins else (np.zeros(0),) * 3
+    hit = s > 0
+    if not m[hit].sum():
+        # no chance segment was seen: half of one is supposed
+        return 1.0, 0.5 / max(1.0, n.sum())
+
+    def mass(rate: float) -> float:
+        return float(n[~hit].sum() + (n[hit] * np.exp(-rate * s[hit])).sum())
+
+    rates = np.exp(np.linspace(*np.log(RATES), 400))
+    count, total = m[hit].sum(), (m[hit] * s[hit]).sum()
+    like = [count * math.log(r * count / mass(r)) - r * total for r in rates]
+    rate = float(rates[int(np.argmax(like))])
+    return rate, float(count / mass(rate))
+
+
+#: Documents that hold a feature and its occurrences, in one class.
+Counts = tuple[int, int]
+
+
+def next_prefix(feature: str, known) -> str | None:
+    """The longest proper prefix feature of a feature that is among the known ones."""
+    stem = feature.removesuffix("*")
+    return next((p for k in reversed(PREFIXES) if k < len(stem) and (p := stem[:k] + "*") in known), None)
+
+
+def weigh(y1: dict[str, Counts], y0: dict[str, Counts], all1: Counts, all0: Counts,
+          max_features: int) -> tuple[dict[str, float], float]:
+    """Weights of the features of a model, and of any other word, from counts in toxic (``y1``) and clean (``y0``)
+    texts; ``all1`` and ``all0`` are the documents and words of the classes."""
+    (n1, t1), (n0, t0) = all1, all0
+    share, words, weight, z = {}, {}, {}, {}
     for f in sorted(y1, key=lambda f: (f.endswith("*") is False, len(f))):
-        stem = f[:-1] if f.endswith("*") else f
-        above = next((p for k in reversed(PREFIXES) if k < len(stem) and (p := stem[:k] + "*") in share), None)
+        above = next_prefix(f, share)
+        (d1, c1), (d0, c0) = y1[f], y0.get(f, (0, 0))
         q = share[above] if above else n1 / (n1 + n0)
-        a, b = y1[f] + PRIOR * q, y0.get(f, 0) + PRIOR * (1 - q)
+        a, b = d1 + PRIOR * q, d0 + PRIOR * (1 - q)
         share[f] = a / (a + b)
-        weight[f] = math.log(a / n1) - math.log(b / n0)
-        z[f] = weight[f] / math.sqrt(1 / a + 1 / b)
+        z[f] = (math.log(a / n1) - math.log(b / n0)) / math.sqrt(1 / a + 1 / b)
+        q = words[above] if above else t1 / (t1 + t0)
+        a, b = c1 + PRIOR * q + 0.5, c0 + PRIOR * (1 - q) + 0.5
+        words[f] = a / (a + b)
+        weight[f] = math.log(a / t1) - math.log(b / t0)
         strong = weight[f] >= MIN_WEIGHT and z[f] >= MIN_Z
         corrects = above in weight and z[above] > 0 and abs(weight[f] - weight[above]) > 0.5
         if not strong and not corrects:
             z[f] = 0.0
     best = sorted((f for f in weight if z[f] != 0.0), key=lambda f: (-abs(z[f]), f))[:max_features]
-    return {f: weight[f] for f in best}
+    model = {f: weight[f] for f in best if weight[f] != 0.0}
+    # a feature below no other of the model holds all occurrences of those below it
+    top = [f for f in model if next_prefix(f, model) is None]
+    rest1 = t1 - sum(y1[f][1] for f in top) + PRIOR
+    rest0 = t0 - sum(y0.get(f, (0, 0))[1] for f in top) + PRIOR
+    rest = math.log(rest1 / (t1 + PRIOR)) - math.log(rest0 / (t0 + PRIOR))
+    return model, min(MAX_REST, rest)
 
 
 def _count_features(only: set[str] | None):
-    """Documents of each class that hold a feature: ``(feature, toxic, n)`` counted within a task."""
+    """Documents and occurrences of a feature in each class: ``(feature, toxic, n, c)`` counted within a task."""
     def run(batches):
-        counts = {0: Counter(), 1: Counter()}
+        docs, found = {0: Counter(), 1: Counter()}, {0: Counter(), 1: Counter()}
 
         def rows():
-            out = [(f, t, n) for t, c in counts.items() for f, n in c.items()]
-            for c in counts.values():
+            out = [(f, t, n, found[t][f]) for t, c in docs.items() for f, n in c.items()]
+            for c in (*docs.values(), *found.values()):
                 c.clear()
-            return pd.DataFrame(out, columns=["feature", "toxic", "n"])
+            return pd.DataFrame(out, columns=["feature", "toxic", "n", "c"])
 
         for pdf in batches:
             for text, toxic in zip(pdf["text"], pdf["toxic"]):
-                fs = {f for w in set(lower_words(text)) for f in features(w.decode("utf-8", "replace"))}
-                counts[int(toxic)].update(fs if only is None else fs & only)
-                if sum(map(len, counts.values())) > 500_000:
+                here: Counter = Counter()
+                for w, c in Counter(w for w, _ in groupby(lower_words(text))).items():
+                    for f in features(w.decode("utf-8", "replace")):
+                        if only is None or f in only:
+                            here[f] += c
+                docs[int(toxic)].update(here.keys())
+                found[int(toxic)].update(here)
+                if sum(map(len, docs.values())) > 500_000:
                     yield rows()
         yield rows()
     return run
 
 
+def _count_words(batches):
+    for pdf in batches:
+        yield pd.DataFrame({"toxic": pdf["toxic"], "words": [sum(1 for _ in groupby(lower_words(t)))
+                                                            for t in pdf["text"]]})
+
+
 def learn(docs: DataFrame, labels: DataFrame, train: Column, max_labelled: int = MAX_LABELLED,
           max_features: int = MAX_FEATURES) -> ToxicModel:
     """Weights and calibration from the labelled documents that ``train`` (over ``doc_id``) selects."""
     rows = keep(labelled(docs, labels, "toxic", train, max_labelled))
-    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
+    sizes = {r["toxic"]: (r["n"], r["w"]) for r in
+             rows.select("text", "toxic").mapInPandas(_count_words, "toxic int, words long")
+             .groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("w")).collect()}
+    (n1, w1), (n0, w0) = sizes.get(1, (0, 0)), sizes.get(0, (0, 0))
     model = ToxicModel()
     if not n1 or not n0:
         model.offset = math.log((n1 + 1) / (n0 + 1))
         return model
-    schema = "feature string, toxic int, n long"
+    schema = "feature string, toxic int, n long, c long"
+    sums = (F.sum("n").alias("n"), F.sum("c").alias("c"))
     seen = (rows.filter("toxic = 1").select("text", "toxic").mapInPandas(_count_features(None), schema)
-            .groupBy("feature").agg(F.sum("n").alias("y1")).filter(F.col("y1") >= MIN_TOXIC_DOCS)
-            .orderBy(F.col("y1").desc(), "feature").limit(5 * max_features).collect())
-    y1 = {r["feature"]: r["y1"] for r in seen}
-    y0 = {r["feature"]: r["y0"] for r in
+            .groupBy("feature").agg(*sums).filter(F.col("n") >= MIN_TOXIC_DOCS)
+            .orderBy(F.col("n").desc(), "feature").limit(5 * max_features).collect())
+    y1 = {r["feature"]: (r["n"], r["c"]) for r in seen}
+    y0 = {r["feature"]: (r["n"], r["c"]) for r in
           rows.filter("toxic = 0").select("text", "toxic").mapInPandas(_count_features(set(y1)), schema)
-          .groupBy("feature").agg(F.sum("n").alias("y0")).collect()}
-    model.weights = weigh(y1, y0, n1, n0, max_features)
-    bins = _calibration(rows, model)
-    model.slope, model.offset = logistic_on_bins(bins)
+          .groupBy("feature").agg(*sums).collect()}
+    model.weights, model.rest = weigh(y1, y0, (n1, max(1, w1)), (n0, max(1, w0)), max_features)
+    best = keep(passages(rows.select("doc_id", "text", "toxic"), model, ["toxic"]).select("toxic", "best", "n_words"))
+    clean = (best.filter("toxic = 0").groupBy(F.round("best", 1).alias("s"))
+             .agg(F.count(F.lit(1)).alias("n"), F.sum(F.greatest("n_words", F.lit(1))).alias("w")).collect())
+    model.rate, model.chance = extreme_value_fit([(r["s"], r["n"], r["w"]) for r in clean])
+    model.slope, model.offset = logistic_on_bins(_calibration(rows, model))
     return model
 
 
@@ -200,31 +268,33 @@ def _calibration(rows: DataFrame, model: ToxicModel) -> list[tuple[float, int, i
 
 
 def passages(docs: DataFrame, model: ToxicModel, carry: list[str] | None = None) -> DataFrame:
-    """``doc_id, stat, n_words, spans`` (and the columns ``carry``) of every row.
+    """``doc_id, stat, best, n_words, spans`` (and the columns ``carry``) of every row.
 
+    ``best`` is the score of the best segment (0: none).
     ``spans`` are the significant passages: first and last word, log-odds, log of the chance expectation.
     """
     sc = docs.sparkSession.sparkContext
-    weights = sc.broadcast(model.weights)
-    rest = model.rest
+    sent = sc.broadcast(model)
     carry = carry or []
 
     def run(batches):
-        cache, limit = WordWeights(weights.value), math.log(MAX_E)
+        fitted = sent.value
+        cache, limit = WordWeights(fitted.weights), math.log(MAX_E)
         for pdf in batches:
-            stats, counts, spans = [], [], []
+            stats, best, counts, spans = [], [], [], []
             for text in pdf["text"]:
-                found, n = scored_segments(text, cache, rest)
-                stats.append(statistic(found, n))
+                found, n = scored_segments(text, cache, fitted.rest)
+                stats.append(statistic(found, n, fitted))
+                best.append(max((s for _, _, s in found), default=0.0))
                 counts.append(n)
-                spans.append([(a, b, s, c) for a, b, s in found if (c := chance_log(s, n)) <= limit])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], **{c: pdf[c] for c in carry}, "stat": stats,
+                spans.append([(a, b, s, c) for a, b, s in found if (c := chance_log(s, n, fitted)) <= limit])
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], **{c: pdf[c] for c in carry}, "stat": stats, "best": best,
                                 "n_words": counts, "spans": spans})
 
     kinds = dict(docs.dtypes)
     extra = "".join(f"{c} {kinds[c]}, " for c in carry)
     return docs.select("doc_id", whole_text(), *carry).mapInPandas(
-        run, f"doc_id {kinds['doc_id']}, {extra}stat double, n_words long, "
+        run, f"doc_id {kinds['doc_id']}, {extra}stat double, best double, n_words long, "
              "spans array<struct<first:long, last:long, score:double, log_chance:double>>")
 
 
@@ -237,14 +307,14 @@ def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: ToxicModel, cut: float = CUT) -> DataFrame:
     """The rows of ``docs`` whose own text scores below ``cut``."""
-    weights = docs.sparkSession.sparkContext.broadcast(model.weights)
-    rest, slope, offset = model.rest, model.slope, model.offset
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        cache = WordWeights(weights.value)
+        fitted = sent.value
+        cache = WordWeights(fitted.weights)
         for texts in parts:
-            stat = np.array([statistic(*scored_segments(t, cache, rest)) for t in texts], float)
-            yield pd.Series(squash(slope * stat + offset))
+            stat = np.array([statistic(*scored_segments(t, cache, fitted.rest), fitted) for t in texts], float)
+            yield pd.Series(squash(fitted.slope * stat + fitted.offset))
 
     return docs.filter(scored(whole_text()) < cut)

@@ -110,3 +110,50 @@ def test_passages_name_the_toxic_words(spark, make_docs):
     assert out[0]["score"] > 0.7 > 0.3 > out[1]["score"]
     assert [(s["first"], s["last"]) for s in out[0]["spans"]] == [(6, 8)]
     assert out[900]["score"] > out[1]["score"]
+
+
+def test_every_occurrence_of_a_text_is_scored():
+    """Segments of texts against the recursive definition over the weights of all words, stutters as the rest."""
+    weights = {"zork": 2.0, "grub": 1.25, "vil*": 0.75, "vilest": 3.0, "mild": -1.5}
+    cache, rest = T.WordWeights(weights), -0.2
+    word = {**weights, "vilest": 3.0, "vile": 0.0, "plain": 0.0, "so": 0.0}
+    rng = np.random.default_rng(8)
+    names = ["zork", "grub", "vilest", "mild", "plain", "so"]
+    for _ in range(200):
+        words = [names[k] for k in rng.integers(0, len(names), rng.integers(0, 30))]
+        flat = [rest if not word[w] or (i and words[i - 1] == w) else word[w] for i, w in enumerate(words)]
+        found, n = T.scored_segments(" ".join(words), cache, rest)
+        assert n == len(words) and [(a, b) for a, b, _ in found] == brute_segments(flat)
+        assert all(abs(s - sum(flat[a:b + 1])) < 1e-9 for a, b, s in found)
+    assert T.scored_segments("", cache, rest) == ([], 0)
+
+
+def test_a_dense_passage_after_the_same_words_scattered_is_found():
+    model = T.ToxicModel({"zork": 4.0, "grub": 4.0, "mump": 4.0}, -0.05, 1.0, 0.1)
+    plain = "a plain word stands here and goes on so".split() * 9
+    text = " ".join(["zork", *plain, "grub", *plain, "mump", *plain, "zork grub mump"])
+    found, n = T.scored_segments(text, T.WordWeights(model.weights), model.rest)
+    best = max(found, key=lambda f: f[2])
+    assert best[:2] == (n - 3, n - 1) and abs(best[2] - 12.0) < 1e-9
+    assert T.chance_log(best[2], n, model) < np.log(T.MAX_E)
+
+
+def test_extreme_values_are_fitted():
+    rng = np.random.default_rng(5)
+    words = rng.integers(50, 400, 20000)
+    rate, chance = 0.7, 0.004
+    best = np.maximum(0.0, (np.log(chance * words) - np.log(rng.exponential(size=len(words)))) / rate)
+    got = T.extreme_value_fit([(float(s), 1, int(n)) for s, n in zip(best, words)])
+    assert abs(got[0] - rate) < 0.03 and abs(got[1] - chance) < 0.0004
+    assert T.extreme_value_fit([]) == (1.0, 0.5) and T.extreme_value_fit([(0.0, 3, 10)]) == (1.0, 0.05)
+
+
+def test_rest_and_weights_follow_token_counts():
+    y1 = {"vile": (30, 90), "vilest": (20, 40), "vile*": (20, 40), "the": (100, 900)}
+    y0 = {"vile": (1, 1), "the": (1000, 9000)}
+    weights, rest = T.weigh(y1, y0, (100, 2000), (1000, 20000), 10)
+    assert {"vile", "vile*"} <= weights.keys() and "the" not in weights
+    assert weights["vile"] > np.log(90 / 2000) - np.log(10 / 20000)
+    # "vilest" lies below "vile*", so its occurrences are not taken off twice
+    assert abs(rest - (np.log((2000 - 130 + T.PRIOR) / (2000 + T.PRIOR)) -
+                       np.log((20000 - 1 + T.PRIOR) / (20000 + T.PRIOR)))) < 1e-9
