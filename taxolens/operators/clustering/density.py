@@ -22,63 +22,73 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxolens.operators.neighbors import (block_cogroup, connected_components, dense_index, n_blocks_for,
-                                          pair_distances, stack)
+from taxolens.operators.neighbors import (SquaredTiles, block_cogroup, connected_components, dense_index, k_least,
+                                          n_blocks, stack)
 from taxolens.schema import CLUSTER, ROW_ID
 from taxolens.session import cut_lineage
 
 
 def core_distances(df: DataFrame, min_samples: int = 5, features: str = "features",
-                   block_rows: int = 2048) -> DataFrame:
+                   block_rows: int | None = None) -> DataFrame:
     """``(row_id, core_dist)``: distance to the min_samples-th nearest row, self included."""
     k = min_samples
     n = df.count()
 
     def kernel(lp, rp):
-        D = pair_distances(stack(lp[features]), stack(rp[features]))
-        kk = min(k, D.shape[1])
-        part = np.partition(D, kk - 1, axis=1)[:, :kk]
-        return pd.DataFrame({ROW_ID: lp[ROW_ID].to_numpy(), "d": [np.sort(r).tolist() for r in part]})
+        best = k_least(stack(lp[features]), stack(rp[features]), k)
+        return pd.DataFrame({ROW_ID: lp[ROW_ID].to_numpy(), "d": best.tolist()})
 
     base = df.select(ROW_ID, features)
-    cand = block_cogroup(base, base, n_blocks_for(n, block_rows), kernel, f"{ROW_ID} long, d array<double>")
+    cand = block_cogroup(base, base, n_blocks(base, n, features, block_rows), kernel, f"{ROW_ID} long, d array<double>")
     merged = cand.groupBy(ROW_ID).agg(F.array_sort(F.flatten(F.collect_list("d"))).alias("d"))
     return merged.select(ROW_ID, F.element_at("d", k).alias("core_dist"))
 
 
 def _mr_kernel(features):
     def kernel(lp, rp):
-        D = pair_distances(stack(lp[features]), stack(rp[features]))
-        M = np.maximum(D, np.maximum(lp["core_dist"].to_numpy()[:, None], rp["core_dist"].to_numpy()[None, :]))
-        same = lp["comp"].to_numpy()[:, None] == rp["comp"].to_numpy()[None, :]
-        M = np.where(same, np.inf, M)
-        rid = rp[ROW_ID].to_numpy()
-        lid = lp[ROW_ID].to_numpy()
-        # lexicographic tie-break on the partner id: smallest id among minima
-        best = M.min(axis=1)
-        cand = np.where(M == best[:, None], rid[None, :], np.iinfo(np.int64).max)
-        j = cand.min(axis=1)
+        a, b = stack(lp[features]), stack(rp[features])
+        lid, rid, lcore, rcore, lcomp, rcomp = (
+            p[c].to_numpy() for c in (ROW_ID, "core_dist", "comp") for p in (lp, rp))
+        tiles = SquaredTiles(a, b)
+        # cores are distances of other rows too, which may be farther apart than those here
+        slack = tiles.tol + 8 * np.finfo(float).eps * max(lcore.max(), rcore.max()) ** 2
+        best, nbr = np.full(len(a), np.inf), np.full(len(a), np.iinfo(np.int64).max)
+        for i in tiles.rows_of(len(a)):
+            for j in tiles.rows_of(len(b)):
+                M = np.maximum(tiles.tile(i, j), (lcore[i] ** 2)[:, None])
+                np.maximum(M, (rcore[j] ** 2)[None, :], out=M)
+                M[lcomp[i][:, None] == rcomp[j][None, :]] = np.inf
+                least = np.minimum(M.min(axis=1), best[i] ** 2)
+                at, to = np.nonzero(M <= np.where(np.isfinite(least), least + 2 * slack, -1.0)[:, None])
+                w = np.maximum(tiles.exact(i, j, at, to), np.maximum(lcore[i][at], rcore[j][to]))
+                # of equal ones the least id
+                order = np.lexsort((rid[j][to], w, at))
+                row, first = np.unique(at[order], return_index=True)
+                w, other, row = w[order][first], rid[j][to][order][first], row + i.start
+                new = (w < best[row]) | ((w == best[row]) & (other < nbr[row]))
+                best[row[new]], nbr[row[new]] = w[new], other[new]
         ok = np.isfinite(best)
-        return pd.DataFrame({ROW_ID: lid[ok], "comp": lp["comp"].to_numpy()[ok], "nbr": j[ok], "w": best[ok]})
+        return pd.DataFrame({ROW_ID: lid[ok], "comp": lcomp[ok], "nbr": nbr[ok], "w": best[ok]})
     return kernel
 
 
-def mr_nearest(df: DataFrame, core: DataFrame, features: str = "features", block_rows: int = 2048) -> DataFrame:
+def mr_nearest(df: DataFrame, core: DataFrame, features: str = "features",
+               block_rows: int | None = None) -> DataFrame:
     """``(row_id, nbr, w)``: nearest other row under mutual reachability."""
-    base = df.select(ROW_ID, features).join(core, ROW_ID).withColumn("comp", F.col(ROW_ID))
+    base = cut_lineage(df.select(ROW_ID, features).join(core, ROW_ID).withColumn("comp", F.col(ROW_ID)))
     n = base.count()
-    cand = block_cogroup(base, base, n_blocks_for(n, block_rows), _mr_kernel(features),
+    cand = block_cogroup(base, base, n_blocks(base, n, features, block_rows), _mr_kernel(features),
                          f"{ROW_ID} long, comp long, nbr long, w double")
     best = cand.groupBy(ROW_ID).agg(F.min(F.struct("w", "nbr")).alias("b"))
     return best.select(ROW_ID, F.col("b.nbr").alias("nbr"), F.col("b.w").alias("w"))
 
 
-def boruvka_mst(df: DataFrame, core: DataFrame, features: str = "features", block_rows: int = 2048,
+def boruvka_mst(df: DataFrame, core: DataFrame, features: str = "features", block_rows: int | None = None,
                 max_rounds: int = 64) -> DataFrame:
     """``(src, dst, w)`` minimum spanning tree edges of the mutual-reachability graph."""
     base = cut_lineage(df.select(ROW_ID, features).join(core, ROW_ID))
     n = base.count()
-    nb = n_blocks_for(n, block_rows)
+    nb = n_blocks(base, n, features, block_rows)
     comp = base.select(ROW_ID, F.col(ROW_ID).alias("comp"))
     mst = None
     n_comp = n
@@ -105,7 +115,7 @@ def boruvka_mst(df: DataFrame, core: DataFrame, features: str = "features", bloc
 
 
 def density_sweep(df: DataFrame, eps_list: list[float], min_samples: int = 5, features: str = "features",
-                  block_rows: int = 2048) -> DataFrame:
+                  block_rows: int | None = None) -> DataFrame:
     """``(eps, row_id, cluster)``; cluster numbers follow the smallest core row_id."""
     core = cut_lineage(core_distances(df, min_samples, features, block_rows))
     mst = boruvka_mst(df, core, features, block_rows)
