@@ -32,6 +32,8 @@ from taxolens.session import cut_lineage
 CF_SCHEMA = "first long, n double, ls array<double>, ss double"
 #: Entries for which there is one seed, and entries that meet the seeds of their top cell in one task.
 CELL_ROWS, SALT_ROWS = 4096, 65_536
+#: Entries next to a leader that are ordered at first.
+NEAR_ROWS = 32
 
 
 def cf_entries(df: DataFrame, features: str = "features") -> DataFrame:
@@ -93,12 +95,19 @@ def absorb(first: np.ndarray, n: np.ndarray, ls: np.ndarray, ss: np.ndarray, thr
     center, left, out = ls / n[:, None], np.arange(len(n)), []
     while len(left):
         d = ((center[left] - center[left[0]]) ** 2).sum(axis=1)
-        order = left[np.argsort(d, kind="stable")]
-        # the leader first, also among equal distances
-        order = np.concatenate([left[:1], order[order != left[0]]])
-        size, run_ls, run_ss = np.cumsum(n[order]), np.cumsum(ls[order], axis=0), np.cumsum(ss[order])
-        wide = run_ss / size - ((run_ls / size[:, None]) ** 2).sum(axis=1) > threshold * threshold + 1e-12
-        wide[0] = False
+        # most leaders end after a few entries: only the nearest are ordered, and more of them if none was too wide
+        most = NEAR_ROWS
+        while True:
+            near = np.flatnonzero(d <= np.partition(d, most - 1)[most - 1]) if most < len(d) else np.arange(len(d))
+            order = left[near[np.argsort(d[near], kind="stable")]]
+            # the leader first, also among equal distances
+            order = np.concatenate([left[:1], order[order != left[0]]])
+            size, run_ls, run_ss = np.cumsum(n[order]), np.cumsum(ls[order], axis=0), np.cumsum(ss[order])
+            wide = run_ss / size - ((run_ls / size[:, None]) ** 2).sum(axis=1) > threshold * threshold + 1e-12
+            wide[0] = False
+            if wide.any() or len(near) == len(d):
+                break
+            most *= 8
         k = int(wide.argmax()) if wide.any() else len(order)
         own = order[:k]
         out.append((int(first[own].min()), float(size[k - 1]), run_ls[k - 1].tolist(), float(run_ss[k - 1])))

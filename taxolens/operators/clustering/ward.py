@@ -18,8 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxolens.operators.neighbors import (block_cogroup, connected_components, dense_index, n_blocks_for,
-                                          pair_distances, stack)
+from taxolens.operators.neighbors import (block_cogroup, connected_components, dense_index, least_cost,
+                                          n_blocks, pair_distances, stack)
 from taxolens.schema import CLUSTER, ROW_ID, SEED
 from taxolens.session import cut_lineage
 
@@ -28,22 +28,19 @@ _NEAREST = f"{ROW_ID} long, d double, other long"
 
 def _nearest_kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """Nearest other cluster of every left one; of equal ones the least id."""
-    right = right.sort_values(ROW_ID)
-    a, b = left["n"].to_numpy()[:, None], right["n"].to_numpy()[None, :]
-    cost = (a * b) / (a + b) * pair_distances(stack(left["mean"]), stack(right["mean"])) ** 2
-    ids = right[ROW_ID].to_numpy()
-    cost[left[ROW_ID].to_numpy()[:, None] == ids[None, :]] = np.inf
-    j = cost.argmin(axis=1)
-    best = cost[np.arange(len(left)), j]
+    ids = left[ROW_ID].to_numpy()
+    best, other, _ = least_cost(stack(left["mean"]), stack(right["mean"]), right[ROW_ID].to_numpy(), ids,
+                                (left["n"].to_numpy(float), right["n"].to_numpy(float)))
     ok = np.isfinite(best)
-    return pd.DataFrame({ROW_ID: left[ROW_ID].to_numpy()[ok], "d": best[ok], "other": ids[j][ok]})
+    return pd.DataFrame({ROW_ID: ids[ok], "d": best[ok], "other": other[ok]})
 
 
 def _with_neighbours(active: DataFrame, n_active: int, block_rows: int) -> DataFrame:
     """``active`` with ``nn`` and ``d`` of the clusters that lack them."""
     body = active.select(F.col("id").alias(ROW_ID), "n", "mean")
     found = block_cogroup(active.filter("nn is null").select(F.col("id").alias(ROW_ID), "n", "mean"), body,
-                          n_blocks_for(n_active, block_rows), _nearest_kernel, _NEAREST)
+                          n_blocks(body, n_active, "mean", None if block_rows >= 2048 else block_rows), _nearest_kernel,
+                          _NEAREST)
     best = found.groupBy(ROW_ID).agg(F.min(F.struct("d", "other")).alias("b"))
     return cut_lineage(active.join(best, active["id"] == best[ROW_ID], "left").select(
         "id", "n", "mean", "h", F.coalesce("nn", "b.other").alias("nn"), F.coalesce("d", "b.d").alias("d")))
