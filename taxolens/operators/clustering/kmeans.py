@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from taxolens.schema import CLUSTER, ROW_ID, SEED
 
 
+#: Rows of a partition from which they are dealt to more cores.
+PARTITION_ROWS = 32_768
+
+
 def _vec(df: DataFrame, features: str) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
     return df.select(ROW_ID, array_to_vector(features).alias("_v"))
@@ -18,7 +22,11 @@ def kmeans(df: DataFrame, n_clusters: int = 50, n_init: int = 10, seed: int = SE
     """k-means|| init, ``n_init`` seeds (seed..seed+n_init-1), keep the lowest cost."""
     from pyspark.ml.clustering import KMeans
 
-    data = _vec(df, features).persist()
+    data = _vec(df, features)
+    cores, parts = df.sparkSession.sparkContext.defaultParallelism, data.rdd.getNumPartitions()
+    if parts < cores and data.count() > PARTITION_ROWS * parts:  # a file of many rows may be a single partition
+        data = data.repartition(cores, ROW_ID)
+    data = data.persist()
     best = None
     for s in range(seed, seed + n_init):
         model = KMeans(k=n_clusters, seed=s, featuresCol="_v", predictionCol=CLUSTER,
