@@ -103,30 +103,36 @@ _WORKER = _Worker()
 
 
 class WordCache(dict):
-    """Results by word, made when missing, kept while the worker's caches have room for them."""
+    """Results by word, made when missing, kept while the worker's caches have room for them and this one holds less
+    than ``most`` bytes.
 
-    def __init__(self, make: Callable | None = None):
+    A cache belongs to a model of the stage: taking the model at the start of a task empties those of other stages.
+    """
+
+    def __init__(self, make: Callable | None = None, most: int = CACHE_BYTES):
         super().__init__()
-        self.make, self.used = make, 0
+        self.make, self.used, self.most = make, 0, most
         _WORKER.caches[id(self)] = self
 
     def __missing__(self, key):
         value = self.make(key)
-        self.add({key: value})
+        self.keep(key, value)
         return value
 
-    def add(self, results: dict) -> None:
-        """Keep results while there is room."""
-        _WORKER.turn()
-        for key, value in results.items():
-            # a table slot and the two objects: their heads, their bytes (four for a character at most)
-            size = 200 + 4 * len(key) + (len(value) if isinstance(value, bytes) else 0)
-            if size > _WORKER.left:
-                return
+    def keep(self, key, value) -> None:
+        """Keep a result if there is room."""
+        # a table slot and the two objects: their heads, their bytes (four for a character at most)
+        size = 200 + 4 * len(key) + (len(value) if isinstance(value, bytes) else 0)
+        if size <= _WORKER.left and size <= self.most - self.used:
             _WORKER.left -= size
             self.used += size
             self[key] = value
 
+    def add(self, results: dict) -> None:
+        """Keep results while there is room."""
+        for key, value in results.items():
+            self.keep(key, value)
+
     def clear(self) -> None:
         super().clear()
         _WORKER.left += self.used

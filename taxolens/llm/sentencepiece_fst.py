@@ -8,6 +8,7 @@ writing its UTF-8 byte pieces. Composition with an input is an acyclic graph ove
 its shortest path in the tropical semiring: arc weights are minus the piece scores for a unigram model, and 1 for a
 merge-ranked one, where exactly one path is accepted, so its ids equal those of the public library on the same file.
 
+An automaton over the beginnings of pieces (Aho-Corasick) names the arcs that end at a position in one step a character.
 No piece crosses certain pairs of characters (derived from the vocabulary: between white space and what follows a
 word, and between word characters and others), so the graph falls apart there; a worker composes each distinct part
 once and reads it from a bounded cache afterwards. Decoding maps ids to the bytes of their pieces, joins them, turns
@@ -31,9 +32,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxolens.llm.common import WordCache, model_of_stage, whole_text
+from taxolens.llm.common import CACHE_BYTES, WordCache, model_of_stage, whole_text
 
 MARK = "▁"
+#: Arcs of the automaton that a worker keeps.
+MAX_ARCS = 1 << 18
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -65,15 +68,25 @@ class Transducer:
                 self.score[piece] = sp.get_score(i)
                 self.bytes_of.append(piece.encode())
         self.longest = max(map(len, self.ids), default=1)
-        self._follows = WordCache(lambda pair: self.merged(pair[0] + pair[1]) == list(pair))
+        # the automaton's states are the beginnings of pieces; its arcs and what ends in a state are found when needed
+        begins = {""}.union(*({p[:n] for n in range(1, len(p) + 1)} for p in self.ids))
+        self.begins = sorted(begins, key=len)
+        self.state_of = {b: k for k, b in enumerate(self.begins)}
+        self.arcs: list[dict[str, int]] = [{} for _ in self.begins]
+        self.n_arcs = 0
+        self.ending: list[tuple | None] = [None] * len(self.begins)
+        self.piece_of = {i: p for p, i in self.ids.items()}
+        self.id_bytes = {i: i.to_bytes(4, "little") for i in self.piece_of}
+        self._follows = WordCache(self._may_follow)
         # for each last two characters, the lengths of longer pieces that end so, longest first
         ends: dict[str, set[int]] = {}
         for p in self.ids:
             if len(p) > 1:
                 ends.setdefault(p[-2:], set()).add(len(p))
         self.ends = {c: sorted(n, reverse=True) for c, n in ends.items()}
-        self.parts = WordCache(self._part)
-        self.words = WordCache(self._word)
+        # words leave room for the pairs of pieces, which every new word needs
+        self.parts = WordCache(self._part, CACHE_BYTES // 4)
+        self.words = WordCache(self._word, CACHE_BYTES // 2)
 
     # normaliser ---------------------------------------------------------------------------------
 
@@ -104,13 +117,21 @@ class Transducer:
         return re.compile(f"{MARK}*[{cls}]+|{MARK}*[^{MARK}{cls}]+|{MARK}+"), frozenset(whole)
 
     def _part(self, part: str) -> bytes:
+        if self.kind == "bpe" and not part.startswith(MARK * 2):
+            known = self.id_bytes
+            return b"".join([known[i] if i >= 0 else self._fallback(chr(~i)) for i in self._only_path(part)])
         return np.array(self.part_ids(part), "<i4").tobytes()
 
+    def _fallback(self, char: str) -> bytes:
+        return np.array([self.byte_ids[b] for b in char.encode("utf-8", "replace")], "<i4").tobytes()
+
     def _word(self, word: str) -> bytes:
         cut, whole = self.symbols
         chunk = MARK + word
         # a word of one part is kept as the word only
-        return self._chunk(chunk) if whole.isdisjoint(chunk) and len(cut.findall(chunk)) > 1 else self._part(chunk)
+        if whole.isdisjoint(chunk) and len(parts := cut.findall(chunk)) > 1:
+            return b"".join(map(self.parts.__getitem__, parts))
+        return self._part(chunk)
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a run of marks and the word after it."""
@@ -134,39 +155,63 @@ class Transducer:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def follows(self, a: str, b: str) -> bool:
-        """Whether an arc of piece b may follow one of piece a."""
-        return self._follows[a, b]
+    def _name(self, i: int) -> str:
+        """The piece of an id; characters without a piece have the complement of their code as id."""
+        return self.piece_of[i] if i >= 0 else chr(~i)
+
+    def _may_follow(self, pair: tuple[int, int]) -> bool:
+        """Whether an arc of the second piece may follow one of the first."""
+        a, b = map(self._name, pair)
+        return self.merged(a + b) == [a, b]
+
+    def _arc(self, state: int, char: str) -> int:
+        """The state after one more character: the longest beginning of a piece that the text ends with."""
+        text = self.begins[state] + char
+        while text not in self.state_of:
+            text = text[1:]
+        to = self.state_of[text]
+        if self.n_arcs < MAX_ARCS:
+            self.arcs[state][char] = to
+            self.n_arcs += 1
+        return to
+
+    def _ends_in(self, state: int) -> tuple:
+        """``(length, id)`` of the pieces of several characters that end in a state, longest first."""
+        text = self.begins[state]
+        got = self.ending[state] = tuple((len(p), self.ids[p]) for p in (text[k:] for k in range(len(text) - 1))
+                                         if p in self.ids)
+        return got
 
     def path(self, part: str) -> list[str]:
         """Shortest path of one part through the composed graph, as its pieces (single characters fall back)."""
         if self.kind == "bpe":
             # marks in a row tie in rank; the ranks alone decide them
-            return self.merged(part) if part.startswith(MARK * 2) else self._only_path(part)
+            return self.merged(part) if part.startswith(MARK * 2) else [*map(self._name, self._only_path(part))]
         return self._least_path(part)
 
-    def _only_path(self, part: str) -> list[str]:
-        n = len(part)
-        last: list[str] = ["", part[:1]]
-        ids, ends, follows = self.ids, self.ends, self._follows
-        for i in range(2, n + 1):
-            for size in ends.get(part[i - 2:i], ()):
-                j = i - size
-                if j < 0:
-                    continue
-                piece = part[j:i]
-                if piece not in ids:
-                    continue
-                if j and not follows[last[j], piece]:
-                    continue
-                last.append(piece)
-                break
+    def _only_path(self, part: str) -> list[int]:
+        """Ids on the one path, characters without a piece as the complement of their code."""
+        arcs, ending, follows, ids = self.arcs, self.ending, self._follows, self.ids
+        last: list[int] = [0]
+        sizes: list[int] = [0]
+        state = 0
+        for i, char in enumerate(part, 1):
+            to = arcs[state].get(char)
+            state = self._arc(state, char) if to is None else to
+            pieces = ending[state]
+            for size, piece in self._ends_in(state) if pieces is None else pieces:
+                if i == size or follows[last[i - size], piece]:
+                    last.append(piece)
+                    sizes.append(size)
+                    break
             else:
-                last.append(part[i - 1])
+                last.append(ids.get(char, ~ord(char)))
+                sizes.append(1)
         out = []
-        while n > 0:
+        n = len(part)
+        while n:
             out.append(last[n])
-            n -= len(last[n])
+            n -= sizes[n]
         return out[::-1]
 
     def _least_path(self, part: str) -> list[str]:
