@@ -49,7 +49,10 @@ BLOCK_BYTES = 4_000_000
 
 #: Normalisers of a vocabulary file under which a text may be read word by word.
 BY_WORD = ["NFC", "Replace", "Lowercase"]
-_STOP = re.compile(r"(?<=[a-z])([.,])(?=\s)")
+#: The rare character comes first, so that the search need not stop at every letter.
+_STOP = re.compile(r"([.,])(?<=[a-z].)(?=\s)")
+#: Below it letters have had the same normal and lower-case forms in all versions of Unicode.
+_SETTLED = "\u0250"
 #: White space to this program, but not to the vocabulary's library.
 _ODD = "\x1c\x1d\x1e\x1f"
 
@@ -74,25 +77,40 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tok = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         pattern = word_split(spec)
         self.split = regex.compile(pattern) if pattern else None
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 65_536 else np.dtype("<u4")
-        self.words = _Words()
+        self.words = WordCache()
+        self.plain = None
+        if pattern:
+            # the same vocabulary for parts that are normalised and cut already, with blanks between them
+            to_bytes = spec["pre_tokenizer"]["pretokenizers"][1]
+            self.plain = Tokenizer(self.tok.model)
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([
+                pre_tokenizers.Split(" ", "removed"),
+                pre_tokenizers.ByteLevel(to_bytes["add_prefix_space"], use_regex=to_bytes.get("use_regex", True))])
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _made(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words that are not kept yet: one call for the parts of all, which the blanks between them keep apart."""
+        """Ids of words that are not kept yet: a call for the parts of all, which the blanks between them keep apart."""
+        settled = [w for w in words if max(w) < _SETTLED]
+        if len(settled) == len(words):
+            return self._ids_of(words, self.plain)
+        rest = [w for w in words if max(w) >= _SETTLED]
+        return self._ids_of(settled, self.plain) | self._ids_of(rest, self.tok)
+
+    def _ids_of(self, words: list[str], tok) -> dict[str, bytes]:
         if not words:
             return {}
         parts = [self.split.findall(w) for w in words]
         ends = np.cumsum([len(p) for p in parts])
-        got = self.tok.encode(" ".join(chain.from_iterable(parts)), add_special_tokens=False)
+        got = tok.encode(" ".join(chain.from_iterable(parts)), add_special_tokens=False)
         part_of = np.array(got.word_ids, np.int64)
         if len(part_of) and part_of[-1] + 1 != ends[-1]:
             return {w: b"".join(map(self._ids, p)) for w, p in zip(words, parts)}
@@ -106,19 +124,18 @@ class Encoder:
         # the file's normaliser: NFC, then lower case letter by letter
         low = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         # a stop or comma after a letter is a part of its own
-        words, known = _STOP.sub(r" \1", low).split(), self.words
-        known.made = self._made([w for w in set(words) if w not in known])
-        known.add(known.made)
-        return b"".join(map(known.__getitem__, words))
-
-
-class _Words(WordCache):
-    """Ids by word; ``made`` has those of the text at hand that there is no room for."""
-
-    made: dict[str, bytes] = {}
-
-    def __missing__(self, word: str) -> bytes:
-        return self.made[word]
+        words = _STOP.sub(r" \1", low).split()
+        ids = list(map(self.words.get, words))
+        gaps, at = [], -1
+        for _ in range(ids.count(None)):
+            at = ids.index(None, at + 1)
+            gaps.append(at)
+        if gaps:
+            made = self._made(list({words[k] for k in gaps}))
+            self.words.add(made)
+            for k in gaps:
+                ids[k] = made[words[k]]
+        return b"".join(ids)
 
 
 def encoder(path: str) -> Encoder:

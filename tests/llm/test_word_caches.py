@@ -2,7 +2,10 @@
 
 import random
 
+import numpy as np
+
 from taxolens.llm import sentencepiece_fst as S
+from taxolens.llm import token_store as T
 
 LETTERS = "ab  .,!?éñÀßİΣσςǅЖж'sſ%$#\n\t中文字🙂0129ⅣＡＢᲉꟋ́̈\x1c-_"
 
@@ -35,3 +38,17 @@ def test_automaton_without_room_for_arcs(monkeypatch):
     for text in odd_texts(50):
         assert none.encode(text).tolist() == kept.encode(text).tolist()
     assert none.n_arcs == 0
+
+
+def test_settled_words_are_not_normalised_again():
+    enc = T.Encoder(T.default_vocabulary())
+    tok, enc.tok = enc.tok, None
+    text = "Wordings, unheard of. 'Tis çà et là 42%"
+    want = np.array(tok.encode(text, add_special_tokens=False).ids, enc.dtype).tobytes()
+    assert enc.encode(text) == want == enc.encode(text)
+
+
+def test_ids_of_odd_texts_are_those_of_the_library():
+    enc = T.Encoder(T.default_vocabulary())
+    for text in odd_texts(800):
+        assert enc.encode(text) == enc._ids(text)
