@@ -170,7 +170,8 @@ FROM ex ORDER BY accuracy_pct DESC, run LIMIT 10""")
 
 @register("best_runs", _exp_sql())
 def q_best_runs(spark, sf):
-    lab = FX.vd_lab(spark, sf).persist()
+    # only what an experiment row reads is kept, not the vectors
+    lab = FX.vd_lab(spark, sf).select("algo", "true_label", "cluster").persist()
     rows = None
     for i, a in enumerate(FX.VD_ALGOS):
         r = experiment_row(lab.filter(F.col("algo") == a)).select(F.lit(i).alias("run"), "*")
