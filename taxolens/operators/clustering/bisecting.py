@@ -115,16 +115,18 @@ def _sums(data: DataFrame, tree: Tree, features: str, around: dict[int, np.ndarr
         yield node, float(len(Y)), float((Y * Y).sum()), Y.sum(axis=0).tolist()
 
     parts = _pass(data, tree, measure, "node long, n double, ss double, s array<double>", features)
-    total = parts.groupBy("node").agg(F.sum("n").alias("n"), F.sum("ss").alias("ss")).collect()
-    sums = (parts.select("node", F.posexplode("s").alias("pos", "v")).groupBy("node", "pos").agg(F.sum("v").alias("v"))
-            .groupBy("node").agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("s"))
-            .select("node", "s.v").collect())
-    s = {r["node"]: np.array(r["v"]) for r in sums}
+    # n, ss and s in one row of sums, so that the rows are read once
+    sums = (parts.select("node", F.posexplode(F.concat(F.array("n", "ss"), "s")).alias("pos", "v"))
+            .groupBy("node", "pos").agg(F.sum("v").alias("v")).collect())
+    of: dict[int, dict[int, float]] = {}
+    for r in sums:
+        of.setdefault(r["node"], {})[r["pos"]] = r["v"]
     out = {}
-    for r in total:
-        i, n = r["node"], r["n"]
-        inertia = r["ss"] - float(s[i] @ s[i]) / n
-        out[i] = Leaf(n, around.get(i, 0.0) + s[i] / n, 0.0 if inertia <= 1e-12 * max(r["ss"], 1e-300) else inertia)
+    for i, got in of.items():
+        n, ss, *rest = (got[k] for k in range(len(got)))
+        s = np.array(rest)
+        inertia = ss - float(s @ s) / n
+        out[i] = Leaf(n, around.get(i, 0.0) + s / n, 0.0 if inertia <= 1e-12 * max(ss, 1e-300) else inertia)
     return out
 
 
