@@ -239,22 +239,27 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     raise RuntimeError(f"components did not close in {max_rounds} rounds")
 
 
+def _bitmap(rows: DataFrame, probes: Callable[[int], list[Column]], most_bits: int) -> tuple[np.ndarray, int]:
+    """A bitmap of 16 bits a row, at most ``most_bits``, with the bits that ``probes`` names set, and its size."""
+    n = rows.count()
+    bits = 64
+    while bits < min(most_bits, 16 * max(1, n)):
+        bits *= 2
+    got = (rows.select(F.explode(F.array(*probes(bits))).alias("p"))
+           .groupBy(F.shiftright("p", 5).alias("w"))
+           .agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 32 as int))")).alias("b"))).toArrow()
+    table = np.zeros(bits // 32, np.uint32)
+    table[got["w"].to_numpy()] = got["b"].to_numpy().astype(np.uint32)
+    return table, bits
+
+
 def likely_member(ids: DataFrame, most_bits: int = 1 << 26) -> Callable[[Column], Column]:
     """A predicate over long ids that holds for all ``ids (id)`` and for few others, to thin rows before a join.
 
     A two-probe bitmap of 16 bits an id, never more than ``most_bits`` (8 MB), is broadcast; with more ids it
     lets more others pass, and the join behind it stays exact.
     """
-    n = ids.count()
-    bits = 64
-    while bits < min(most_bits, 16 * max(1, n)):
-        bits *= 2
-    word = [F.pmod(F.xxhash64("id", F.lit(k)), F.lit(bits)) for k in (1, 2)]
-    got = (ids.select(F.explode(F.array(*word)).alias("p"))
-           .groupBy(F.shiftright("p", 5).alias("w"))
-           .agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 32 as int))")).alias("b"))).toPandas()
-    table = np.zeros(bits // 32, np.uint32)
-    table[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64).astype(np.uint32)
+    table, bits = _bitmap(ids, lambda bits: [F.pmod(F.xxhash64("id", F.lit(k)), F.lit(bits)) for k in (1, 2)], most_bits)
     sent = ids.sparkSession.sparkContext.broadcast(table)
 
     @F.pandas_udf("boolean")
@@ -267,6 +272,23 @@ def likely_member(ids: DataFrame, most_bits: int = 1 << 26) -> Callable[[Column]
     return lambda c: probe(*(F.pmod(F.xxhash64(c, F.lit(k)), F.lit(bits)) for k in (1, 2)))
 
 
+def likely_word(words: DataFrame, most_bits: int = 1 << 26) -> Callable[[str], bool]:
+    """A test for use inside tasks that holds for all ``words (word)`` and for few others, by a broadcast bitmap.
+
+    Its probes are the halves of the 64-bit xxhash of the word's UTF-8 bytes, seed 42, as ``F.xxhash64`` has it.
+    """
+    high, low = F.shiftrightunsigned(F.xxhash64("word"), 32), F.xxhash64("word")
+    table, bits = _bitmap(words, lambda bits: [F.pmod(h, F.lit(bits)) for h in (high, low)], most_bits)
+    sent = words.sparkSession.sparkContext.broadcast(table)
+
+    def holds(word: str) -> bool:
+        h = xxhash.xxh64_intdigest(word.encode("utf-8"), 42)
+        t, a, b = sent.value, (h >> 32) & (bits - 1), h & (bits - 1)
+        return bool((t[a >> 5] >> (a & 31)) & (t[b >> 5] >> (b & 31)) & 1)
+
+    return holds
+
+
 def labelled(docs: DataFrame, labels: DataFrame, target: str, train: Column, max_labelled: int) -> DataFrame:
     """``(doc_id, text, <target>)`` of the rows to learn from: at most about ``max_labelled``, drawn by hash of the id.
 

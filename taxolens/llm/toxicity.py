@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import groupby
 
@@ -36,7 +36,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxolens.llm.common import WordCache, keep, labelled, logistic_on_bins, lower_words, squash, whole_text
+from taxolens.llm.common import (
+    CACHE_BYTES,
+    WordCache,
+    keep,
+    labelled,
+    likely_word,
+    logistic_on_bins,
+    lower_words,
+    squash,
+    whole_text,
+)
 
 #: Bound on the labelled documents that the weights are learned from, drawn by hash of the id.
 MAX_LABELLED = 200_000
@@ -47,6 +57,8 @@ MIN_Z = 3.0
 MIN_WEIGHT = 1.0
 MIN_TOXIC_DOCS = 3
 PREFIXES = (4, 5, 6, 7, 8)
+#: Characters that a feature shares with all its prefixes.
+STEM = PREFIXES[0]
 MAX_REST = -1e-3
 RATES = (0.05, 5.0)
 MAX_E = 0.05
@@ -166,12 +178,14 @@ def next_prefix(feature: str, known) -> str | None:
     return next((p for k in reversed(PREFIXES) if k < len(stem) and (p := stem[:k] + "*") in known), None)
 
 
-def weigh(y1: dict[str, Counts], y0: dict[str, Counts], all1: Counts, all0: Counts,
-          max_features: int) -> tuple[dict[str, float], float]:
-    """Weights of the features of a model, and of any other word, from counts in toxic (``y1``) and clean (``y0``)
-    texts; ``all1`` and ``all0`` are the documents and words of the classes."""
+def evidence(y1: dict[str, Counts], y0: dict[str, Counts], all1: Counts, all0: Counts) -> dict[str, tuple[float, float]]:
+    """``(weight, z)`` of the features that may enter a model, from counts in toxic (``y1``) and clean (``y0``) texts.
+
+    ``all1`` and ``all0`` are the documents and words of the classes. A feature leans on its prefixes only, so the
+    features of one ``STEM`` can be weighed apart from all others.
+    """
     (n1, t1), (n0, t0) = all1, all0
-    share, words, weight, z = {}, {}, {}, {}
+    share, words, weight, z, enter = {}, {}, {}, {}, {}
     for f in sorted(y1, key=lambda f: (f.endswith("*") is False, len(f))):
         above = next_prefix(f, share)
         (d1, c1), (d0, c0) = y1[f], y0.get(f, (0, 0))
@@ -187,20 +201,89 @@ def weigh(y1: dict[str, Counts], y0: dict[str, Counts], all1: Counts, all0: Coun
         corrects = above in weight and z[above] > 0 and abs(weight[f] - weight[above]) > 0.5
         if not strong and not corrects:
             z[f] = 0.0
-    best = sorted((f for f in weight if z[f] != 0.0), key=lambda f: (-abs(z[f]), f))[:max_features]
-    model = {f: weight[f] for f in best if weight[f] != 0.0}
+        if z[f] != 0.0:
+            enter[f] = (weight[f], z[f])
+    return enter
+
+
+def rest_of(model, y1: dict[str, Counts], y0: dict[str, Counts], t1: int, t0: int) -> float:
+    """Weight of the words without a feature of the model, from its features' counts and the classes' words."""
     # a feature below no other of the model holds all occurrences of those below it
     top = [f for f in model if next_prefix(f, model) is None]
     rest1 = t1 - sum(y1[f][1] for f in top) + PRIOR
     rest0 = t0 - sum(y0.get(f, (0, 0))[1] for f in top) + PRIOR
-    rest = math.log(rest1 / (t1 + PRIOR)) - math.log(rest0 / (t0 + PRIOR))
-    return model, min(MAX_REST, rest)
+    return min(MAX_REST, math.log(rest1 / (t1 + PRIOR)) - math.log(rest0 / (t0 + PRIOR)))
+
+
+def weigh(y1: dict[str, Counts], y0: dict[str, Counts], all1: Counts, all0: Counts,
+          max_features: int) -> tuple[dict[str, float], float]:
+    """Weights of the features of a model, and of any other word, from counts that one process holds."""
+    enter = evidence(y1, y0, all1, all0)
+    best = sorted(enter, key=lambda f: (-abs(enter[f][1]), f))[:max_features]
+    model = {f: enter[f][0] for f in best if enter[f][0] != 0.0}
+    return model, rest_of(model, y1, y0, all1[1], all0[1])
+
+
+def _weigh_stems(all1: Counts, all0: Counts):
+    """The features that may enter a model, from rows of counts that are dealt out and sorted by ``stem``."""
+    def weighed(rows: pd.DataFrame) -> pd.DataFrame:
+        y1 = {f: (n, c) for f, n, c in zip(rows["feature"], rows["n1"], rows["c1"])}
+        y0 = {f: (n, c) for f, n, c in zip(rows["feature"], rows["n0"], rows["c0"])}
+        out = [(f, w, z, y1[f][1], y0[f][1]) for f, (w, z) in evidence(y1, y0, all1, all0).items()]
+        return pd.DataFrame(out, columns=["feature", "weight", "z", "c1", "c0"])
+
+    def run(batches):
+        rest = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            rows = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            last = (rows["stem"] == rows["stem"].iloc[-1]).to_numpy()
+            yield weighed(rows[~last])
+            rest = rows[last]
+        if rest is not None:
+            yield weighed(rest)
+    return run
+
 
+def learn_weights(rows: DataFrame, all1: Counts, all0: Counts, max_features: int) -> tuple[dict[str, float], float]:
+    """What ``weigh`` gives for the features of ``rows (text, toxic)`` in at least ``MIN_TOXIC_DOCS`` toxic texts.
+
+    Counts stay on the executors: the driver gets a bitmap of the features and those of the model alone.
+    """
+    schema = "feature string, toxic int, n long, c long"
 
-def _count_features(only: set[str] | None):
+    def counts(toxic: int, only):
+        part = rows.filter(F.col("toxic") == toxic).select("text", "toxic").mapInPandas(_count_features(only), schema)
+        return part.groupBy("feature").agg(F.sum("n").alias(f"n{toxic}"), F.sum("c").alias(f"c{toxic}"))
+
+    def first(df: DataFrame, most: int, *order: Column) -> DataFrame:
+        return keep(df.orderBy(*order).limit(most)) if df.count() > most else df
+
+    seen = first(keep(counts(1, None).filter(F.col("n1") >= MIN_TOXIC_DOCS)), 5 * max_features,
+                 F.col("n1").desc(), F.col("feature"))
+    both = (seen.join(counts(0, likely_word(seen.select(F.col("feature").alias("word")))), "feature", "left")
+            .select("feature", F.substring("feature", 1, STEM).alias("stem"), "n1", "c1",
+                    *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n0", "c0"))))
+    enter = keep(both.repartition("stem").sortWithinPartitions("stem").mapInPandas(
+        _weigh_stems(all1, all0), "feature string, weight double, z double, c1 long, c0 long"))
+    best = first(enter, max_features, F.abs("z").desc(), F.col("feature")).filter("weight <> 0").toArrow()
+    names = best["feature"].to_pylist()
+    y1, y0 = ({f: (0, c) for f, c in zip(names, best[k].to_pylist())} for k in ("c1", "c0"))
+    model = dict(zip(names, best["weight"].to_pylist()))
+    return model, rest_of(model, y1, y0, all1[1], all0[1])
+
+
+def _count_features(only: Callable[[str], bool] | None):
     """Documents and occurrences of a feature in each class: ``(feature, toxic, n, c)`` counted within a task."""
+    def wanted(word: bytes) -> list[str]:
+        found = features(word.decode("utf-8", "replace"))
+        return found if only is None else [f for f in found if only(f)]
+
     def run(batches):
         docs, found = {0: Counter(), 1: Counter()}, {0: Counter(), 1: Counter()}
+        # the lists of features take several times what a cache counts for a word
+        known = WordCache(wanted, CACHE_BYTES // 4)
 
         def rows():
             out = [(f, t, n, found[t][f]) for t, c in docs.items() for f, n in c.items()]
@@ -212,9 +295,8 @@ def _count_features(only: set[str] | None):
             for text, toxic in zip(pdf["text"], pdf["toxic"]):
                 here: Counter = Counter()
                 for w, c in Counter(w for w, _ in groupby(lower_words(text))).items():
-                    for f in features(w.decode("utf-8", "replace")):
-                        if only is None or f in only:
-                            here[f] += c
+                    for f in known[w]:
+                        here[f] += c
                 docs[int(toxic)].update(here.keys())
                 found[int(toxic)].update(here)
                 if sum(map(len, docs.values())) > 500_000:
@@ -241,16 +323,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, max_labelled: int =
     if not n1 or not n0:
         model.offset = math.log((n1 + 1) / (n0 + 1))
         return model
-    schema = "feature string, toxic int, n long, c long"
-    sums = (F.sum("n").alias("n"), F.sum("c").alias("c"))
-    seen = (rows.filter("toxic = 1").select("text", "toxic").mapInPandas(_count_features(None), schema)
-            .groupBy("feature").agg(*sums).filter(F.col("n") >= MIN_TOXIC_DOCS)
-            .orderBy(F.col("n").desc(), "feature").limit(5 * max_features).collect())
-    y1 = {r["feature"]: (r["n"], r["c"]) for r in seen}
-    y0 = {r["feature"]: (r["n"], r["c"]) for r in
-          rows.filter("toxic = 0").select("text", "toxic").mapInPandas(_count_features(set(y1)), schema)
-          .groupBy("feature").agg(*sums).collect()}
-    model.weights, model.rest = weigh(y1, y0, (n1, max(1, w1)), (n0, max(1, w0)), max_features)
+    model.weights, model.rest = learn_weights(rows, (n1, max(1, w1)), (n0, max(1, w0)), max_features)
     best = keep(passages(rows.select("doc_id", "text", "toxic"), model, ["toxic"]).select("toxic", "best", "n_words"))
     clean = (best.filter("toxic = 0").groupBy(F.round("best", 1).alias("s"))
              .agg(F.count(F.lit(1)).alias("n"), F.sum(F.greatest("n_words", F.lit(1))).alias("w")).collect())

@@ -157,3 +157,37 @@ def test_rest_and_weights_follow_token_counts():
     # "vilest" lies below "vile*", so its occurrences are not taken off twice
     assert abs(rest - (np.log((2000 - 130 + T.PRIOR) / (2000 + T.PRIOR)) -
                        np.log((20000 - 1 + T.PRIOR) / (20000 + T.PRIOR)))) < 1e-9
+
+
+@pytest.mark.parametrize("most", [100_000, 7])
+def test_weights_made_on_executors_are_those_of_all_counts(spark, most):
+    """Weighing by stems, with the clean counts thinned by a bitmap, against one process that holds all counts."""
+    rng = np.random.default_rng(3)
+    words = ["vile", "vilest", "vilely", "villain", "zork", "zorkish", "zorkings", "été", "étérien", "ab", "plain", "plainly"]
+    odds = rng.dirichlet(np.ones(len(words)), 2)
+    rows = [(" ".join(rng.choice(words, 12, p=odds[y])), int(y)) for y in rng.integers(0, 2, 400)]
+    y, sizes = ({}, {}), [[0, 0], [0, 0]]
+    for text, toxic in rows:
+        flat = [w for k, w in enumerate(text.split()) if not k or w != text.split()[k - 1]]
+        sizes[toxic][0] += 1
+        sizes[toxic][1] += len(flat)
+        here = {}
+        for w in flat:
+            for f in T.features(w):
+                here[f] = here.get(f, 0) + 1
+        for f, c in here.items():
+            d, n = y[toxic].get(f, (0, 0))
+            y[toxic][f] = (d + 1, n + c)
+    toxic = {f: c for f, c in y[1].items() if c[0] >= T.MIN_TOXIC_DOCS}
+    some = dict(sorted(toxic.items(), key=lambda x: (-x[1][0], x[0]))[:5 * most])
+    want, rest = T.weigh(some, y[0], tuple(sizes[1]), tuple(sizes[0]), most)
+    df = T.keep(spark.createDataFrame(rows, "text string, toxic int").repartition(3))
+    got, got_rest = T.learn_weights(df, tuple(sizes[1]), tuple(sizes[0]), most)
+    assert want and got == want and got_rest == rest
+
+
+def test_likely_word_holds_for_all_words(spark):
+    from taxolens.llm.common import likely_word
+    words = [f"w{k}" for k in range(3000)] + ["é*", "漢字"]
+    holds = likely_word(spark.createDataFrame([(w,) for w in words], "word string"))
+    assert all(map(holds, words)) and sum(holds(f"x{k}") for k in range(3000)) < 300
