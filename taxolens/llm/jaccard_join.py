@@ -53,6 +53,8 @@ MAX_DEPTH = 6
 #: Levels that the runs of all sets are enough for.
 SHALLOW = 3
 TILE = 512
+#: Bound on the rows of a level that are broadcast, measured before.
+SEND_BYTES = 2 << 20
 
 _RNG = np.random.default_rng(20240607)
 _SLOT = mix(np.arange(N_HASH, dtype=np.uint64) + np.uint64(1))
@@ -204,7 +206,8 @@ def candidate_links(reps: DataFrame, threshold: float = THRESHOLD, recall: float
     runs = range(runs_for(recall, threshold), runs_for(recall, threshold, MAX_DEPTH))
     if deep is None or not len(runs):
         return found.distinct()
-    again = keep(reps.join(deep, "node", "left_semi").select("node", "n", "mh")
+    near = likely_member(deep.select(F.col("node").alias("id")))
+    again = keep(reps.select("node", "n", "mh").filter(near(F.col("node"))).join(deep, "node", "left_semi")
                  .mapInPandas(_more_paths(runs, threshold), "node long, n long, mh binary, paths array<long>"))
     return found.unionByName(_descend(again, threshold)[0]).distinct()
 
@@ -213,7 +216,8 @@ def _descend(reps: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame |
     """Links from all levels of the paths of ``reps``, and the sets of buckets that go below ``SHALLOW``, if any.
 
     Buckets are counted before anything but the id travels, so the embedding of a set that meets no other is never
-    joined; below the first level the few rows of buckets that are still too large carry it along.
+    joined; below the first level the few rows of buckets that are still too large carry it along. Rows that carry it
+    stay where they are as long as what they are joined with is small (``_sent``); a pivot brings its own along.
     """
     floor = threshold - 4 * math.sqrt(threshold * (1 - threshold) / N_HASH)
     found = deep = None
@@ -221,25 +225,29 @@ def _descend(reps: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame |
     for depth in range(1, MAX_DEPTH + 1):
         # kept, so that the join deals out both sides and adaptive execution can split a hot path
         counts = keep(rows.groupBy("path").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"))
-        met = keep(rows.join(counts, "path"))
+        met = keep(rows.join(_sent(counts, 16), "path"))
         full = met if depth > 1 else met.join(reps.select("node", "n", "mh"), "node")
         leaf = full.filter(F.col("k") <= LEAF).select("path", "node", "n", "mh")
         links = (leaf.repartition("path").sortWithinPartitions("path", "node")
                  .mapInPandas(_leaf_links(threshold, floor), "a long, b long"))
         big = met.filter(F.col("k") > LEAF)
-        heads = big.groupBy("path").agg(F.min(F.struct(F.xxhash64("path", "node"), "node")).alias("h")).select(
-            "path", F.col("h.node").alias("pivot"))
         if depth == MAX_DEPTH:
-            links = links.unionByName(big.join(keep(heads), "path").select(F.col("node").alias("a"),
-                                                                           F.col("pivot").alias("b")))
+            heads = big.groupBy("path").agg(F.min(F.struct(F.xxhash64("path", "node"), "node")).alias("h")).select(
+                "path", F.col("h.node").alias("pivot"))
+            links = links.unionByName(big.join(_sent(keep(heads), 16), "path").select(F.col("node").alias("a"),
+                                                                                      F.col("pivot").alias("b")))
         links = keep(links.filter("a <> b").distinct())
         found = links if found is None else found.unionByName(links)
         if depth == MAX_DEPTH or big.isEmpty():
             break
         if depth == SHALLOW:
             deep = keep(big.select("node").distinct())
-        pivots = keep(heads.join(reps.select(F.col("node").alias("pivot"), F.col("mh").alias("pivot_mh")), "pivot"))
-        deeper = keep(full.filter(F.col("k") > LEAF).join(pivots, "path")
+        big = full.filter(F.col("k") > LEAF)
+        if depth == 1:
+            big = keep(big)
+        pivots = keep(big.groupBy("path").agg(F.min(F.struct(F.xxhash64("path", "node"), "node", "mh")).alias("h"))
+                      .select("path", F.col("h.node").alias("pivot"), F.col("h.mh").alias("pivot_mh")))
+        deeper = keep(big.join(_sent(pivots, 16 + 2 * N_HASH), "path")
                       .select("path", "node", "n", "mh", "pivot", "pivot_mh")
                       .mapInPandas(_carve(threshold), "kind int, a long, b long, n long, mh binary"))
         found = found.unionByName(deeper.filter("kind = 0").select("a", "b"))
@@ -247,6 +255,11 @@ def _descend(reps: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame |
     return found, deep
 
 
+def _sent(small: DataFrame, row_bytes: int) -> DataFrame:
+    """A kept table, sent to all tasks of its join if its rows take at most ``SEND_BYTES``, dealt out otherwise."""
+    return F.broadcast(small) if small.count() * row_bytes <= SEND_BYTES else small
+
+
 def _tile_links(threshold: float):
     """Exact links between the sets of one tile: partial counts and component links, a row for each set."""
     def run(batches):

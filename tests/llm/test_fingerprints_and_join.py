@@ -157,6 +157,33 @@ def test_large_groups_split_and_lose_no_link(spark, monkeypatch, leaf, tile):
     assert got == want
 
 
+@pytest.mark.parametrize("send", [J.SEND_BYTES, 0] if hasattr(J, "SEND_BYTES") else [0])
+def test_wide_rows_of_large_buckets_stay_in_place(spark, monkeypatch, send):
+    """A level finds its pivots without a join with all sets, and deals no embeddings out if little is joined to them."""
+    plans = []
+
+    def keep(df):
+        if "mh" in df.columns or "pivot_mh" in df.columns:
+            plans.append((tuple(df.columns), df._jdf.queryExecution().optimizedPlan().toString()))
+        return real(df)
+
+    real = J.keep
+    monkeypatch.setattr(J, "keep", keep)
+    monkeypatch.setattr(J, "SEND_BYTES", send, raising=False)
+    monkeypatch.setattr(J, "LEAF", 4)
+    monkeypatch.setattr(J, "MAX_DEPTH", 3)
+    rnd = random.Random(8)
+    base = [f"b{k}" for k in range(120)]
+    rows = [(i, " ".join(base[:60] + [f"q{rnd.randrange(10**6)}" for _ in range(15)])) for i in range(60)]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in
+           J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+    pivots = [p for c, p in plans if "pivot_mh" in c]
+    assert pivots and not any("Join" in p for p in pivots)
+    deeper = [p for c, p in plans if c[0] == "kind"]
+    assert deeper and all(("strategy=broadcast" in p) == (send > 0) for p in deeper)
+
+
 def test_join_takes_odd_rows(make_docs):
     out = J.near_duplicates(make_docs(ODD, ("digest", "node", "path", "mh", "n", "comp")))
     rows = out.collect()
