@@ -128,10 +128,16 @@ class WordCache(dict):
             self.used += size
             self[key] = value
 
-    def add(self, results: dict) -> None:
-        """Keep results while there is room."""
+    def add(self, results: dict[str, bytes]) -> None:
+        """Keep results while there is room, which is counted once for all."""
+        room = most = min(_WORKER.left, self.most - self.used)
         for key, value in results.items():
-            self.keep(key, value)
+            size = 200 + (1 if key.isascii() else 4) * len(key) + len(value)
+            if size <= room:
+                room -= size
+                self[key] = value
+        _WORKER.left -= most - room
+        self.used += most - room
 
     def clear(self) -> None:
         super().clear()

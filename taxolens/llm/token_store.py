@@ -22,11 +22,9 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -49,8 +47,9 @@ BLOCK_BYTES = 4_000_000
 
 #: Normalisers of a vocabulary file under which a text may be read word by word.
 BY_WORD = ["NFC", "Replace", "Lowercase"]
-#: The rare character comes first, so that the search need not stop at every letter.
-_STOP = re.compile(r"([.,])(?<=[a-z].)(?=\s)")
+#: Kinds of bytes: 1 a small letter, 2 a stop or comma, 4 white space.
+_KIND = bytes(1 if b in b"abcdefghijklmnopqrstuvwxyz" else 2 if b in b".," else 4 if b in b" \t\n\r\x0b\x0c" else 0
+              for b in range(256))
 #: Below it letters have had the same normal and lower-case forms in all versions of Unicode.
 _SETTLED = "\u0250"
 #: White space to this program, but not to the vocabulary's library.
@@ -72,6 +71,17 @@ def word_split(spec: dict) -> str | None:
     return cuts[0]["pattern"]["Regex"]
 
 
+def spaced(line: bytes) -> bytes:
+    """A blank before each stop or comma between a small letter and white space: it is a part of its own."""
+    k = np.frombuffer(line.translate(_KIND), np.uint8)
+    out, lo = [], 0
+    for hi in (np.flatnonzero((k[:-2] == 1) & (k[1:-1] == 2) & (k[2:] == 4)) + 1).tolist():
+        out.append(line[lo:hi])
+        lo = hi
+    out.append(line[lo:])
+    return b" ".join(out)
+
+
 class Encoder:
     """Serialised ids of texts under one vocabulary file, with bounded caches of pieces."""
 
@@ -85,37 +95,63 @@ class Encoder:
         self.split = regex.compile(pattern) if pattern else None
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 65_536 else np.dtype("<u4")
         self.words = WordCache()
-        self.plain = None
+        self.plain = self.bare = self.last = None
         if pattern:
+            if suffix := spec["model"].get("end_of_word_suffix"):
+                self.last = np.zeros(self.tok.get_vocab_size(), bool)
+                self.last[[i for piece, i in spec["model"]["vocab"].items() if piece.endswith(suffix)]] = True
             # the same vocabulary for parts that are normalised and cut already, with blanks between them
             to_bytes = spec["pre_tokenizer"]["pretokenizers"][1]
             self.plain = Tokenizer(self.tok.model)
             self.plain.pre_tokenizer = pre_tokenizers.Sequence([
                 pre_tokenizers.Split(" ", "removed"),
                 pre_tokenizers.ByteLevel(to_bytes["add_prefix_space"], use_regex=to_bytes.get("use_regex", True))])
+            # printable ASCII stands for its own bytes
+            self.bare = self.plain
+            if not to_bytes["add_prefix_space"] and not to_bytes.get("use_regex", True):
+                self.bare = Tokenizer(self.tok.model)
+                self.bare.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _made(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words that are not kept yet: a call for the parts of all, which the blanks between them keep apart."""
-        settled = [w for w in words if max(w) < _SETTLED]
-        if len(settled) == len(words):
-            return self._ids_of(words, self.plain)
-        rest = [w for w in words if max(w) >= _SETTLED]
-        return self._ids_of(settled, self.plain) | self._ids_of(rest, self.tok)
+        bare, settled, rest = [], [], []
+        for w in words:
+            if w.isascii() and w.isprintable():
+                bare.append(w)
+            else:
+                (settled if max(w) < _SETTLED else rest).append(w)
+        made = self._ids_of(bare, self.bare)
+        for some, tok in ((settled, self.plain), (rest, self.tok)):
+            if some:
+                made |= self._ids_of(some, tok)
+        return made
 
     def _ids_of(self, words: list[str], tok) -> dict[str, bytes]:
-        if not words:
-            return {}
-        parts = [self.split.findall(w) for w in words]
-        ends = np.cumsum([len(p) for p in parts])
-        got = tok.encode(" ".join(chain.from_iterable(parts)), add_special_tokens=False)
-        part_of = np.array(got.word_ids, np.int64)
-        if len(part_of) and part_of[-1] + 1 != ends[-1]:
-            return {w: b"".join(map(self._ids, p)) for w, p in zip(words, parts)}
-        data, width = np.array(got.ids, self.dtype).tobytes(), self.dtype.itemsize
-        cuts = [0, *(np.searchsorted(part_of, ends) * width).tolist()]
+        parts, ends = [], [0]
+        for w in words:
+            if w.isalpha():
+                parts.append(w)
+            else:
+                parts += self.split.findall(w)
+            ends.append(len(parts))
+        if not parts:
+            return dict.fromkeys(words, b"")
+        if self.last is None:
+            got = tok.encode(" ".join(parts), add_special_tokens=False)
+            ids = np.array(got.ids, self.dtype)
+            stop = np.flatnonzero(np.diff(np.array(got.word_ids, np.int64), append=-1)) + 1
+        else:
+            # faster, but without the numbers of the parts: those are seen by their last ids
+            got = tok.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0]
+            ids = np.array(got.ids, self.dtype)
+            stop = np.flatnonzero(self.last[ids]) + 1
+        if len(stop) != len(parts):
+            return {w: b"".join(map(self._ids, parts[a:b])) for w, a, b in zip(words, ends, ends[1:])}
+        data = ids.tobytes()
+        cuts = (np.concatenate([[0], stop])[ends] * self.dtype.itemsize).tolist()
         return {w: data[a:b] for w, a, b in zip(words, cuts, cuts[1:])}
 
     def encode(self, text: str) -> bytes:
@@ -123,8 +159,7 @@ class Encoder:
             return self._ids(text)
         # the file's normaliser: NFC, then lower case letter by letter
         low = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        # a stop or comma after a letter is a part of its own
-        words = _STOP.sub(r" \1", low).split()
+        words = spaced(low.encode("utf-8")).decode("utf-8").split()
         ids = list(map(self.words.get, words))
         gaps, at = [], -1
         for _ in range(ids.count(None)):

@@ -52,3 +52,25 @@ def test_ids_of_odd_texts_are_those_of_the_library():
     enc = T.Encoder(T.default_vocabulary())
     for text in odd_texts(800):
         assert enc.encode(text) == enc._ids(text)
+
+
+def test_new_words_of_plain_letters_skip_the_byte_mapping():
+    enc = T.Encoder(T.default_vocabulary())
+    text = "Wordings, unheard of. 'Tis 42% and... so on!."
+    want = enc._ids(text)
+    enc.tok = enc.plain = None
+    assert enc.encode(text) == want == enc.encode(text)
+
+
+def test_ids_around_control_characters_and_wide_blanks_are_those_of_the_library():
+    enc = T.Encoder(T.default_vocabulary())
+    for text in ("one.\u00a0two,\u3000three. \u0085four", "\x00\x01 a\x7fb. \x08,", "\u00a0", "\u2028. é. ɐ.\u2003ß,\tz.",
+                 "Ɂẞ’s it's.", "a. b,\nc.\r\nd.", "."):
+        assert enc.encode(text) == enc._ids(text) == enc.encode(text)
+
+
+def test_a_vocabulary_whose_words_have_no_last_mark_gives_the_same_ids():
+    enc = T.Encoder(T.default_vocabulary())
+    text = "Wordings, unheard of. 'Tis çà et là 42% \u00a0 漢字"
+    want, enc.last = enc._ids(text), None
+    assert enc.encode(text) == want
