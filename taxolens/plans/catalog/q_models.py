@@ -11,11 +11,12 @@ from taxolens.operators.clustering.minibatch import minibatch_kmeans
 from taxolens.operators.metrics import experiment_row
 from taxolens.operators.supervised import run_baseline, train_test_split
 from taxolens.operators.tuning import best_of, tune_hyperparameters
-from taxolens.operators.vectors import pca
+from taxolens.operators.vectors import pca, silhouettes
 from taxolens.plans import fixtures as FX
 from taxolens.plans.catalog import sqlfix as S
 from taxolens.plans.catalog.registry import register
 from taxolens.plans.catalog.util import DIGITS, full_metrics_sql, rounded, sums_sql, metric_sql
+from taxolens.session import cut_lineage
 from taxolens.sources.sampling import sample_exact
 
 
@@ -93,8 +94,11 @@ def q_tuning_best(spark, sf):
 
 
 def _records(spark, sf):
-    lab = FX.vd_lab(spark, sf).persist()
-    return {a: EV.compute_metrics(lab.filter(F.col("algo") == a)) for a in FX.VD_ALGOS}
+    lab = FX.vd_wide(spark, sf).persist()
+    # all pairs of rows are compared once for the three labelings
+    scores = cut_lineage(silhouettes(lab, FX.VD_ALGOS))
+    return {a: EV.compute_metrics(lab.select("row_id", "features", "true_label", F.col(a).alias("cluster")),
+                                  score=scores.select(F.col(a).alias("silhouette"))) for a in FX.VD_ALGOS}
 
 
 _M14_COLS = ["n_clusters", "noise_ratio", "silhouette", "davies_bouldin", "calinski_harabasz", "purity", "ari",
