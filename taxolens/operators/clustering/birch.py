@@ -25,15 +25,17 @@ from pyspark.sql import functions as F
 
 from taxolens.operators.clustering.ward import ward_groups
 from taxolens.operators.neighbors import dense_index, pair_distances, stack
-from taxolens.operators.vectors import BROADCAST_LIMIT_BYTES, assign_nearest, nearest_join
+from taxolens.operators.vectors import assign_nearest, nearest_join
 from taxolens.schema import CLUSTER, ROW_ID, SEED
-from taxolens.session import cut_lineage
+from taxolens.session import cut_lineage, cut_round
 
 CF_SCHEMA = "first long, n double, ls array<double>, ss double"
 #: Entries for which there is one seed, and entries that meet the seeds of their top cell in one task.
 CELL_ROWS, SALT_ROWS = 4096, 65_536
 #: Entries next to a leader that are ordered at first.
 NEAR_ROWS = 32
+#: Centroids that the driver collects to broadcast; as Python rows they take four times as much.
+BROADCAST_LIMIT_BYTES = 32 * 1024 * 1024
 
 
 def cf_entries(df: DataFrame, features: str = "features") -> DataFrame:
@@ -124,7 +126,7 @@ def cf_round(entries: DataFrame, threshold: float, seed: int = SEED, cell_rows:
         return pd.DataFrame(got, columns=["first", "n", "ls", "ss"])
 
     cells = cf_cells(entries, seed, cell_rows).withColumn("_h", F.xxhash64("first", F.lit(seed)))
-    return cut_lineage(cells.groupBy("cell").applyInPandas(run, CF_SCHEMA))
+    return cut_round(cells.groupBy("cell").applyInPandas(run, CF_SCHEMA))
 
 
 def cf_build(df: DataFrame, threshold: float, features: str = "features", merge_rounds: int = 1,
@@ -153,7 +155,7 @@ def label_rows(data: DataFrame, cents: DataFrame, n_clusters: int | None, featur
         rows = cents.orderBy("cid").collect()
         labels = assign_nearest(data, np.array([r["centroid"] for r in rows], dtype=np.float64),
                                 np.array([r["cid"] for r in rows]), features, dist_col=None).select(ROW_ID, CLUSTER)
-    else:  # too many centroids to broadcast: blocked nearest join
+    else:  # too many centroids for the driver: blocked nearest join
         labels = nearest_join(data, cents, features).select(ROW_ID, CLUSTER)
     if n_clusters is None or n_clusters >= size["n"]:
         return labels

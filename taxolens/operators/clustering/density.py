@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from taxolens.operators.neighbors import (SquaredTiles, block_cogroup, block_pairs, connected_components, dense_index,
                                           join_labels, k_least, n_blocks, stack)
 from taxolens.schema import CLUSTER, ROW_ID
-from taxolens.session import cut_lineage
+from taxolens.session import cut_lineage, cut_round
 
 
 def core_distances(df: DataFrame, min_samples: int = 5, features: str = "features",
@@ -175,7 +175,7 @@ def boruvka_mst(df: DataFrame, core: DataFrame, features: str = "features", bloc
         merged = connected_components(picked.select(F.col("ca").alias("src"), F.col("cb").alias("dst")))
         a = merged.select(F.col("node").alias("ca"), F.col("comp").alias("na"))
         b = merged.select(F.col("node").alias("cb"), F.col("comp").alias("nb"))
-        edges = cut_lineage(edges.join(a, "ca").join(b, "cb").filter("na <> nb")
+        edges = cut_round(edges.join(a, "ca").join(b, "cb").filter("na <> nb")
                             .groupBy(F.least("na", "nb").alias("ca"), F.greatest("na", "nb").alias("cb"))
                             .agg(F.min(F.struct("w", "src", "dst")).alias("e")).select("e.*", "ca", "cb"))
     if mst.count() != base.select(ROW_ID).distinct().count() - 1:

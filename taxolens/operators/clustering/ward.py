@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from taxolens.operators.neighbors import (block_cogroup, connected_components, dense_index, least_cost,
                                           n_blocks, pair_distances, stack)
 from taxolens.schema import CLUSTER, ROW_ID, SEED
-from taxolens.session import cut_lineage
+from taxolens.session import cut_lineage, cut_round
 
 _NEAREST = f"{ROW_ID} long, d double, other long"
 
@@ -42,7 +42,7 @@ def _with_neighbours(active: DataFrame, n_active: int, block_rows: int) -> DataF
                           n_blocks(body, n_active, "mean", None if block_rows >= 2048 else block_rows), _nearest_kernel,
                           _NEAREST)
     best = found.groupBy(ROW_ID).agg(F.min(F.struct("d", "other")).alias("b"))
-    return cut_lineage(active.join(best, active["id"] == best[ROW_ID], "left").select(
+    return cut_round(active.join(best, active["id"] == best[ROW_ID], "left").select(
         "id", "n", "mean", "h", F.coalesce("nn", "b.other").alias("nn"), F.coalesce("d", "b.d").alias("d")))
 
 
@@ -101,7 +101,7 @@ def ward_merges(summaries: DataFrame, n_clusters: int = 1, block_rows: int = 204
         if merges.filter(F.col("h") < F.lit(least)).count() >= total - n_clusters:
             break
         other = known.select(*(F.col(c).alias(f"{c}2") for c in known.columns))
-        pairs = cut_lineage(known.join(other, (F.col("nn") == F.col("id2")) & (F.col("nn2") == F.col("id")))
+        pairs = cut_round(known.join(other, (F.col("nn") == F.col("id2")) & (F.col("nn2") == F.col("id")))
                             .filter("id < id2"))
         size = F.col("n") + F.col("n2")
         # two steps: in one, n inside of the lambda would be the new n
@@ -115,7 +115,7 @@ def ward_merges(summaries: DataFrame, n_clusters: int = 1, block_rows: int = 204
         stays = stays.join(lost, F.col("nn") == F.col("g"), "left").select(
             "id", "n", "mean", "h", F.when(F.col("lost").isNull(), F.col("nn")).alias("nn"),
             F.when(F.col("lost").isNull(), F.col("d")).alias("d"))
-        active = cut_lineage(stays.unionByName(made))
+        active = cut_round(stays.unionByName(made))
         merges = cut_lineage(merges.unionByName(pairs.select(
             F.col("id").alias("lo"), F.col("id2").alias("hi"), F.greatest("d", "h", "h2").alias("h"),
             F.lit(step).alias("step"))))
