@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from taxolens.functions import text
+from taxolens.operators import vectors as V
 from taxolens.operators.clustering import bisecting as B
 from taxolens.plans import workflow
 
@@ -43,3 +44,17 @@ def test_run_deals_rows_to_all_cores(spark, monkeypatch):
     with pytest.raises(Stop) as stopped:
         workflow.run_analysis(rows.coalesce(1))
     assert stopped.value.args[0] >= spark.sparkContext.defaultParallelism
+
+
+def test_labelings_of_a_run_share_the_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    X, y = rng.normal(size=(60, 4)), rng.integers(0, 3, (3, 60))
+    vecs = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)], "row_id long, features array<double>").cache()
+    labs = [spark.createDataFrame([(i, int(c)) for i, c in enumerate(one)], "row_id long, cluster int").cache() for one in y]
+    passes, pairs = [], V.block_pairs
+    monkeypatch.setattr(V, "block_pairs", lambda *a, **k: passes.append(1) or pairs(*a, **k))
+    got = workflow.shared_silhouettes(vecs, labs).first()
+    assert len(passes) == 1
+    for score, labels in zip(got, labs):
+        assert score == pytest.approx(V.silhouette(vecs.join(labels, "row_id")).first()[0], abs=1e-12)
+    assert workflow.shared_silhouettes(vecs.unionByName(vecs), labs) is None
